@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import earlier_copies, fingerprints, packing, superkmers, token_files, url_rules, vectors
+from . import earlier_copies, fingerprints, packing, parsing, quality, superkmers, token_files, url_rules, vectors
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_url_rules": url_rules.op2_url_rules,
+    "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_simhash": fingerprints.op5_simhash,
     "op6_substring_dedup": superkmers.op6_substring_dedup,
     "op8_vectors": vectors.op8_vectors,
     "op9_suffix_dedup": earlier_copies.op9_suffix_dedup,
+    "op10_parsing": parsing.op10_parsing,
 }
 
 ORACLE_SQL = {"op2_url_rules": url_rules.OP2_SQL, "op6_substring_dedup": superkmers.OP6_SQL, "op8_vectors": vectors.OP8_SQL, "op9_suffix_dedup": earlier_copies.OP9_SQL}
