@@ -51,9 +51,10 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
-def fingerprinted(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long; with words > 1 also more, an array of further
-    fingerprints from rehashed shingles, and n, the number of shingles. docs has doc_id and text."""
+    fingerprints from rehashed shingles, and n, the number of shingles. With distinct, repeats count once. docs has
+    doc_id and text."""
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
 
     def run(batches):
@@ -61,6 +62,7 @@ def fingerprinted(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFram
             prints, more, n = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_hashes(text, shingle)
+                h = np.unique(h) if distinct else h
                 prints.append(simhash(h))
                 n.append(len(h))
                 with np.errstate(over="ignore"):
@@ -197,5 +199,78 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Fingerprints in a tile, and how many standard deviations of chance are allowed for.
+TILE, ROOM, FIRST_ROOM = 8192, 1.0, 3.0
+
+
+def bits_apart(similarity: float, bits: int, room: float) -> int:
+    """Bits in which the SimHashes of two sets of one size with this Jaccard similarity may differ."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return int(bits * p + room * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_edges(prints: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between rows id, fp, more, n of prints whose fingerprints, four words long, are as near as those of
+    sets with the similarity.
+
+    At this radius the balls round any vantage fingerprint overlap wholly: its bound parts no pair. The
+    bound that is left is the one from the empty set, the number of shingles. So rows are ranged
+    by it (and by hash among equals), and each pair of ranges that the bound can't part is a task.
+    """
+    spark = prints.sparkSession
+    near, all_near = bits_apart(similarity, BITS, FIRST_ROOM), bits_apart(similarity, 4 * BITS, ROOM)
+    keyed = prints.withColumn("place", F.col("n") + F.expr("pmod(fp, 65536) / 65536D"))
+    tiles = max(1, math.ceil(keyed.count() / TILE))
+    cuts = keyed.agg(F.percentile_approx("place", [i / tiles for i in range(1, tiles)], 20 * tiles)).first()[0] if tiles > 1 else []
+    cuts = np.unique(np.array(cuts or [], np.float64))
+    low, high = np.floor(np.concatenate([[0], cuts])), np.floor(np.concatenate([cuts, [np.inf]]))
+    partners = [[(min(i, j), max(i, j)) for j in range(len(low)) if low[max(i, j)] * similarity * 0.9 <= high[min(i, j)] + 1] for i in range(len(low))]
+
+    def deal(batches):
+        for batch in batches:
+            tile = np.searchsorted(cuts, batch.column("place").to_numpy(zero_copy_only=False), side="right")
+            pairs = [partners[t] for t in tile]
+            at = np.repeat(np.arange(len(tile)), [len(p) for p in pairs])
+            flat = np.array([p for ps in pairs for p in ps], np.int64).reshape(-1, 2)
+            rows = batch.select(["id", "fp", "more"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["id", "fp", "more", "a", "b"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, first = rows.id.to_numpy(), rows.fp.to_numpy().view(np.uint64)
+        others = np.array(rows.more.tolist(), np.int64).view(np.uint64).reshape(len(rows), -1)
+
+        def linked(i, j):
+            d = np.bitwise_count(first[i][:, None] ^ first[j])
+            hit = d <= near
+            p, q = np.nonzero(hit)
+            hit[p, q] = d[p, q] + np.bitwise_count(others[i[p]] ^ others[j[q]]).sum(axis=1) <= all_near
+            return hit
+
+        root = stars(len(ids), linked)
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[at], "v": ids[root[at]]})
+
+    dealt = keyed.mapInArrow(deal, "id long, fp long, more array<long>, a long, b long")
+    return dealt.repartition(partitions(spark), "a", "b").groupBy("a", "b").applyInPandas(compare, "u long, v long")
+
+
+def first_of_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they were, without near copies of a row with a smaller id.
+
+    Near copies have sets of five-word shingles whose similarity, as told by 256 fingerprint bits,
+    is 0.8 or more; groups are closed under links. Of equal fingerprints one row is compared. Null
+    and blank texts are copies of each other. Rows with a null id are kept and not compared; rows
+    of one id count as one document.
+    """
+    rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
+    prints = stored(fingerprinted(rows, shingle, words=4, distinct=True), "fingerprints")
+    classes = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
+    copies = prints.join(classes.select("fp", "more", "id"), ["fp", "more"]).where("doc_id > id").select(F.col("doc_id").alias("gone"))
+    near = connected(similar_edges(classes, similarity)).select(F.col("node").alias("gone"))
+    gone = copies.unionByName(near)
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

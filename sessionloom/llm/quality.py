@@ -14,11 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read, stored
+from .common import pick, read
 
 #: Labelled rows that a model is fitted on, at most about twice this.
 FIT_ROWS = 20_000
@@ -156,31 +155,43 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
     return model
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of each text."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [text_features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(F.expr(f"crc32(cast({doc_id} AS string)) % 5 = 0"), F.lit(False))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
+def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Fits a model on labelled rows that aren't held out; of many, a share by hash of about fit_rows.
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.coalesce(F.expr(f"crc32(cast({doc_id} AS string)) % 5 = 0"), F.lit(False))
+    The chosen ids are under twice fit_rows, so they are broadcast to the scan of docs(doc_id, text)
+    and only their texts are looked at.
+    """
 
+    def features(batches):
+        for batch in batches:
+            x = [text_features(t) for t in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "x": x})
 
-def learned(features: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits a model on labelled rows that aren't held out; of many, a share by hash of about fit_rows."""
     marked = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", "quality")
     share = max(1, marked.count() // fit_rows)
-    some = marked.where(F.expr(f"pmod(xxhash64(doc_id, 11), {share}L) = 0")).join(features, "doc_id").select("doc_id", "x", "quality")
-    rows = sorted((r.doc_id, r.quality, r.x) for r in some.collect())
+    some = F.broadcast(marked.where(F.expr(f"pmod(xxhash64(doc_id, 11), {share}L) = 0")))
+    rows = docs.join(some, "doc_id").select("doc_id", "quality", "text").mapInPandas(features, "doc_id long, quality int, x array<double>").collect()
+    rows = sorted((r.doc_id, r.quality, r.x) for r in rows)
     x = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], np.float64))
 
 
+def scorer(spark, model: Model):
+    """The model as a column function of the text."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([text_features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+        return pd.Series(shared.value.score(x))
+
+    return score
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row.
 
@@ -188,16 +199,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     learned from, and aren't held out. Repeated labels count once each. With no usable label, or
     one kind only, every score is the share of label 1 (0.5 if there is none).
     """
-    features = stored(featured(pick(docs, doc_id=id_col, text=text_col)), "features")
-    model = docs.sparkSession.sparkContext.broadcast(learned(features, labels, fit_rows))
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    score = scorer(docs.sparkSession, learned(rows, labels, fit_rows))
+    found = rows.select("doc_id", held_out().alias("held_out"), score("text").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.x.tolist(), np.float64).reshape(len(batch), len(FEATURES))
-            score = model.value.score(x)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
-    return features.mapInPandas(run, "doc_id long, score double, predicted int").select("doc_id", held_out().alias("held_out"), "score", "predicted")
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they were, with a score of at least threshold."""
+    model = learned(pick(docs, doc_id="doc_id", text=text_col), labels)
+    return docs.where(scorer(docs.sparkSession, model)(F.col(f"`{text_col}`")) >= threshold)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

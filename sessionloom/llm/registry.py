@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import earlier_copies, fingerprints, packing, parsing, quality, superkmers, token_files, url_rules, vectors
+from . import earlier_copies, fingerprints, mixing, packing, parsing, quality, superkmers, token_files, url_rules, vectors
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_simhash": fingerprints.op5_simhash,
     "op6_substring_dedup": superkmers.op6_substring_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_vectors": vectors.op8_vectors,
     "op9_suffix_dedup": earlier_copies.op9_suffix_dedup,
     "op10_parsing": parsing.op10_parsing,

@@ -156,6 +156,7 @@ class Block:
         docs = docs.assign(doc_id=docs.doc_id.astype("Int64"))
         order = sorted(range(len(docs)), key=lambda i: (docs.doc_id.iloc[i] is not pd.NA, docs.doc_id.iloc[i] if docs.doc_id.iloc[i] is not pd.NA else 0, docs.text.iloc[i] or ""))
         docs = docs.iloc[order]
+        self.docs = docs
         self.doc_ids = [None if d is pd.NA else int(d) for d in docs.doc_id]
         self.units = kind(docs.text.tolist())
         self.first, self.size, self.mini = super_kmers(self.units.units, self.units.bounds, k, m)
@@ -178,7 +179,7 @@ MARKS = "block long, item long, doc_id long, marks long, mini long, packed binar
 
 
 def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callable, later_only: bool, result: Callable[[Block, np.ndarray], Iterator[tuple]], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Runs the five steps over docs(doc_id, text).
+    """Runs the five steps over docs(doc_id, text and columns that result wants from block.docs).
 
     kernel(rows) gets the strings of a bucket (columns of STRINGS) and yields (row, doc, marks): bit j of marks
     is set if window j goes. With later_only, documents after `doc` lose all of the string's
@@ -187,7 +188,7 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(2 * partitions(spark), math.ceil(total / block_bytes))
-    dealt = docs.select("doc_id", "text", F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)").alias("block")).repartition(partitions(spark), "block")
+    dealt = docs.withColumn("block", F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)")).repartition(partitions(spark), "block")
 
     def send(docs: pd.DataFrame) -> pd.DataFrame:
         b = Block(docs, kind, k, m)
@@ -326,6 +327,28 @@ def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_c
     return word_dedup(docs, kept_words, "doc_id long, n_words long, n_removed long, text string", k, id_col=id_col, text_col=text_col, **more)
 
 
+def without_repeats(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs without their repeated words; rows that lose no word stay as they were, and
+    rows that lose all their words go. Other columns stay; n_chars, if there, is counted anew."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = pick(docs, doc_id=id_col, text=text_col, **{f"other_{i}": c for i, c in enumerate(others)})
+
+    def result(block: Block, removed: np.ndarray):
+        for i, row in enumerate(block.docs.itertuples(index=False)):
+            a, b = block.units.bounds[i : i + 2]
+            gone = removed[a:b]
+            if gone.any() and gone.all():
+                continue
+            text = block.units.keep(a, ~gone).decode("utf-8", "replace") if gone.any() else row.text
+            yield block.doc_ids[i], text, *[None if pd.isna(v := getattr(row, f"other_{j}")) else v for j in range(len(others))]
+
+    kinds = ", ".join(["doc_id long", "text string", *[f"other_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)]])
+    left = repeated_windows(rows, Words, k, 9, count_windows, False, result, kinds, **more)
+    back = {"doc_id": id_col, "text": text_col} | {f"other_{i}": c for i, c in enumerate(others)}
+    out = left.select(*[F.col(name).alias(source) for name, source in back.items()]).select(*docs.columns)
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return word_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
