@@ -8,6 +8,34 @@ from array import array
 import numpy as np
 
 
+#: Letters of the texts that are split here: ASCII and the accented ones up to U+012F. Fixed values.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f"
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+PLAIN = rf"[\n\x20-\x7e{LETTERS}]*"
+PROBES = ("It's 12 of\n\nthe  ÉTÉ's,  'tis!! a_b-c\n", " x", "Straße, niño... 3.14 ### d'accord I'LL", "end. ")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte that prints as itself, the others as U+0100 and on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class Seen(dict):
+    """Values by word, made when first asked for; those of very long words aren't kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(word) <= 48:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, remembering the ids of words already seen.
 
@@ -15,35 +43,60 @@ class WordEncoder:
     space or line feed, so the ids of a text are the ids of its words, in order. A word takes
     the blanks before it along. Texts with other white space than these two are
     encoded as a whole, since there the pre-tokenizer may look further.
+
+    A new word of plain letters, digits and marks is split into the pre-tokenizer's pieces here and each piece
+    goes to the library's merge model; any other word goes through the whole library. Where that
+    split doesn't fit a vocabulary (as seen on PROBES), all words do.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known = Seen(self._new)
+        self.pieces: dict[str, bytes] = {}
+        self.bytes = _byte_letters()
         self.words = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
         self.other_space = re.compile(r"[^\S \n]").search
+        self.plain = re.compile(PLAIN).fullmatch
+        self.lower = self.tokenizer.normalizer is not None
+        marks = rf"[^\s{LETTERS}0-9]+"
+        split = rf"{ENDINGS}|[{LETTERS}]+|[0-9]|{marks}" if self.lower else rf"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?{marks}|\s+(?!\S)|\s+"
+        self.split = re.compile(split).findall
+        self.fits = all(b"".join(map(self._word, self.words(t))) == self._whole([t])[0] for t in PROBES)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def _piece(self, piece: str) -> bytes:
+        raw = piece.encode().decode("latin-1").translate(self.bytes)
+        ids = array(self.code, [t.id for t in self.model.tokenize(raw)]).tobytes()
+        if len(piece) <= 48:
+            self.pieces[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        seen = self.pieces
+        return b"".join([seen[p] if p in seen else self._piece(p) for p in self.split(word.lower() if self.lower else word)])
+
+    def _new(self, word: str) -> bytes:
+        if self.fits and self.plain(word) and "<|" not in word:
+            return self._word(word)
+        return self._whole([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        known, whole = self.known, {}
-        if len(known) > self.limit:
-            known.clear()
-        split = [[t] if self.other_space(t) else self.words(t) for t in texts]
-        unseen = list(set().union(*split).difference(known))
-        for i in range(0, len(unseen), 4096):
-            part = unseen[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(word) <= 48 else whole)[word] = array(self.code, e.ids).tobytes()
-        look = known.__getitem__
-        if whole:
-            look = lambda w: known[w] if w in known else whole[w]
-        return [b"".join(map(look, words)) for words in split]
+        for held in (self.known, self.pieces):
+            if len(held) > self.limit:
+                held.clear()
+        look = self.known.__getitem__
+        return [b"".join(map(look, [t] if self.other_space(t) else self.words(t))) for t in texts]
 
 
 _encoders: dict[str, WordEncoder] = {}
