@@ -1,0 +1,233 @@
+"""The registered queries over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import export, lists, redact, search, stats
+from ..operators.tables import by_prefix, first_of_batch, new_rows
+from ..sources.sessions import lines_of_conversations, lines_of_events
+from ..streaming import live
+from . import parsing
+
+NOW, TODAY, INGEST = "2024-01-31 00:00:00", "2024-01-31", "2024-01-31T00:00:00Z"
+CLOCK = datetime(2024, 1, 31)
+PLAIN = search.Analysis(fold=False, stem=False)
+#: The driver's texts hold secrets of one form; a rule of the user's own finds them.
+TOKENS = (redact.Rule("token_value", r'token = "[0-9a-f]{40}"', 'token = "[REDACTED]"'),)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.sessions(parsing.records(lines_of_events(table(spark, d, "events")), strict=False), INGEST)
+
+
+def talk_records(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.records(lines_of_conversations(table(spark, d, "conversations")), strict=False)
+
+
+def talk_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.sessions(talk_records(spark, d), INGEST)
+
+
+def talk_index(spark: SparkSession, d: str, analysis: search.Analysis) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = talk_sessions(spark, d)
+    fields = search.fields_of(s.select("session_uuid", "user_messages", "asst_messages"))
+    return s, search.postings(fields, analysis), search.doc_stats(fields)
+
+
+def found(spark: SparkSession, d: str, query: str) -> DataFrame:
+    _, index, docs = talk_index(spark, d, PLAIN)
+    return search.ranked(index, docs, query, PLAIN).select("session_uuid", F.round("rank", 6).alias("rank"))
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    analysis = search.Analysis()
+    s, index, docs = talk_index(spark, d, analysis)
+    return search.search(s, index, docs, "the of", 20, analysis)
+
+
+def session_fold(spark: SparkSession, d: str) -> DataFrame:
+    s = event_sessions(spark, d)
+    joined = [F.array_join(c, ",").alias(c) for c in ("tools_used", "files_modified")]
+    return s.select("session_uuid", "project_name", "cwd", "git_branch", "started_at", "ended_at", "duration_secs", "message_count", "user_message_count", "asst_message_count", "tool_use_count", "has_subagents", "output_tokens", *joined)
+
+
+def markdown(spark: SparkSession, d: str) -> DataFrame:
+    recs = talk_records(spark, d)
+    s = parsing.sessions(recs, INGEST)
+    return export.markdown(s, parsing.messages(recs, s), parsing.blocks(recs, s))
+
+
+def messages_ordered(spark: SparkSession, d: str) -> DataFrame:
+    recs = talk_records(spark, d)
+    return lists.message_list(parsing.messages(recs, parsing.sessions(recs, INGEST))).select("session_uuid", "seq", "id", "role", "timestamp")
+
+
+def dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("file_hash"), F.col("source").alias("source_ord"), F.col("doc_id").alias("path"))
+    return first_of_batch(docs, "file_hash")
+
+
+def anti_join_new(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+    return new_rows(docs.where("source <> 'src0'"), docs.where("source = 'src0'"), "file_hash").select("doc_id")
+
+
+def redact_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), planted()).alias("text"))
+    return docs.select("doc_id", F.sha2(redact.redacted(F.col("text"), redact.RULES + TOKENS), 256).alias("redacted_sha256"))
+
+
+#: A secret for each rule, appended to documents by key.
+SECRETS = (
+    "sk-ant-" + "a1" * 32, "sk-" + "b2" * 22, "AKIA" + "C3" * 8, "aws_secret = " + "d4" * 20, "AQoXb" + "e5" * 55, "arn:aws:s3:eu-west-1:123456789012:bucket/x", "Bearer " + "f6" * 12, "ghp_" + "a7" * 18, "eyJh.eyJi.c-1",
+    "certificate-authority-data: " + "Q9" * 28, "token: " + "h8" * 22, "-----BEGIN RSA PRIVATE KEY-----\nQQ\n-----END RSA PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----\nQQ\n-----END CERTIFICATE-----", '"auth": "' + "i9" * 12 + '"',
+    "postgresql://user:pass@host/db", "redis://user:pass@host:6379/0", "//registry.npmjs.org/:_authToken=abc", "password = hunter2hunter2",
+)
+
+
+def planted() -> F.Column:
+    return F.get(F.array(*[F.lit(s) for s in SECRETS]), (F.col("doc_id") % len(SECRETS)).cast("int"))
+
+
+def redaction_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat("text", F.lit(" "), planted()).alias("text"))
+    return redact.hit_report(docs, "text", redact.RULES + TOKENS)
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    return live.line_stream(spark, path, spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+QUERIES = {
+    "project_rollup": lambda s, d: stats.projects(event_sessions(s, d)),
+    "top_projects": lambda s, d: stats.top_projects(event_sessions(s, d)),
+    "vault_totals": lambda s, d: stats.totals(event_sessions(s, d)),
+    "sessions_this_week": lambda s, d: stats.recent(event_sessions(s, d), NOW),
+    "top_tools": lambda s, d: stats.top_tools(event_sessions(s, d)),
+    "timeline": lambda s, d: stats.timeline(event_sessions(s, d), NOW),
+    "heatmap": lambda s, d: stats.heatmap(event_sessions(s, d), TODAY),
+    "branch_counts": lambda s, d: stats.branches(event_sessions(s, d), None),
+    "session_list_page": lambda s, d: lists.page(event_sessions(s, d), 50, 20, now=CLOCK, branch="b1", since="20d", tool="click").select("session_uuid", "started_at", "project_name"),
+    "session_count": lambda s, d: lists.count(event_sessions(s, d), now=CLOCK, project="proj3", until="2024-01-20"),
+    "messages_ordered": messages_ordered,
+    "message_counts": lambda s, d: talk_sessions(s, d).select("session_uuid", "message_count", "user_message_count", "asst_message_count"),
+    "session_fold": session_fold,
+    "session_text": lambda s, d: talk_sessions(s, d).select("session_uuid", "user_messages", "asst_messages"),
+    "summary": lambda s, d: event_sessions(s, d).select("session_uuid", "summary"),
+    "dedup_first": dedup_first,
+    "anti_join_new": anti_join_new,
+    "prefix_lookup": lambda s, d: by_prefix(event_sessions(s, d), "00001").select("session_uuid", "outcome"),
+    "redact_documents": redact_documents,
+    "redaction_report": redaction_report,
+    "search_and": lambda s, d: found(s, d, "the of"),
+    "search_phrase": lambda s, d: found(s, d, "of-the"),
+    "search_bm25": lambda s, d: found(s, d, "this"),
+    "search_stemmed": lambda s, d: snippets(s, d).select("session_uuid", "rank"),
+    "snippet": lambda s, d: snippets(s, d).select("session_uuid", "snippet"),
+    "export_markdown": markdown,
+    "stream_live_counts": lambda s, d: live.run_to_rows(live.live_counts(event_stream(s, d)), "complete"),
+    "stream_quiet_sessions": lambda s, d: live.run_to_rows(live.quiet_sessions(event_stream(s, d)), "append"),
+}
+
+EVENTS = """
+WITH e AS (
+  SELECT *, printf('%06d-', user_id) || strftime(ts, '%Y-%m-%d') AS sid, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp FROM events
+), s AS (
+  SELECT sid AS session_uuid, user_id, 'proj' || (user_id % 10) AS project_name, 'proj' || (user_id % 10) AS project_dir, '/u/proj' || (user_id % 10) AS cwd, 'b' || (user_id % 3) AS git_branch,
+    min(stamp) AS started_at, max(stamp) AS ended_at, min(date_trunc('millisecond', ts)) AS ts0, CAST(floor(epoch_us(max(date_trunc('millisecond', ts))) / 1e6 - epoch_us(min(date_trunc('millisecond', ts))) / 1e6) AS BIGINT) AS duration_secs,
+    count(*) AS tools, list_sort(list(DISTINCT event_type)) AS tools_used, list_sort(list(DISTINCT '/f/' || (event_id % 7))) AS fs, CAST(sum(floor(value)) AS BIGINT) AS output_tokens
+  FROM e GROUP BY sid, user_id
+)
+"""
+TALKS = """
+WITH t AS (
+  SELECT printf('c%08d-conversation', conv_id) AS sid, conv_id, turn, role, coalesce(text, '') AS text,
+    strftime(TIMESTAMP '2024-01-01' + to_hours(conv_id % 28) + to_minutes(turn), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM conversations
+), s AS (
+  SELECT sid AS session_uuid, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role NOT IN ('assistant', 'system')), '') AS user_messages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS asst_messages,
+    count(*) FILTER (role <> 'system') AS message_count, count(*) FILTER (role NOT IN ('assistant', 'system')) AS user_message_count, count(*) FILTER (role = 'assistant') AS asst_message_count
+  FROM t GROUP BY sid HAVING count(*) FILTER (role <> 'system') > 0
+)
+"""
+SEARCH = TALKS + r""", f AS (
+  SELECT session_uuid, 'u' AS field, regexp_extract_all(lower(user_messages), '[\p{L}\p{N}\p{M}]+') AS toks FROM s
+  UNION ALL SELECT session_uuid, 'a', regexp_extract_all(lower(asst_messages), '[\p{L}\p{N}\p{M}]+') FROM s
+), docs AS (SELECT session_uuid, sum(len(toks)) AS l FROM f GROUP BY 1), c AS (SELECT count(*) AS N, avg(l) AS avg_len FROM docs
+), phrases(p, w) AS (VALUES {phrases}
+), h AS (
+  SELECT session_uuid, p, sum(len(list_filter(range(1, len(toks) - len(w) + 2), lambda i: toks[i : i + len(w) - 1] = w))) AS f FROM f, phrases GROUP BY 1, 2 HAVING f > 0
+), n AS (SELECT p, count(*) AS n FROM h GROUP BY p
+), scored AS (
+  SELECT session_uuid, -sum((CASE WHEN ln((N - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n.n + 0.5) / (n.n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / avg_len))) AS rank, count(*) AS k
+  FROM h JOIN n USING (p) JOIN docs USING (session_uuid), c GROUP BY session_uuid
+)
+SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(*) FROM phrases)
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _planted_sql() -> str:
+    return f"text || ' ' || ([{', '.join(_quoted(s) for s in SECRETS)}])[1 + doc_id % {len(SECRETS)}]"
+
+
+def _variants(rule: redact.Rule) -> list[tuple[str, str]]:
+    """DuckDB has no back-references in patterns: one pattern for each kind of key."""
+    if r"\1" in rule.pattern:
+        return [(rule.pattern.replace("(EC|RSA|OPENSSH|DSA)", k).replace(r"\1", k), rule.replacement) for k in ("EC", "RSA", "OPENSSH", "DSA")]
+    return [(rule.pattern, rule.replacement)]
+
+
+def _redact_sql() -> str:
+    text = _planted_sql()
+    for rule in redact.RULES + TOKENS:
+        for pattern, replacement in _variants(rule):
+            text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
+    return f"SELECT doc_id, sha256({text}) AS redacted_sha256 FROM documents"
+
+
+def _report_sql() -> str:
+    parts = []
+    for rule in redact.RULES + TOKENS:
+        n = " + ".join(f"len(regexp_extract_all(text, {_quoted(p)}))" for p, _ in _variants(rule))
+        parts.append(f"SELECT {_quoted(rule.name)} AS rule, coalesce(sum({n}), 0)::BIGINT AS hits, count(*) FILTER (({n}) > 0) AS rows_hit FROM d")
+    return f"WITH d AS (SELECT {_planted_sql()} AS text FROM documents) " + " UNION ALL ".join(parts)
+
+
+ORACLE_SQL = {
+    "project_rollup": EVENTS + "SELECT project_name, arg_max(project_dir, session_uuid) AS project_dir, arg_max(cwd, session_uuid) AS cwd, count(*) AS session_count, max(started_at) AS last_active, sum(duration_secs)::BIGINT AS total_duration_secs, 0::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens FROM s GROUP BY project_name",
+    "top_projects": EVENTS + "SELECT project_name, count(*) AS session_count, max(started_at) AS last_active FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "vault_totals": EVENTS + "SELECT count(*) AS session_count, sum(duration_secs)::BIGINT AS total_duration_secs, 0::BIGINT AS total_input_tokens, sum(output_tokens)::BIGINT AS total_output_tokens FROM s",
+    "sessions_this_week": EVENTS + "SELECT count(*) FILTER (ts0 >= TIMESTAMP '2024-01-24') AS sessions_this_week FROM s",
+    "top_tools": EVENTS + "SELECT tool, count(*) AS sessions FROM (SELECT unnest(tools_used) AS tool FROM s) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "timeline": EVENTS + "SELECT left(started_at, 10) AS day, count(*) AS sessions FROM s GROUP BY 1",
+    "heatmap": EVENTS + ", d AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM generate_series(DATE '2024-01-31' - INTERVAL 181 DAY, TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(x)), n AS (SELECT left(started_at, 10) AS day, count(*) AS n FROM s GROUP BY 1) SELECT day, coalesce(n, 0) AS sessions, least(coalesce(n, 0), 4)::INTEGER AS level FROM d LEFT JOIN n USING (day)",
+    "branch_counts": EVENTS + "SELECT git_branch, count(*) AS sessions FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "session_list_page": EVENTS + "SELECT session_uuid, started_at, project_name FROM s WHERE git_branch = 'b1' AND ts0 >= TIMESTAMP '2024-01-11' AND list_contains(tools_used, 'click') ORDER BY started_at DESC, session_uuid LIMIT 50 OFFSET 20",
+    "session_count": EVENTS + "SELECT count(*) AS total FROM s WHERE project_name = 'proj3' AND ts0 < TIMESTAMP '2024-01-21'",
+    "messages_ordered": TALKS + "SELECT sid AS session_uuid, (turn + 1)::INTEGER AS seq, sid || ':m' || conv_id || '-' || turn AS id, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, stamp AS timestamp FROM t WHERE role <> 'system'",
+    "message_counts": TALKS + "SELECT session_uuid, message_count, user_message_count, asst_message_count FROM s",
+    "session_fold": EVENTS + "SELECT session_uuid, project_name, cwd, git_branch, started_at, ended_at, duration_secs, tools + 1 AS message_count, 1::BIGINT AS user_message_count, tools AS asst_message_count, tools AS tool_use_count, false AS has_subagents, output_tokens, array_to_string(tools_used, ',') AS tools_used, '' AS files_modified FROM s",
+    "session_text": TALKS + "SELECT session_uuid, user_messages, asst_messages FROM s",
+    "summary": EVENTS + "SELECT session_uuid, 'Untitled session. session of user ' || user_id || '. Tools: ' || array_to_string(tools_used[1:5], ', ') AS summary FROM s",
+    "dedup_first": "SELECT file_hash, source AS source_ord, doc_id AS path FROM (SELECT sha256(text) AS file_hash, source, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1",
+    "anti_join_new": "SELECT doc_id FROM documents d WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = 'src0' AND sha256(o.text) = sha256(d.text))",
+    "prefix_lookup": EVENTS + ", p AS (SELECT session_uuid FROM s WHERE starts_with(session_uuid, '00001') ORDER BY 1 LIMIT 10) SELECT session_uuid, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM p",
+    "redact_documents": _redact_sql(),
+    "redaction_report": _report_sql(),
+    "search_and": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])"),
+    "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),
+    "search_bm25": SEARCH.replace("{phrases}", "(1, ['this'])"),
+    "stream_live_counts": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total_value FROM events GROUP BY 1",
+}
