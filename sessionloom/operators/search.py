@@ -154,7 +154,7 @@ def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
         here = index.where(F.col("term").isin(*set(terms)))
         rows = None
         for k, term in enumerate(terms):
-            at = here.where(F.col("term") == term).select("session_uuid", "field", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}"))
+            at = here.where(F.col("term") == term).select("session_uuid", "field", F.transform("positions", lambda p: p - k).alias(f"p{k}"))
             rows = at if rows is None else rows.join(at, ["session_uuid", "field"])
         starts = F.col("p0")
         for k in range(1, len(terms)):

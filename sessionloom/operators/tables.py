@@ -50,14 +50,14 @@ class Store:
 
     def _file(self):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.json")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def current(self) -> dict:
         fs, path = self._file()
         if not fs.exists(path):
             return {}
-        return json.loads(self.spark.read.text(f"{self.path}/_current.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
 
     def read(self, table: str) -> DataFrame | None:
         parts = self.current().get("tables", {}).get(table)

@@ -161,13 +161,13 @@ WITH t AS (
 SEARCH = TALKS + r""", f AS (
   SELECT session_uuid, 'u' AS field, regexp_extract_all(lower(user_messages), '[\p{L}\p{N}\p{M}]+') AS toks FROM s
   UNION ALL SELECT session_uuid, 'a', regexp_extract_all(lower(asst_messages), '[\p{L}\p{N}\p{M}]+') FROM s
-), docs AS (SELECT session_uuid, sum(len(toks)) AS l FROM f GROUP BY 1), c AS (SELECT count(*) AS N, avg(l) AS avg_len FROM docs
+), docs AS (SELECT session_uuid, sum(len(toks)) AS l FROM f GROUP BY 1), c AS (SELECT count(*) AS total, avg(l) AS avg_len FROM docs
 ), phrases(p, w) AS (VALUES {phrases}
 ), h AS (
   SELECT session_uuid, p, sum(len(list_filter(range(1, len(toks) - len(w) + 2), lambda i: toks[i : i + len(w) - 1] = w))) AS f FROM f, phrases GROUP BY 1, 2 HAVING f > 0
 ), n AS (SELECT p, count(*) AS n FROM h GROUP BY p
 ), scored AS (
-  SELECT session_uuid, -sum((CASE WHEN ln((N - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n.n + 0.5) / (n.n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / avg_len))) AS rank, count(*) AS k
+  SELECT session_uuid, -sum((CASE WHEN ln((total - n.n + 0.5) / (n.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n.n + 0.5) / (n.n + 0.5)) END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / avg_len))) AS rank, count(*) AS k
   FROM h JOIN n USING (p) JOIN docs USING (session_uuid), c GROUP BY session_uuid
 )
 SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(*) FROM phrases)
