@@ -12,11 +12,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import pick
-from .superkmers import Block, Bytes, _runs, repeated_windows
+from .superkmers import Block, Bytes, Strings, _runs, repeated_windows
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,12 +38,12 @@ def smaller_in_run(values: np.ndarray, same: np.ndarray) -> np.ndarray:
     return least[run] < values
 
 
-def previous_factors(rows: pd.DataFrame, kind: type, k: int):
+def previous_factors(strings: Strings, kind: type, k: int):
     """Kernel over the strings of a bucket; equal strings of several blocks take one place."""
     place: dict[bytes, int] = {}
-    where = [place.setdefault(p, len(place)) for p in rows.packed]
+    where = np.array([place.setdefault(p, len(place)) for p in strings.packed], np.int64)
     doc = np.full(len(place), np.iinfo(np.int64).max)
-    np.minimum.at(doc, where, rows.doc_id.to_numpy(np.int64))
+    np.minimum.at(doc, where, strings.doc_id)
     packed = list(place)
     windows = np.array([len(p) - k + 1 for p in packed])
     text = np.frombuffer(b"".join(packed), np.uint8)
@@ -54,13 +53,11 @@ def previous_factors(rows: pd.DataFrame, kind: type, k: int):
     order, same = suffix_order(text, offsets[owner] + inner, k)
     later = np.zeros(len(owner), bool)
     later[order] = smaller_in_run(doc[owner[order]], same)
-    marks = np.bitwise_or.reduceat(np.where(later, np.int64(1) << inner, 0), np.cumsum(windows) - windows) if len(packed) else []
-    #: A string with nothing before its least document is answered only where a later copy may be.
+    marks = np.bitwise_or.reduceat(np.where(later, np.int64(1) << inner, 0), np.cumsum(windows) - windows) if len(packed) else np.zeros(0, np.int64)
+    # a string that nothing precedes is answered only where it may have a later copy
     held = np.bincount(where, minlength=len(place))
-    n = rows.n.to_numpy()
-    for i, p in enumerate(where):
-        if marks[p] or held[p] > 1 or n[i] > 1:
-            yield i, int(doc[p]), int(marks[p])
+    for i in np.flatnonzero((marks[where] != 0) | (held[where] > 1) | (strings.n > 1)):
+        yield int(i), int(doc[where[i]]), int(marks[where[i]])
 
 
 def byte_rows(block: Block, removed: np.ndarray):
@@ -77,7 +74,7 @@ def kept_bytes(block: Block, removed: np.ndarray):
         yield doc_id, int(b - a), int(gone.sum()), _runs(gone), block.units.keep(a, ~gone)
 
 
-def suffix_dedup(docs: DataFrame, k: int = 50, m: int = 16, id_col: str = "doc_id", text_col: str = "text", rows=kept_bytes, last: str = "kept binary", **more) -> DataFrame:
+def suffix_dedup(docs: DataFrame, k: int = 50, m: int = 22, id_col: str = "doc_id", text_col: str = "text", rows=kept_bytes, last: str = "kept binary", **more) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept, for each row.
 
     Removes every byte that a k-byte string covers which also starts in a document with a smaller

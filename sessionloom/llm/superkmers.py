@@ -22,12 +22,16 @@ Steps 3 and 5 derive the super-k-mers again, which is cheaper than moving them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import operator
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +64,6 @@ class Words:
     def keep(self, first: int, kept: np.ndarray) -> bytes:
         return b" ".join([self.words[first + i] for i in np.flatnonzero(kept)])
 
-    @staticmethod
-    def length(packed: bytes) -> int:
-        return packed.count(b" ") + 1
-
     @staticmethod
     def windows(packed: bytes, k: int) -> list[bytes]:
         ends = [i for i, c in enumerate(packed) if c == 32] + [len(packed)]
@@ -88,8 +88,6 @@ class Bytes:
     def keep(self, first: int, kept: np.ndarray) -> bytes:
         return self.units[first : first + len(kept)][kept].tobytes()
 
-    length = staticmethod(len)
-
     @staticmethod
     def windows(packed: bytes, k: int) -> list[bytes]:
         return [packed[i : i + k] for i in range(len(packed) - k + 1)]
@@ -174,14 +172,40 @@ def _bucket(mini: np.ndarray, buckets: int) -> np.ndarray:
 
 SENT = "bucket long, block long, hashes binary"
 FLAGS = "block long, bucket long, flags binary"
-STRINGS = "route long, mini long, block long, item long, packed binary, doc_id long, n long"
-MARKS = "block long, item long, doc_id long, marks long, mini long, packed binary"
+STRINGS = "route long, block long, packed binary"
+MARKS = "block long, packed binary"
+
+
+@dataclass
+class Strings:
+    """Super-k-mer strings of a block for one bucket: item, least document, number and bytes of each."""
+
+    item: np.ndarray
+    doc_id: np.ndarray
+    n: np.ndarray
+    packed: list[bytes]
+
+    def write(self) -> bytes:
+        parts = [np.diff(self.item, prepend=0), np.diff(self.doc_id, prepend=0), self.n, [len(p) for p in self.packed]]
+        return zstandard.compress(b"".join([np.array([len(self.n)], "<i8").tobytes(), *[np.asarray(x, "<i8").tobytes() for x in parts], *self.packed]), 3)
+
+    @staticmethod
+    def read(data: bytes) -> Strings:
+        data = zstandard.decompress(data)
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        item, doc, number, size = (np.frombuffer(data, "<i8", n, 8 + 8 * n * i) for i in range(4))
+        ends = (8 + 32 * n + np.cumsum(size)).tolist()
+        return Strings(np.cumsum(item), np.cumsum(doc), number, [data[e - z : e] for e, z in zip(ends, size.tolist(), strict=True)])
+
+    @staticmethod
+    def joined(parts: list[Strings]) -> Strings:
+        return Strings(*[np.concatenate([getattr(p, k) for p in parts]) for k in ("item", "doc_id", "n")], [x for p in parts for x in p.packed])
 
 
 def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callable, later_only: bool, result: Callable[[Block, np.ndarray], Iterator[tuple]], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Runs the five steps over docs(doc_id, text and columns that result wants from block.docs).
 
-    kernel(rows) gets the strings of a bucket (columns of STRINGS) and yields (row, doc, marks): bit j of marks
+    kernel(strings) gets the Strings of a bucket and yields (place, doc, marks): bit j of marks
     is set if window j goes. With later_only, documents after `doc` lose all of the string's
     windows as well. result(block, removed units) yields the output rows of a block.
     """
@@ -216,27 +240,37 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
         order = np.argsort(_bucket(b.mini, blocks), kind="stable")
         flags = np.empty(len(order), np.uint8)
         flags[order] = np.frombuffer(b"".join(answers.sort_values("bucket")["flags"]), np.uint8)
-        held: dict[tuple[int, bytes], list[int]] = {}
+        held: dict[bytes, list[int]] = {}
         for i in np.flatnonzero(flags):
-            mini, packed = int(b.mini[i]), b.string(i)
-            doc = b.doc_ids[b.doc[i]]
+            packed, doc = b.string(i), b.doc_ids[b.doc[i]]
             doc = NULL_ID if doc is None else doc
             hot = flags[i] == 2
             for j, s in enumerate(kind.windows(packed, k) if hot else [packed]):
-                x = held.setdefault((mini, s), [int(i) * 64 + j, doc, 0, hot])
-                x[1], x[2] = min(x[1], doc), x[2] + 1
+                x = held.get(s)
+                if x is None:
+                    route = xxhash.xxh64_intdigest(s) if hot else int(b.mini[i])
+                    held[s] = [(int(i) * 64 + j) * 2 + int(hot), doc, 1, route % blocks]
+                else:
+                    x[1], x[2] = min(x[1], doc), x[2] + 1
         if not held:
             return empty
-        minis = np.array([mini for mini, _ in held], np.uint64).view(np.int64)
-        packed = [s for _, s in held]
-        routes = [xxhash.xxh64_intdigest(s, int(mini) & 0xFFFF) >> 1 if x[3] else int(mini) & (1 << 62) - 1 for (mini, s), x in held.items()]
-        item, doc, n, _ = zip(*held.values(), strict=True)
-        return pd.DataFrame({"route": np.array(routes, np.int64) % blocks, "mini": minis, "block": key[0], "item": item, "packed": packed, "doc_id": doc, "n": n})
+        item, doc, n, route = (np.array(v, np.int64) for v in zip(*held.values(), strict=True))
+        packed, order = list(held), np.argsort(route, kind="stable")
+        used, at = np.unique(route[order], return_index=True)
+        groups = [Strings(item[g], doc[g], n[g], [packed[i] for i in g]).write() for g in np.split(order, at[1:])]
+        return pd.DataFrame({"route": used, "block": key[0], "packed": groups})
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        found = list(kernel(rows, kind, k))
-        at = [i for i, _, _ in found]
-        return pd.DataFrame({"block": rows.block.to_numpy()[at], "item": rows["item"].to_numpy()[at], "doc_id": np.array([d for _, d, _ in found], np.int64), "marks": np.array([x for _, _, x in found], np.int64), "mini": rows.mini.to_numpy()[at], "packed": rows.packed.to_numpy()[at]})
+        parts = [Strings.read(p) for p in rows.packed]
+        ends = np.cumsum([len(p.n) for p in parts])
+        every = Strings.joined(parts)
+        found = np.array(list(kernel(every, kind, k)), np.int64).reshape(-1, 3)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        out = []
+        for block, g in zip(rows.block, np.split(found, np.searchsorted(found[:, 0], ends[:-1])), strict=True):
+            if len(g):
+                out.append((block, zstandard.compress(np.column_stack([every.item[g[:, 0]], g[:, 1:]]).astype("<i8").T.tobytes(), 3)))
+        return pd.DataFrame(out, columns=["block", "packed"])
 
     def finish(key, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -245,15 +279,20 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
         b = Block(docs, kind, k, m)
         gone = np.zeros(len(b.units.units) + 1, np.int64)
         if len(marks):
-            answers = {(x, s): (d, y) for x, s, d, y in zip(marks.mini, marks.packed, marks.doc_id, marks.marks, strict=True)}
-            minis = np.unique(marks.mini.to_numpy())
-            single = {x for x, s in answers if kind.length(s) == k}
-            for i in np.flatnonzero(np.isin(b.mini.view(np.int64), minis)):
-                mini, packed, a = int(b.mini[i].view(np.int64)), b.string(i), int(b.first[i])
+            rows = np.concatenate([np.frombuffer(zstandard.decompress(p), "<i8").reshape(3, -1) for p in marks.packed], axis=1)
+            answers: dict[bytes, tuple[int, int]] = {}
+            for item, doc, mark in rows.T.tolist():
+                first = int(b.first[item // 128]) + (item // 2) % 64
+                answers[b.units.cut(first, first + k) if item % 2 else b.string(item // 128)] = (doc, mark)
+            answered, split = np.unique(b.mini[rows[0] // 128]), set(b.mini[rows[0][rows[0] % 2 == 1] // 128].tolist())
+            for i in np.flatnonzero(np.isin(b.mini, answered)):
+                packed, a = b.string(i), int(b.first[i])
                 doc = b.doc_ids[b.doc[i]]
                 doc = NULL_ID if doc is None else doc
-                whole = answers.get((mini, packed))
-                tries = [(0, int(b.size[i]), whole)] if whole else [(j, 1, answers.get((mini, s))) for j, s in enumerate(kind.windows(packed, k))] if mini in single else []
+                if int(b.mini[i]) in split:
+                    tries = [(j, 1, answers.get(s)) for j, s in enumerate(kind.windows(packed, k))]
+                else:
+                    tries = [(0, int(b.size[i]), answers.get(packed))]
                 for at, size, answer in tries:
                     if answer is None:
                         continue
@@ -273,24 +312,15 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(finish, schema)
 
 
-def count_windows(rows: pd.DataFrame, kind: type, k: int):
-    """Kernel: sorts the windows of all strings of a minimiser; a window that comes twice goes."""
-    listed = []
-    for i, (mini, packed, n) in enumerate(zip(rows.mini, rows.packed, rows.n, strict=True)):
-        listed.extend((mini, w, i, j, n) for j, w in enumerate(kind.windows(packed, k)))
-    listed.sort()
-    marks = np.zeros(len(rows), np.int64)
-    a = 0
-    while a < len(listed):
-        mini, window = listed[a][:2]
-        b, n = a, 0
-        while b < len(listed) and listed[b][1] == window and listed[b][0] == mini:
-            n += listed[b][4]
-            b += 1
-        if n > 1:
-            for _, _, i, j, _ in listed[a:b]:
+def count_windows(strings: Strings, kind: type, k: int):
+    """Kernel: sorts the windows of a bucket's strings; the windows that come more than once go."""
+    listed = sorted((w, i, j) for i, packed in enumerate(strings.packed) for j, w in enumerate(kind.windows(packed, k)))
+    numbers, marks = strings.n.tolist(), np.zeros(len(strings.n), np.int64)
+    for _, group in itertools.groupby(listed, key=operator.itemgetter(0)):
+        at = list(group)
+        if len(at) > 1 or numbers[at[0][1]] > 1:
+            for _, i, j in at:
                 marks[i] |= 1 << j
-        a = b
     for i in np.flatnonzero(marks):
         yield int(i), 0, int(marks[i])
 
