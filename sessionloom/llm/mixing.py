@@ -129,6 +129,14 @@ def rate(steps: list[np.ndarray]) -> F.Column:
     return F.aggregate(prices, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - cost(s)))
 
 
+def sure_rates(steps: list[np.ndarray]) -> list[float]:
+    """The rate that a document surely of each domain has after these steps."""
+    rates = np.ones(len(DOMAINS))
+    for s in steps:
+        rates = np.maximum(0.0, rates - s)
+    return rates.tolist()
+
+
 def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS) -> list[np.ndarray]:
     """The steps whose rates bring the domains' expected tokens to the targets.
 
@@ -145,7 +153,8 @@ def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float
     if have.sum() <= 0:
         return []
     goal = np.minimum(share * budget * have[int(share.argmax())] / share.max(), budget * have)
-    white = np.linalg.inv(gram + np.diag(1e-3 * np.diag(gram) + 1e-9 * np.trace(gram) + 1e-9))
+    # damped by the whole corpus's scale: a domain that is hardly there can't get a price that outweighs the others'
+    white = np.linalg.inv(gram + (1e-3 * np.trace(gram) + 1e-9) * np.eye(k))
     taken: list[np.ndarray] = []
     for _ in range(steps):
         got = np.array(table.agg(*[F.sum(rate(taken) * w) for w in weight]).first(), np.float64) if taken else have
@@ -156,15 +165,19 @@ def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posterior, rate and copies for each row.
+    """doc_id, n_tokens, posterior, rate, copies and home_rate for each row.
 
-    copies is the rate rounded down or up by the id's hash, so its mean is the rate. Null and
+    copies is the rate rounded down or up by the id's hash, so its mean is the rate. home_rate is the
+    rate that a document surely of this one's likeliest domain (of equals, the first) has. Null and
     empty texts have no tokens and the posterior of a text without words. A null label gives no
     evidence; without labels all posteriors are alike. An empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     table = stored(posteriors(rows, learned(rows, labels)), "posteriors")
-    return table.withColumn("rate", rate(fitted(table, targets, budget))).withColumn("copies", F.floor(F.col("rate") + dither()).cast("long"))
+    steps = fitted(table, targets, budget)
+    home = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    found = table.withColumn("rate", rate(steps)).withColumn("copies", F.floor(F.col("rate") + dither()).cast("long"))
+    return found.withColumn("home_rate", F.get(F.array(*[F.lit(r) for r in sure_rates(steps)]), home - 1))
 
 
 def dither() -> F.Column:
@@ -172,8 +185,12 @@ def dither() -> F.Column:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """The rows of docs that the mix takes, all columns as they were; no row more than once."""
-    taken = mixed(docs, labels, targets, budget).where("copies = 0").select(F.col("doc_id").alias("left_out"))
+    """The rows of docs that the mix takes, all columns as they were; no row more than once.
+
+    Rows of a domain that is taken whole stay: the doubt in a document's posterior lowers its rate, but
+    doesn't cost the document where its likeliest domain has a rate of one or more.
+    """
+    taken = mixed(docs, labels, targets, budget).where("copies = 0 AND home_rate < 1").select(F.col("doc_id").alias("left_out"))
     return docs.join(taken.distinct(), F.col("doc_id") == F.col("left_out"), "left_anti")
 
 

@@ -200,6 +200,18 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed(odd, labels).count() == len(ODD) and mixing.mixed(none, labels.where("false")).count() == 0
 
 
+def test_mix_keeps_clean_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.read(spark, d, "documents"), common.read(spark, d, "labels")
+    kept = common.stored(quality.good_documents(docs, labels), "good")
+    left = {r.doc_id for r in mixing.sampled(kept, labels).select("doc_id").collect()}
+    marks = kept.join(labels, "doc_id").where("quality = 1").select("doc_id", "toxic").toPandas()
+    stays = marks.doc_id.isin(left)
+    assert stays[marks.toxic == 0].all() and stays[marks.toxic == 1].mean() < 0.3
+    steps = [np.array([0.5, -0.25, 2.0]), np.array([-0.75, 0.0, -0.5])]
+    assert mixing.sure_rates(steps) == [1.25, 1.25, 0.5] and mixing.sure_rates([]) == [1.0] * 3
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL", 20)
     rng = np.random.default_rng(2)
