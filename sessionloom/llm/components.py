@@ -33,4 +33,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components not closed after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -153,7 +153,7 @@ def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float
     if have.sum() <= 0:
         return []
     goal = np.minimum(share * budget * have[int(share.argmax())] / share.max(), budget * have)
-    # damped by the whole corpus's scale: a domain that is hardly there can't get a price that outweighs the others'
+    # damped by the whole corpus's scale: a domain that is hardly there can't get a price that outweighs the others
     white = np.linalg.inv(gram + (1e-3 * np.trace(gram) + 1e-9) * np.eye(k))
     taken: list[np.ndarray] = []
     for _ in range(steps):
