@@ -86,6 +86,12 @@ def export_name(slug: Column, uuid: Column, started: Column) -> Column:
     return F.replace(F.concat(F.coalesce(filled(slug), F.substring(uuid, 1, 8)), F.lit("-"), F.substring(started, 1, 10), F.lit(".md")), F.lit("--"), F.lit("-"))
 
 
+def display_paths(files: Column, cwd: Column) -> Column:
+    """Paths as seen from cwd; those outside it stay."""
+    below = F.concat(cwd, F.lit("/"))
+    return F.transform(files, lambda f: F.when(f.startswith(below), F.substr(f, F.length(below) + 1)).otherwise(f))
+
+
 def tool_line(tool_input: Column) -> Column:
     """The first telling field of a tool's input, in at most 120 characters."""
     fields = [filled(F.get_json_object(tool_input, f"$.{k}")) for k in ("description", "command", "file_path", "query", "path")]

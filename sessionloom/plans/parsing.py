@@ -16,12 +16,35 @@ RECORD = (
 BLOCK = "type string, text string, name string, id string, input string, tool_use_id string, content string, source struct<media_type: string>"
 
 
-def records(lines: DataFrame, strict: bool = True) -> DataFrame:
+def _image(media_type: Column) -> Column:
+    return F.to_json(F.struct(F.lit("image").alias("type"), F.lit(True).alias("omitted"), F.coalesce(media_type, F.lit("image/unknown")).alias("media_type")))
+
+
+def with_field(text: Column, key: str, value: Column) -> Column:
+    """A JSON object's text with key's value replaced by a JSON text. Fields may change places."""
+    fields = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+    return F.to_json(F.transform_values(fields, lambda k, v: F.when(k == key, F.try_parse_json(value)).otherwise(v)))
+
+
+def _nests_image(block: Column) -> Column:
+    return F.coalesce((F.get_json_object(block, "$.type") == "tool_result") & F.get_json_object(block, "$.content").contains('"image"'), F.lit(False))
+
+
+def _without_nested(block: Column) -> Column:
+    """A tool result's JSON with each image in its content replaced by what was left out."""
+    parts = F.try_variant_get(F.try_parse_json(block), "$.content", "array<variant>")
+    kept = F.transform(parts, lambda p: F.when(F.try_variant_get(p, "$.type", "string") == "image", F.try_parse_json(_image(F.try_variant_get(p, "$.source.media_type", "string")))).otherwise(p))
+    return F.coalesce(F.when(parts.isNotNull(), with_field(block, "content", F.to_json(kept))), block)
+
+
+def records(lines: DataFrame, strict: bool = True, nested_images: bool = False) -> DataFrame:
     """Lines with the record r, an error text for lines that can't be used, and content as block texts.
 
     A line that isn't JSON, isn't an object, or has an unknown type gets an error and is left out of all
-    else. Content that isn't a list counts as no blocks, even if its text looks like one. With strict,
-    trailing garbage after a JSON value is an error too (checked in Python); without, all stays in the JVM.
+    else. Content that isn't a list counts as no blocks, even if its text looks like one. Items that
+    aren't objects stay as JSON and have no type. With strict, trailing garbage after a JSON value is an error
+    too (checked in Python); without, all stays in the JVM. Images inside tool results are replaced like
+    others, unless nested_images keeps them.
     """
     bad = json_error("line") if strict else F.when(F.trim("line") != "", F.when(F.expr("try_parse_json(line)").isNull(), F.lit("not JSON")))
     known = lines.withColumn("bad", bad).withColumn("r", F.from_json(F.when(F.col("bad").isNull(), F.col("line")), RECORD))
@@ -29,20 +52,24 @@ def records(lines: DataFrame, strict: bool = True) -> DataFrame:
     object_ = F.ltrim("line").startswith("{")
     why = F.when(blank, None).when(F.col("bad").isNotNull(), F.col("bad")).when(~object_, "not an object").when(~F.coalesce(F.col("r.type").isin(*KINDS), F.lit(False)), F.concat(F.lit("unknown type '"), F.coalesce(F.col("r.type"), F.lit("None")), F.lit("'")))
     content = F.col("r.message.content")
-    listed = F.expr("schema_of_variant(try_variant_get(try_parse_json(line), '$.message.content', 'variant')) LIKE 'ARRAY%'")
-    raw = F.when(F.ltrim(content).startswith("[") & F.coalesce(listed, F.lit(False)), F.from_json(content, "array<string>"))
+    shape = F.expr("coalesce(schema_of_variant(try_variant_get(try_parse_json(line), '$.message.content', 'variant')), '')")
+    items = F.from_json(content, "array<string>")
+    others = F.transform(F.expr("try_variant_get(try_parse_json(line), '$.message.content', 'array<variant>')"), lambda v: F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)))
+    raw = F.when(F.ltrim(content).startswith("[") & shape.startswith("ARRAY"), F.when(shape.startswith("ARRAY<OBJECT"), items).otherwise(F.zip_with(items, others, lambda i, o: F.coalesce(o, i))))
+    nests = F.lit(False) if nested_images else F.col("line").contains('"tool_result"') & F.col("line").contains('"image"') & F.exists("raw_blocks", _nests_image)
     out = known.withColumn("error", F.when(why.isNotNull(), F.format_string("line %d: %s", "line_no", why)))
     ok = F.col("error").isNull() & ~blank
     out = out.withColumn("kind", F.when(ok, F.col("r.type"))).withColumn("meta", F.coalesce(F.col("r.isMeta"), F.lit(False)) & (F.col("kind") == "user"))
     turn = F.col("kind").isin("user", "assistant") & ~F.col("meta")
     out = out.withColumn("turn", F.coalesce(turn, F.lit(False))).withColumn("raw_blocks", F.when(turn, F.coalesce(raw, F.array().cast("array<string>"))))
+    out = out.withColumn("nests", F.coalesce(nests, F.lit(False)))
+    out = out.withColumn("raw_blocks", F.when(F.col("nests"), F.transform("raw_blocks", lambda b: F.when(_nests_image(b), _without_nested(b)).otherwise(b))).otherwise(F.col("raw_blocks")))
     return out.withColumn("parts", F.transform("raw_blocks", lambda b: F.from_json(b, BLOCK))).drop("bad")
 
 
 def cleaned(raw: Column, part: Column) -> Column:
     """A block's JSON: images and thinking are replaced by what was left out."""
-    image = F.to_json(F.struct(F.lit("image").alias("type"), F.lit(True).alias("omitted"), F.coalesce(part["source"]["media_type"], F.lit("image/unknown")).alias("media_type")))
-    return F.when(part["type"] == "image", image).when(part["type"] == "thinking", '{"type":"thinking","omitted":true}').otherwise(raw)
+    return F.when(part["type"] == "image", _image(part["source"]["media_type"])).when(part["type"] == "thinking", '{"type":"thinking","omitted":true}').otherwise(raw)
 
 
 def _names(parts: Column) -> Column:
@@ -121,11 +148,13 @@ def sessions(recs: DataFrame, ingest_at: str, writers: tuple[str, ...] = WRITERS
 
 
 def raw_transcripts(recs: DataFrame, sessions_: DataFrame) -> DataFrame:
-    """session_uuid and its whole transcript with cleaned content, line by line."""
+    """session_uuid and its whole transcript with cleaned content, line by line.
+
+    Lines with nothing to clean are as they were; in others all fields stay, but may change places.
+    """
     content = F.concat(F.lit("["), F.array_join(F.zip_with("raw_blocks", "parts", cleaned), ","), F.lit("]"))
-    whole = F.struct(F.col("r.type"), F.col("r.sessionId"), F.col("r.uuid"), F.col("r.parentUuid"), F.col("r.timestamp"), F.col("r.cwd"), F.col("r.gitBranch"))
-    again = F.concat(F.regexp_replace(F.to_json(whole), r"\}$", ""), F.lit(',"message":{"content":'), content, F.lit("}}"))
-    changed = F.col("turn") & F.exists("parts", lambda b: F.coalesce(b["type"].isin("image", "thinking"), F.lit(False)))
+    again = with_field(F.col("line"), "message", with_field(F.get_json_object("line", "$.message"), "content", content))
+    changed = F.col("turn") & (F.col("nests") | F.exists("parts", lambda b: F.coalesce(b["type"].isin("image", "thinking"), F.lit(False))))
     line = F.when(changed, again).otherwise(F.trim("line"))
     rows = recs.where(F.trim("line") != "").join(sessions_.select("path", "session_uuid"), "path").groupBy("session_uuid").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))).alias("x"))
     return rows.select("session_uuid", F.array_join(F.transform("x", lambda v: v["l"]), "\n").alias("raw_jsonl"))

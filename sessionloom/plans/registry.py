@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import export, lists, redact, search, stats
-from ..operators.tables import by_prefix, first_of_batch, new_rows
+from ..functions.text import display_paths, export_name, hours_minutes, tool_line
+from ..operators import anonymise, export, lists, redact, search, stats
+from ..operators.tables import by_prefix, first_of_batch, known_rows, new_rows, orphans
 from ..sources.sessions import lines_of_conversations, lines_of_events
 from ..streaming import live
 from . import parsing
@@ -85,6 +86,70 @@ def redact_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(redact.redacted(F.col("text"), redact.RULES + TOKENS), 256).alias("redacted_sha256"))
 
 
+def semi_join_known(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
+    return known_rows(docs.where("source <> 'src0'"), docs.where("source = 'src0'"), "file_hash").select("doc_id")
+
+
+def talk_messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    recs = talk_records(spark, d)
+    s = parsing.sessions(recs, INGEST)
+    return s, parsing.messages(recs, s)
+
+
+def session_detail(spark: SparkSession, d: str) -> DataFrame:
+    nested = lists.with_messages(*talk_messages(spark, d))
+    return nested.select("session_uuid", F.array_join(F.transform("messages", lambda m: F.concat_ws(" ", m["timestamp"], m["role"], m["id"])), "\n").alias("messages"))
+
+
+def orphan_messages(spark: SparkSession, d: str) -> DataFrame:
+    s, m = talk_messages(spark, d)
+    return orphans(m, s.where("git_branch <> 'b0'")).select("id", "session_uuid")
+
+
+def raw_readback(spark: SparkSession, d: str) -> DataFrame:
+    recs = talk_records(spark, d)
+    raw = parsing.raw_transcripts(recs, parsing.sessions(recs, INGEST))
+    lines = raw.select("session_uuid", F.posexplode(F.split("raw_jsonl", "\n")).alias("pos", "line"))
+    return lines.select("session_uuid", (F.col("pos") + 1).alias("line_no"), F.get_json_object("line", "$.timestamp").alias("timestamp"), F.sha2(F.get_json_object("line", "$.message.content[0].text"), 256).alias("text_sha256"))
+
+
+def page_envelope(spark: SparkSession, d: str) -> DataFrame:
+    found = lists.envelope(event_sessions(spark, d), 500, 100, now=CLOCK, branch="b1")
+    return found.select(F.size("items").alias("n_items"), F.element_at("items", 1)["session_uuid"].alias("oldest"), "total", "has_more")
+
+
+def event_blocks(spark: SparkSession, d: str) -> DataFrame:
+    recs = parsing.records(lines_of_events(table(spark, d, "events")), strict=False)
+    return parsing.blocks(recs, parsing.sessions(recs, INGEST))
+
+
+def session_labels(spark: SparkSession, d: str) -> DataFrame:
+    start, spent = F.col("started_at"), F.col("duration_secs")
+    shown = event_sessions(spark, d).select("session_uuid", F.substring("session_uuid", 1, 8).alias("short_id"), F.substring(start, 1, 10).alias("day"), F.floor(spent / 60).alias("minutes"), hours_minutes(spent).alias("duration"), export_name(F.col("slug"), F.col("session_uuid"), start).alias("filename"))
+    return shown
+
+
+def files_modified(spark: SparkSession, d: str) -> DataFrame:
+    recs = parsing.records(lines_of_events(table(spark, d, "events")), strict=False)
+    s = parsing.sessions(recs, INGEST, writers=("click", "view"))
+    return s.select("session_uuid", F.array_join("files_modified", ",").alias("files_modified"), F.array_join(display_paths(F.col("files_modified"), F.lit("/f")), ",").alias("display_paths"))
+
+
+def safe_paths(spark: SparkSession, d: str) -> DataFrame:
+    return anonymise.pseudonymize_paths(event_blocks(spark, d).where("file_path IS NOT NULL")).select("session_uuid", "seq", "file_path", "safe_path")
+
+
+def scrubbed_talks(spark: SparkSession, d: str) -> DataFrame:
+    """The scrubbed lines of all talks, parsed again."""
+    recs = talk_records(spark, d)
+    again = recs.select("source_id", "path", "project_dir").distinct().join(anonymise.anonymised(recs, KEYWORDS, "/c/", "/safe/"), "path")
+    return parsing.sessions(parsing.records(again, strict=False), INGEST).select("session_uuid", "cwd", "project_name", "message_count", "user_messages", "asst_messages")
+
+
+KEYWORDS = ("the", "this", "and")
+
+
 #: A secret for each rule, appended to documents by key.
 SECRETS = (
     "sk-ant-" + "a1" * 32, "sk-" + "b2" * 22, "AKIA" + "C3" * 8, "aws_secret = " + "d4" * 20, "AQoXb" + "e5" * 55, "arn:aws:s3:eu-west-1:123456789012:bucket/x", "Bearer " + "f6" * 12, "ghp_" + "a7" * 18, "eyJh.eyJi.c-1",
@@ -125,6 +190,18 @@ QUERIES = {
     "summary": lambda s, d: event_sessions(s, d).select("session_uuid", "summary"),
     "dedup_first": dedup_first,
     "anti_join_new": anti_join_new,
+    "semi_join_known": semi_join_known,
+    "session_detail": session_detail,
+    "orphan_messages": orphan_messages,
+    "raw_readback": raw_readback,
+    "page_envelope": page_envelope,
+    "tool_lines": lambda s, d: event_blocks(s, d).where("block_type = 'tool_use'").select("session_uuid", "seq", "tool_name", tool_line(F.col("tool_input")).alias("tool_line")),
+    "session_labels": session_labels,
+    "files_modified": files_modified,
+    "storage_size": lambda s, d: stats.storage(table(s, d, "documents").select(F.octet_length("text").alias("file_size_bytes"))),
+    "scrub_text": lambda s, d: table(s, d, "documents").select("doc_id", anonymise.scrub_text(F.col("text"), KEYWORDS).alias("scrubbed")),
+    "pseudonymize_paths": safe_paths,
+    "scrubbed_talks": scrubbed_talks,
     "prefix_lookup": lambda s, d: by_prefix(event_sessions(s, d), "00001").select("session_uuid", "outcome"),
     "redact_documents": redact_documents,
     "redaction_report": redaction_report,
@@ -174,6 +251,19 @@ SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(
 """
 
 
+CALLS = """
+WITH c AS (
+  SELECT printf('%06d-', user_id) || strftime(ts, '%Y-%m-%d') AS session_uuid, '/f/' || (event_id % 7) AS file_path, event_type,
+    (1 + row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id))::INTEGER AS seq FROM events
+)
+"""
+
+
+def _scrub_sql(text: str) -> str:
+    kept = f"array_to_string(list_filter([{', '.join(_quoted(k) for k in sorted(KEYWORDS))}], lambda k: contains({text}, k)), ', ')"
+    return f"CASE WHEN {text} = '' THEN {text} WHEN {kept} <> '' THEN '[sanitized text; keywords: ' || {kept} || ']' WHEN {text} IS NOT NULL THEN '[sanitized text]' END"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -223,6 +313,18 @@ ORACLE_SQL = {
     "summary": EVENTS + "SELECT session_uuid, 'Untitled session. session of user ' || user_id || '. Tools: ' || array_to_string(tools_used[1:5], ', ') AS summary FROM s",
     "dedup_first": "SELECT file_hash, source AS source_ord, doc_id AS path FROM (SELECT sha256(text) AS file_hash, source, doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY source, doc_id) AS n FROM documents) WHERE n = 1",
     "anti_join_new": "SELECT doc_id FROM documents d WHERE source <> 'src0' AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.source = 'src0' AND sha256(o.text) = sha256(d.text))",
+    "semi_join_known": "SELECT doc_id FROM documents d WHERE source <> 'src0' AND EXISTS (SELECT 1 FROM documents o WHERE o.source = 'src0' AND sha256(o.text) = sha256(d.text))",
+    "session_detail": TALKS + "SELECT sid AS session_uuid, string_agg(stamp || ' ' || CASE WHEN role = 'assistant' THEN role ELSE 'user' END || ' ' || sid || ':m' || conv_id || '-' || turn, chr(10) ORDER BY stamp, turn) AS messages FROM t WHERE role <> 'system' GROUP BY sid",
+    "orphan_messages": TALKS + "SELECT sid || ':m' || conv_id || '-' || turn AS id, sid AS session_uuid FROM t WHERE role <> 'system' AND conv_id % 3 = 0",
+    "raw_readback": TALKS + "SELECT sid AS session_uuid, (row_number() OVER (PARTITION BY sid ORDER BY turn))::INTEGER AS line_no, stamp AS timestamp, sha256(text) AS text_sha256 FROM t WHERE sid IN (SELECT session_uuid FROM s)",
+    "page_envelope": EVENTS + ", p AS (SELECT session_uuid, started_at FROM s WHERE git_branch = 'b1' ORDER BY started_at DESC, session_uuid LIMIT 500 OFFSET 100) SELECT count(*)::INTEGER AS n_items, arg_min(session_uuid, (started_at, session_uuid)) AS oldest, (SELECT count(*) FROM s WHERE git_branch = 'b1') AS total, 100 + count(*) < (SELECT count(*) FROM s WHERE git_branch = 'b1') AS has_more FROM p",
+    "tool_lines": CALLS + "SELECT session_uuid, seq, event_type AS tool_name, file_path AS tool_line FROM c",
+    "session_labels": EVENTS + "SELECT session_uuid, left(session_uuid, 8) AS short_id, left(started_at, 10) AS day, duration_secs // 60 AS minutes, CASE WHEN duration_secs > 0 THEN (duration_secs // 3600) || 'h ' || (duration_secs % 3600 // 60) || 'm' END AS duration, replace(left(session_uuid, 8) || '-' || left(started_at, 10) || '.md', '--', '-') AS filename FROM s",
+    "files_modified": CALLS + "SELECT session_uuid, coalesce(string_agg(DISTINCT file_path, ',' ORDER BY file_path) FILTER (event_type IN ('click', 'view')), '') AS files_modified, coalesce(string_agg(DISTINCT file_path[4:], ',' ORDER BY file_path[4:]) FILTER (event_type IN ('click', 'view')), '') AS display_paths FROM c GROUP BY 1",
+    "storage_size": "SELECT coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM documents",
+    "scrub_text": "SELECT doc_id, " + _scrub_sql("text") + " AS scrubbed FROM documents",
+    "pseudonymize_paths": CALLS + ", f AS (SELECT session_uuid, file_path, min(seq) AS seq FROM c GROUP BY 1, 2), n AS (SELECT session_uuid, file_path, printf('src/example_%02d.py', row_number() OVER (PARTITION BY session_uuid ORDER BY seq)) AS safe_path FROM f) SELECT session_uuid, c.seq, file_path, safe_path FROM c JOIN n USING (session_uuid, file_path)",
+    "scrubbed_talks": TALKS + ", x AS (SELECT sid, role, turn, conv_id, " + _scrub_sql("text") + " AS text FROM t) SELECT sid AS session_uuid, '/safe/talk' || (conv_id % 5) AS cwd, 'talk' || (conv_id % 5) AS project_name, count(*) AS message_count, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS user_messages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS asst_messages FROM x WHERE role <> 'system' GROUP BY sid, conv_id",
     "prefix_lookup": EVENTS + ", p AS (SELECT session_uuid FROM s WHERE starts_with(session_uuid, '00001') ORDER BY 1 LIMIT 10) SELECT session_uuid, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM p",
     "redact_documents": _redact_sql(),
     "redaction_report": _report_sql(),

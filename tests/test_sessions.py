@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from sessionloom.operators import export, redact, search
+from sessionloom.operators import anonymise, export, redact, search
 from sessionloom.operators.tables import Store, orphans
 from sessionloom.plans import parsing
 from sessionloom.plans.ingest import ingest_available, outcome_counts
@@ -55,6 +55,34 @@ def test_fold(spark, tmp_path):
     assert "**🔧 Write**" in text.markdown and '  "file_path": "/b.py"' in text.markdown and text.filename == "s1-2026-01-01.md"
 
 
+def test_cleaned_transcript(spark, tmp_path):
+    picture = {"type": "image", "source": {"type": "base64", "media_type": "image/gif", "data": "SECRET"}}
+    result = {"type": "tool_result", "tool_use_id": "t", "is_error": False, "content": ["bare", {"type": "text", "text": 'an "image"'}, picture]}
+    session(tmp_path, "s.jsonl", user("x", extra={"k": [1, "é"]}, message={"role": "user", "content": [picture, "[bare]", None, result, {"type": "tool_result", "content": 'no "image" here'}]}), user("y", uuid="u2"))
+    recs, s = folded(spark, tmp_path)
+    gone = {"type": "image", "omitted": True, "media_type": "image/gif"}
+    want = [gone, "[bare]", None, result | {"content": [*result["content"][:2], gone]}, {"type": "tool_result", "content": 'no "image" here'}]
+    first, second = map(json.loads, parsing.raw_transcripts(recs, s).first().raw_jsonl.split("\n"))
+    assert first == user("x", extra={"k": [1, "é"]}, message={"role": "user", "content": want}) and second == user("y", uuid="u2")
+    assert json.loads(parsing.messages(recs, s).where("uuid = 'u1'").first().content_json) == want
+    kept = parsing.records(split_lines(scan_files(spark, [Source("a", str(tmp_path))])), nested_images=True)
+    assert json.loads(parsing.messages(kept, s).where("uuid = 'u1'").first().content_json)[3] == result
+
+
+def test_anonymised(spark, tmp_path):
+    session(tmp_path, "s.jsonl", user("fix CORS now", message={"content": "about auth and CORS"}), user("m", isMeta=True, uuid="u9"), {"type": "file-history-snapshot", "snapshot": {"trackedFileBackups": {"/z.py": {"v": 3}, "": {}}}},
+        assistant({"type": "text", "text": ""}, {"type": "tool_use", "id": "t", "name": "Write", "input": {"file_path": "/b.py", "content": "private"}}, {"type": "tool_use", "id": "t", "name": "Edit", "input": {"path": "/z.py"}}, {"type": "thinking", "thinking": "hm"}),
+        {"type": "ai-title", "aiTitle": "The CORS plan", "sessionId": "s1"}, {"type": "last-prompt", "lastPrompt": "private", "sessionId": "s1"}, b"{bad",
+    )
+    recs, s = folded(spark, tmp_path)
+    out = [json.loads(r.line) for r in anonymise.anonymised(recs, ("auth", "CORS"), "/home/x/", "/home/safe/").orderBy("line_no").collect()]
+    assert [o["type"] for o in out] == ["user", "user", "file-history-snapshot", "assistant", "ai-title", "last-prompt"]
+    assert out[0]["message"]["content"] == [{"type": "text", "text": "[sanitized text; keywords: CORS, auth]"}] and out[0]["cwd"] == "/home/safe/proj"
+    assert "message" not in out[1] and out[2]["snapshot"] == {"trackedFileBackups": {"src/example_01.py": {"version": 1}}}
+    assert [b.get("input", {}).get("file_path") for b in out[3]["message"]["content"]] == [None, "src/example_02.py", "src/example_01.py", None]
+    assert out[3]["message"]["usage"] == {"input_tokens": 3, "output_tokens": 5} and "CORS" in out[4]["aiTitle"] and "private" not in json.dumps(out)
+
+
 def test_ingest_twice_is_ingest_once(spark, tmp_path):
     files, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
     session(files, "a.jsonl", user("hello token: " + "a" * 44))
