@@ -62,11 +62,13 @@ class Words:
         return self.text[self.starts[first] : self.starts[end] - 1]
 
     def keep(self, first: int, kept: np.ndarray) -> bytes:
-        return b" ".join([self.words[first + i] for i in np.flatnonzero(kept)])
+        if len(kept) and kept.all():
+            return self.cut(first, first + len(kept))
+        return b" ".join(itertools.compress(self.words[first : first + len(kept)], kept.tolist()))
 
     @staticmethod
     def windows(packed: bytes, k: int) -> list[bytes]:
-        ends = [i for i, c in enumerate(packed) if c == 32] + [len(packed)]
+        ends = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32).tolist() + [len(packed)]
         starts = [0] + [e + 1 for e in ends[:-1]]
         return [packed[starts[i] : ends[i + k - 1]] for i in range(len(ends) - k + 1)]
 
@@ -152,7 +154,8 @@ class Block:
 
     def __init__(self, docs: pd.DataFrame, kind: type, k: int, m: int):
         docs = docs.assign(doc_id=docs.doc_id.astype("Int64"))
-        order = sorted(range(len(docs)), key=lambda i: (docs.doc_id.iloc[i] is not pd.NA, docs.doc_id.iloc[i] if docs.doc_id.iloc[i] is not pd.NA else 0, docs.text.iloc[i] or ""))
+        known, ids, texts = docs.doc_id.notna().tolist(), docs.doc_id.fillna(0).tolist(), docs.text.tolist()
+        order = sorted(range(len(docs)), key=lambda i: (known[i], ids[i], texts[i] or ""))
         docs = docs.iloc[order]
         self.docs = docs
         self.doc_ids = [None if d is pd.NA else int(d) for d in docs.doc_id]
