@@ -199,76 +199,152 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints in a tile, and how many standard deviations of chance are allowed for.
-TILE, ROOM, FIRST_ROOM = 8192, 1.0, 3.0
+#: Documents that common shingles are counted in, at most about twice this, and those shingles kept; shingles of a
+#: task's share of a block, where each document counts as so many more; sets up to which a shingle's pairs are listed.
+COUNTED, COMMON, SHARE, EACH, FEW = 8192, 1 << 20, 1 << 20, 512, 64
+#: Room for rounding where a number of shingles is held against a share of others.
+HAIR = 1e-9
 
 
-def bits_apart(similarity: float, bits: int, room: float) -> int:
-    """Bits in which the SimHashes of two sets of one size with this Jaccard similarity may differ."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + room * math.sqrt(bits * p * (1 - p)))
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in three or more of a sample of the rows, ascending, and how many rows have them.
 
+    They only set the order in which shingles are looked at, so a sample doesn't cost a pair.
+    """
+    keep = max(1, rows.count() // COUNTED)
 
-def similar_edges(prints: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between rows id, fp, more, n of prints whose fingerprints, four words long, are as near as those of
-    sets with the similarity.
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["token"])
 
-    At this radius the balls round any vantage fingerprint overlap wholly: its bound parts no pair. The
-    bound that is left is the one from the empty set, the number of shingles. So rows are ranged
-    by it (and by hash among equals), and each pair of ranges that the bound can't part is a task.
-    """
-    spark = prints.sparkSession
-    near, all_near = bits_apart(similarity, BITS, FIRST_ROOM), bits_apart(similarity, 4 * BITS, ROOM)
-    keyed = prints.withColumn("place", F.col("n") + F.expr("pmod(fp, 65536) / 65536D"))
-    tiles = max(1, math.ceil(keyed.count() / TILE))
-    cuts = keyed.agg(F.percentile_approx("place", [i / tiles for i in range(1, tiles)], 20 * tiles)).first()[0] if tiles > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.float64))
-    low, high = np.floor(np.concatenate([[0], cuts])), np.floor(np.concatenate([cuts, [np.inf]]))
-    partners = [[(min(i, j), max(i, j)) for j in range(len(low)) if low[max(i, j)] * similarity * 0.9 <= high[min(i, j)] + 1] for i in range(len(low))]
-
-    def deal(batches):
+    tokens = rows.where(F.expr(f"pmod(xxhash64(doc_id, 23), {keep}L) = 0")).mapInArrow(run, "token long")
+    found = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
+    hashes, counts = (found.column(k).to_numpy() for k in ("token", "c"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order]
+
+
+def shingled(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, digest of the set of shingles, n, its size, and prefix: its rarest shingles, so many that two sets with the
+    similarity share one of them."""
+    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+
+    def run(batches):
+        common, often = shared.value
         for batch in batches:
-            tile = np.searchsorted(cuts, batch.column("place").to_numpy(zero_copy_only=False), side="right")
-            pairs = [partners[t] for t in tile]
-            at = np.repeat(np.arange(len(tile)), [len(p) for p in pairs])
-            flat = np.array([p for ps in pairs for p in ps], np.int64).reshape(-1, 2)
-            rows = batch.select(["id", "fp", "more"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["id", "fp", "more", "a", "b"])
+            digests, sizes, prefixes = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(text, shingle))
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                count = np.where(common[at] == h, often[at], 0) if len(common) else np.zeros(len(h), np.int64)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(h))
+                prefixes.append(h[np.argsort(count, kind="stable")[: len(h) - math.ceil(similarity * len(h) - HAIR) + 1]].view(np.int64))
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "prefix"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, prefix array<long>")
+
+
+def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The least index of the component of each set of hashes, none empty; sets link at this Jaccard similarity."""
+    root = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    values, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens = np.split(tokens, np.cumsum(sizes)[:-1])
+    flags = np.zeros(len(values), np.uint8)
+    left = np.arange(1, len(sets))
+    first, front, flat, starts = 0, [0], None, None
+    while len(left):
+        if not front:
+            first, front, left, flat = left[0], [left[0]], left[1:], None
+            continue
+        if flat is None:
+            flat, starts = np.concatenate([tokens[i] for i in left]), spans(sizes[left])[:-1]
+        p = front.pop()
+        flags[tokens[p]] = 1
+        both = np.add.reduceat(flags[flat], starts, dtype=np.int64)
+        flags[tokens[p]] = 0
+        hit = both + HAIR >= similarity * (sizes[p] + sizes[left] - both)
+        if hit.any():
+            root[left[hit]] = first
+            front += left[hit].tolist()
+            left, flat = left[~hit], None
+    return root
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, first = rows.id.to_numpy(), rows.fp.to_numpy().view(np.uint64)
-        others = np.array(rows.more.tolist(), np.int64).view(np.uint64).reshape(len(rows), -1)
 
-        def linked(i, j):
-            d = np.bitwise_count(first[i][:, None] ^ first[j])
-            hit = d <= near
-            p, q = np.nonzero(hit)
-            hit[p, q] = d[p, q] + np.bitwise_count(others[i[p]] ^ others[j[q]]).sum(axis=1) <= all_near
-            return hit
+def similar_edges(rows: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Edges (u, v) that join the ids of rows(doc_id, text) as all pairs of sets with the similarity would.
 
-        root = stars(len(ids), linked)
-        at = np.flatnonzero(root != np.arange(len(ids)))
-        return pd.DataFrame({"u": ids[at], "v": ids[root[at]]})
+    classes has id, n and prefix of each distinct set. Sets with the similarity share a shingle of
+    their prefixes. Where at most FEW sets have that shingle, each pair of fitting sizes is compared; sets that share one
+    of more sets are a block, and a large block is dealt into shares, each pair of them a
+    group. Either way sets are made again from the text and compared exactly; no pair is lost.
+    """
+    spark = rows.sparkSession
+    # of two unequal sets with the similarity, the larger has at least 1 / (1 - similarity) shingles and the other one less
+    tokens = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", "n", F.explode("prefix").alias("token"))
+    counts = tokens.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    shared = stored(tokens.join(counts, "token"), "tokens")
+
+    few = shared.where(f"sets <= {FEW}").select("token", "id", "n")
+    fits = (F.col("id") < F.col("v")) & (F.least("n", "m") + HAIR >= similarity * F.greatest("n", "m"))
+    pairs = few.join(few.select("token", F.col("id").alias("v"), F.col("n").alias("m")), "token").where(fits).select("id", "v").distinct()
+    pairs = stored(pairs, "pairs")
+    singly = pairs.select(F.col("v").alias("id"), F.col("id").alias("block")).unionByName(pairs.select("id", F.col("id").alias("block")).distinct())
+    singly = singly.select("id", "block", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
+
+    joined = stored(connected(shared.where(f"sets > {FEW} AND id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))), "blocks")
+    members = joined.select(F.col("node").alias("id"), F.col("root").alias("block")).unionByName(joined.select(F.col("root").alias("id"), F.col("root").alias("block")).distinct())
+    loads = classes.groupBy("id").agg(F.sum(F.col("n") + EACH).alias("load"))
+    shares = members.join(loads, "id").groupBy("block").agg(F.ceil(F.sum("load") / SHARE).alias("shares"))
+    placed = members.join(shares, "block").withColumn("share", F.expr("pmod(xxhash64(id, 29), shares)"))
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0L, shares - 1)"))).where("shares = 1 OR other <> share")
+    dealt = dealt.select("id", "block", F.least("share", "other").alias("a"), F.greatest("share", "other").alias("b"))
+
+    def compare(batches):
+        key, ids, sets, found = None, [], [], []
+
+        def close():
+            if key is not None and key[1] >= 0 and sets:
+                found.extend((ids[i], ids[r]) for i, r in enumerate(similar_roots(sets, similarity).tolist()) if i != r)
 
-    dealt = keyed.mapInArrow(deal, "id long, fp long, more array<long>, a long, b long")
-    return dealt.repartition(partitions(spark), "a", "b").groupBy("a", "b").applyInPandas(compare, "u long, v long")
+        for batch in batches:
+            for block, a, b, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, a, b) != key:
+                    close()
+                    key, ids, sets = (block, a, b), [], []
+                h = np.unique(shingle_hashes(text, shingle))
+                if not len(h):
+                    continue
+                if a < 0 and i != block:
+                    found += [(i, block) for s in sets if similar_roots([s, h], similarity)[1] == 0][:1]
+                else:
+                    ids.append(i)
+                    sets.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+            found.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    # the block's first set comes before those that are compared with it alone
+    texts = rows.join(singly.unionByName(dealt), F.col("doc_id") == F.col("id")).select("block", "a", "b", "id", "text")
+    return texts.repartition(partitions(spark), "block", "a", "b").sortWithinPartitions("block", "a", "b", "id").mapInArrow(compare, "u long, v long")
 
 
 def first_of_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, without near copies of a row with a smaller id.
 
-    Near copies have sets of five-word shingles whose similarity, as told by 256 fingerprint bits,
-    is 0.8 or more; groups are closed under links. Of equal fingerprints one row is compared. Null
-    and blank texts are copies of each other. Rows with a null id are kept and not compared; rows
-    of one id count as one document.
+    Near copies have sets of five-word shingles whose Jaccard similarity is 0.8 or more; groups are
+    closed under links. Of equal sets one is compared. Null and blank texts are copies of each other.
+    Rows with a null id are kept and not compared; rows of one id count as one document.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
-    prints = stored(fingerprinted(rows, shingle, words=4, distinct=True), "fingerprints")
-    classes = prints.groupBy("fp", "more").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    copies = prints.join(classes.select("fp", "more", "id"), ["fp", "more"]).where("doc_id > id").select(F.col("doc_id").alias("gone"))
-    near = connected(similar_edges(classes, similarity)).select(F.col("node").alias("gone"))
-    gone = copies.unionByName(near)
+    prints = stored(shingled(rows, similarity, shingle), "shingles")
+    classes = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
+    copies = prints.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id > id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    gone = connected(similar_edges(rows, classes, similarity, shingle).unionByName(copies)).select(F.col("node").alias("gone"))
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
 
 

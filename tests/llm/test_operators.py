@@ -150,6 +150,26 @@ def test_first_of_groups(spark, odd, none):
     assert fingerprints.first_of_groups(none).count() == 0 and fingerprints.first_of_groups(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize(("share", "few"), [(1 << 20, 64), (3000, 1)])
+def test_near_copies_by_exact_similarity(spark, docs, monkeypatch, share, few):
+    monkeypatch.setattr(fingerprints, "SHARE", share, raising=False)
+    monkeypatch.setattr(fingerprints, "FEW", few, raising=False)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts, boilerplate = docs.text[:60].tolist(), " ".join(rng.choice(words, 40))
+    for k in range(80):
+        base = rng.choice(words, int(rng.integers(8, 250))).tolist()
+        texts.append(" ".join([*base, boilerplate] if k % 4 == 0 else base))
+        new = [*base, *rng.choice(words, int(len(base) * rng.uniform(0.05, 0.4)))] if k % 2 else base[int(len(base) * rng.uniform(0, 0.3)) :]
+        texts.append(" ".join([*new, boilerplate] if k % 4 == 0 else new))
+    sets = [set(fingerprints.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = np.array([[1.0 if a == b else len(a & b) / len(a | b) for b in sets] for a in sets])
+    assert ((alike > 0.7) & (alike < 0.8)).sum() > 20 and ((alike >= 0.8) & (alike < 0.9)).sum() > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in fingerprints.first_of_groups(df).collect()}
+    assert got == set(components(alike >= 0.8).tolist())
+
+
 def test_substrings_on_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in superkmers.substring_dedup(odd).collect()}
     assert (1, 180, 180) in got and (4, 180, 180) in got and (2, 0, 0) in got and (None, 2, 0) in got and (5, 30_000, 30_000) in got
