@@ -6,7 +6,8 @@ the first bits, keeps the bits whose literal fits the character read, and keeps
 followed by `*` as they were. Every URL of a batch takes the same step at once.
 
 Rules are `host/path-prefix`; each becomes two globs, `host/path*` and `*.host/path*`, over the
-canonical URL (lower-case host, then the path, without query and fragment).
+canonical URL (lower-case host, then the path, without query and fragment). The leading `*` reads no `/`, so
+a rule's host fits the URL's host only, never text in its path.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ RULES = (Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block",
 
 
 class ShiftAnd:
-    """Globs (`*` any run, `?` any byte, all else itself) over bytes, anchored at both ends."""
+    """Globs (`*` any run, at the start a run without `/`, `?` any byte, all else itself) over bytes, anchored at both ends."""
 
     def __init__(self, globs: list[str]):
         literals: list[list[int]] = []
@@ -97,11 +98,13 @@ class ShiftAnd:
         text = np.zeros((len(urls), int(lengths.max(initial=0))), np.uint8)
         for row, u in zip(text, urls, strict=True):
             row[: len(u)] = np.frombuffer(u, np.uint8)
+        # a leading * may end no later than at the first /
+        ends = np.where((text == ord("/")).any(axis=1), (text == ord("/")).argmax(axis=1), lengths) if text.shape[1] else lengths
         state = np.zeros((len(urls), self.words), np.uint64)
         for k in range(text.shape[1]):
             shifted = state << np.uint64(1)
             shifted[:, 1:] |= state[:, :-1] >> np.uint64(63)
-            shifted = (shifted & ~self.start) | (self.start if k == 0 else self.always)
+            shifted = (shifted & ~self.start) | (self.start if k == 0 else np.where((k <= ends)[:, None], self.always, np.uint64(0)))
             new = (shifted & self.table[text[:, k]]) | (state & self.loop)
             state = np.where((k < lengths)[:, None], new, state)
         return np.column_stack([(lengths == 0) | f if isinstance(f, bool) else (state[:, f[0]] & f[1]) != 0 for f in self.last])

@@ -84,6 +84,17 @@ def test_url_rules(spark, none):
     assert many.matches([b"h7a/bbx", b"h39z/x", b"h7a/y"]).nonzero()[1].tolist() == [7, 39]
 
 
+def test_url_rules_fit_hosts_not_paths(spark):
+    urls = ["http://archive.org/web/www.site.net/x", "http://a.com/r/x.org/fr/y", "http://a.com/.net/", "http://b.net/x.org/fr/", "http://a.com/.example.com/de/1", "http://x.org/fr/a.net/", "http://a.com//.net/", "http://.net/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    c = duckdb.connect()
+    c.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    got = url_rules.url_verdicts(df).toPandas()
+    assert rows(got) == rows(c.sql(url_rules.OP2_SQL).df())
+    assert got.sort_values("page_id").rule.where(got.rule.notna(), None).tolist() == [None, None, None, "net/", None, "org/fr/", None, "net/"]
+
+
 def test_quality(spark, odd, none):
     labels = common.read(spark, "/root/testdata/sf0.01", "labels")
     got = quality.quality_scores(common.read(spark, "/root/testdata/sf0.01", "documents"), labels).toPandas()
