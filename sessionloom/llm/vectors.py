@@ -2,9 +2,9 @@
 
 Vectors of one label are compared as points on the unit sphere, where cosine >= t means a distance
 of at most sqrt(2 - 2 t). Equal vectors are one point with a weight. The top of a label's
-cover tree is a net of centres from a bounded sample; each point joins its nearest centre. Pairs of cells
-that the covering radii can't part go to tasks of their own, so a label with a third of
-all rows is many tasks. There each cell becomes a tree with halving radii, and the two trees are
+cover tree is a net of centres from a bounded sample; each point joins its nearest centre. Larger cells, as of
+tight groups, are dealt into chunks by hash. Pairs of chunks whose cells the covering radii can't part go to tasks of
+their own, so a label or a group with a third of all rows is many tasks. There each chunk becomes a tree with halving radii, and the two trees are
 walked together: a pair of nodes is dropped if its centres are farther apart than both radii and the
 threshold, taken as a whole if it is nearer than the threshold less both radii, and opened otherwise. Pairs
 of points are decided by their cosine in double precision.
@@ -170,31 +170,27 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             yield pd.DataFrame({"label": batch.label, "d": batch.d, "id": batch.id, "weight": batch.weight, "vector": batch.vector, "cell": found, "far": far})
 
     settled = stored(points.join(nets, ["label", "d"], "left").mapInPandas(settle, "label string, d int, id long, weight long, vector array<double>, cell long, far double"), "cells")
-    radii = settled.groupBy("label", "d").agg(F.collect_set("cell").alias("cells"), F.max("far").alias("far"))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-
-    def pairs(batches):
-        for batch in batches:
-            out = []
-            for label, d, cells, centers, radius in zip(batch.label, batch.d, batch.cells, batch.centers, batch.radii, strict=True):
-                r = dict(zip(cells, radius, strict=True))
-                for i in sorted(cells):
-                    for j in sorted(cells):
-                        if i <= j and (i == j or np.linalg.norm(np.array(centers[i]) - np.array(centers[j])) <= r[i] + r[j] + reach + 1e-5):
-                            out += [(label, d, i, i, j), (label, d, j, i, j)] if i != j else [(label, d, i, i, i)]
-            yield pd.DataFrame(out, columns=["label", "d", "cell", "a", "b"])
-
-    by_cell = settled.groupBy("label", "d", "cell").agg(F.max("far").alias("far"))
-    radii = by_cell.groupBy("label", "d").agg(F.collect_list("cell").alias("cells"), F.collect_list("far").alias("radii"))
-    cell_pairs = radii.join(nets, ["label", "d"], "left").select("label", "d", "cells", "centers", "radii").mapInPandas(pairs, "label string, d int, cell long, a long, b long")
-    dealt = settled.join(cell_pairs, ["label", "d", "cell"])
+    # a cell over CELL points is dealt into chunks by hash, so that a tight group of any size is many tasks
+    cells = settled.groupBy("label", "d", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / CELL).alias("chunks"))
+    parts = settled.join(cells.select("label", "d", "cell", "chunks"), ["label", "d", "cell"]).withColumn("chunk", F.expr("pmod(xxhash64(id, 31), chunks)"))
+    placed = stored(cells.join(nets, ["label", "d"], "left").select("label", "d", "cell", "far", "chunks", F.get("centers", F.col("cell").cast("int")).alias("center")), "nets")
+    left, right = (placed.select("label", "d", *[F.col(c).alias(c + side) for c in ("cell", "far", "chunks", "center")]) for side in "ab")
+    apart = F.sqrt(F.aggregate(F.zip_with("centera", "centerb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y))
+    meet = (F.col("cella") == F.col("cellb")) | ((F.col("cella") < F.col("cellb")) & (apart <= F.col("fara") + F.col("farb") + reach + 1e-5))
+    pairs = left.join(right, ["label", "d"]).where(meet).select("label", "d", F.col("cella").alias("a"), F.col("cellb").alias("b"), "chunksa", "chunksb")
+    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0L, chunksa - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, chunksb - 1)"))).where("a < b OR i <= j")
+    pairs = pairs.select("label", "d", "a", "i", "b", "j")
+    sides = pairs.withColumns({"cell": F.col("a"), "chunk": F.col("i")}).unionByName(pairs.where("a < b OR i < j").withColumns({"cell": F.col("b"), "chunk": F.col("j")}))
+    dealt = parts.join(sides, ["label", "d", "cell", "chunk"]).select("label", "d", "id", "weight", "vector", "cell", "chunk", "a", "i", "b", "j")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group.a.iloc[0], group.b.iloc[0]
-        near = group[group.cell == a].sort_values("id")
-        return cell_links(near, None if a == b else group[group.cell == b].sort_values("id"), threshold)
+        a, i, b, j = (group[k].iloc[0] for k in ("a", "i", "b", "j"))
+        first = (group.cell == a) & (group.chunk == i)
+        return cell_links(group[first].sort_values("id"), None if (a, i) == (b, j) else group[~first].sort_values("id"), threshold)
 
-    found = stored(dealt.repartition(partitions(spark), "label", "d", "a", "b").groupBy("label", "d", "a", "b").applyInPandas(compare, "id long, links long, root long"), "links")
+    task = ["label", "d", "a", "i", "b", "j"]
+    found = stored(dealt.repartition(partitions(spark), *task).groupBy(*task).applyInPandas(compare, "id long, links long, root long"), "links")
     roots = connected(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = points.select("label", "d", "vector", "id").join(links, "id").join(roots, F.col("id") == F.col("node"), "left")

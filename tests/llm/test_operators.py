@@ -258,6 +258,24 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_a_tight_group_are_many_tasks(spark, monkeypatch):
+    whole = vectors.cell_links
+
+    def bounded(near, far, threshold):
+        assert len(near) <= 60 and (far is None or len(far) <= 60)
+        return whole(near, far, threshold)
+
+    monkeypatch.setattr(vectors, "CELL", 20)
+    monkeypatch.setattr(vectors, "cell_links", bounded)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(200, 8)) * 0.02, rng.normal(size=(100, 8))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    want = [(i, int(linked[i].sum()) - 1, int(c), i == c) for i, c in enumerate(components(linked))]
+    assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == want
+
+
 def test_parsing(spark, docs, odd, none):
     got = parsing.op10_parsing(spark, DATA).toPandas().sort_values("doc_id", ascending=False)
     texts = docs.text.tolist()[::-1]
