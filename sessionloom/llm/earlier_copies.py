@@ -1,10 +1,9 @@
-"""Suffix-array dedup: longest-previous-factor arrays remove later copies and keep the first.
+"""Suffix-order dedup: later copies of windows are removed and the first is kept.
 
 Byte windows come together in buckets by their minimisers (see superkmers). A bucket sorts its
-suffixes by their first k bytes, takes the common prefixes of neighbours, and finds for each suffix
-the previous and the next one of a smaller document without leaving its run of common
-prefixes of k or more. If there is either, the longest previous factor reaches k: the window is a
-later copy.
+suffixes by their first k bytes and takes the least document of each run of equal ones. A window
+whose run has a smaller document is a later copy. This stands in for a longest-previous-factor array with
+its previous and next smaller positions: only whether a factor reaches k is asked.
 """
 
 from __future__ import annotations
