@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) one is made and set.
+    Only where that setting is absent in a local session, as in tests, one is made and set. On a cluster
+    its absence is an error: each executor would write to a disk of its own.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError(f"{SETTING} must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +48,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+#: Arrow types of the types named in the operators' schemas.
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def table(schema: str, *columns) -> pa.Table:
+    """An Arrow table of columns in the order of a schema text such as "a long, b binary"; nulls stay null."""
+    names, kinds = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, KINDS[k]) for c, k in zip(columns or [[]] * len(names), kinds, strict=True)], names=list(names))
+
+
+def batches(schema: str, *columns):
+    return table(schema, *columns).to_batches()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))

@@ -1,9 +1,10 @@
-"""Suffix-order dedup: later copies of windows are removed and the first is kept.
+"""Suffix-array dedup: longest previous factors decide; later copies go and the first is kept.
 
-Byte windows come together in buckets by their minimisers (see superkmers). A bucket sorts its
-suffixes by their first k bytes and takes the least document of each run of equal ones. A window
-whose run has a smaller document is a later copy. This stands in for a longest-previous-factor array with
-its previous and next smaller positions: only whether a factor reaches k is asked.
+Byte windows come together in buckets by their minimisers (see superkmers). A bucket has the suffix array of
+its windows' starts, where suffixes are compared up to k bytes, and the array of common prefixes of neighbours. For
+each suffix the previous and the next smaller position are found, smaller meaning of a document with a
+smaller id. Its longest previous factor is the longer of the common prefixes with these two: no other earlier suffix
+shares more. A window whose longest previous factor reaches k is a later copy.
 """
 
 from __future__ import annotations
@@ -11,30 +12,49 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
-from .superkmers import Block, Bytes, Strings, _runs, repeated_windows
+from .common import pick, read, table
+from .superkmers import Block, Bytes, Strings, _runs, by_document, piece, repeated_windows
 
 
-def suffix_order(text: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts' order by their next k bytes, and whether each shares them with the one before."""
+def suffix_array(text: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at starts by their next k bytes, and the length of the prefix, at most k, that each
+    in this order shares with the one before."""
     rows = np.lib.stride_tricks.sliding_window_view(text, k)[starts]
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{k}").ravel(), kind="stable")
     rows = rows[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (rows[1:] == rows[:-1]).all(axis=1)
-    return order, same
+    shared = np.zeros(len(order), np.int64)
+    differ = rows[1:] != rows[:-1]
+    shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), k)
+    return order, shared
 
 
-def smaller_in_run(values: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Whether a previous or a next element of the same run is smaller."""
-    run = np.cumsum(~same) - 1
-    first = np.flatnonzero(~same)
-    if not len(first):
-        return np.zeros(0, bool)
-    least = np.minimum.reduceat(values, first)
-    return least[run] < values
+def longest_previous(values: np.ndarray, shared: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order: the longest prefix that it shares with a suffix of
+    a smaller value. Lengths under least count as none.
+
+    From each place one looks back, and forward, for the nearest smaller value. A place that isn't smaller hands on to
+    the one it has found so far itself, so a search takes about the logarithm of its way in steps; the common
+    prefix of two places is the least of those between.
+    """
+    n = len(values)
+
+    def towards(values: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        at, common = np.arange(n) - 1, shared.copy()
+        open_ = np.arange(1, n)
+        while len(open_):
+            here = at[open_]
+            open_ = open_[(here >= 0) & (common[open_] >= least)]
+            open_ = open_[values[at[open_]] >= values[open_]]
+            here = at[open_]
+            common[open_], at[open_] = np.minimum(common[open_], common[here]), at[here]
+        return np.where((at >= 0) & (common >= least), common, 0)
+
+    back = towards(values, shared)
+    ahead = towards(values[::-1], np.append(0, shared[:0:-1]))[::-1] if n else back
+    return np.maximum(back, ahead)
 
 
 def previous_factors(strings: Strings, kind: type, k: int):
@@ -49,9 +69,9 @@ def previous_factors(strings: Strings, kind: type, k: int):
     offsets = np.cumsum(windows + k - 1) - (windows + k - 1)
     owner = np.repeat(np.arange(len(packed)), windows)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, same = suffix_order(text, offsets[owner] + inner, k)
+    order, shared = suffix_array(text, offsets[owner] + inner, k)
     later = np.zeros(len(owner), bool)
-    later[order] = smaller_in_run(doc[owner[order]], same)
+    later[order] = longest_previous(doc[owner[order]], shared, k) >= k
     marks = np.bitwise_or.reduceat(np.where(later, np.int64(1) << inner, 0), np.cumsum(windows) - windows) if len(packed) else np.zeros(0, np.int64)
     # a string that nothing precedes is answered only where it may have a later copy
     held = np.bincount(where, minlength=len(place))
@@ -59,32 +79,32 @@ def previous_factors(strings: Strings, kind: type, k: int):
         yield int(i), int(doc[where[i]]), int(marks[where[i]])
 
 
-def byte_rows(block: Block, removed: np.ndarray):
-    for i, doc_id in enumerate(block.doc_ids):
-        a, b = block.units.bounds[i : i + 2]
-        gone = removed[a:b]
-        yield doc_id, int(b - a), int(gone.sum()), _runs(gone), hashlib.sha256(block.units.keep(a, ~gone)).hexdigest()
+BYTE_ROWS, BYTE_TEXTS = (f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}" for last in ("kept_sha256 string", "kept binary"))
+
+
+def byte_rows(block: Block, removed: np.ndarray) -> pa.Table:
+    rows = [(len(gone), int(gone.sum()), _runs(gone), hashlib.sha256(block.units.keep(a, ~gone)).hexdigest()) for a, gone in by_document(block, removed)]
+    return table(BYTE_ROWS, block.doc_ids, *zip(*rows, strict=True))
 
 
-def kept_bytes(block: Block, removed: np.ndarray):
-    for i, doc_id in enumerate(block.doc_ids):
-        a, b = block.units.bounds[i : i + 2]
-        gone = removed[a:b]
-        yield doc_id, int(b - a), int(gone.sum()), _runs(gone), block.units.keep(a, ~gone)
+def kept_bytes(block: Block, removed: np.ndarray) -> pa.Table:
+    rows = [(len(gone), int(gone.sum()), _runs(gone), block.units.keep(a, ~gone)) for a, gone in by_document(block, removed)]
+    return table(BYTE_TEXTS, block.doc_ids, *zip(*rows, strict=True))
 
 
-def suffix_dedup(docs: DataFrame, k: int = 50, m: int = 22, id_col: str = "doc_id", text_col: str = "text", rows=kept_bytes, last: str = "kept binary", **more) -> DataFrame:
+def suffix_dedup(docs: DataFrame, k: int = 50, m: int | None = None, id_col: str = "doc_id", text_col: str = "text", result=kept_bytes, schema: str = BYTE_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept, for each row.
 
     Removes every byte that a k-byte string covers which also starts in a document with a smaller
     id. Null texts are empty; a null id counts as smaller than any other; rows of one id do
-    not take from each other. Matches never cross documents.
+    not take from each other. Matches never cross documents. Ids of any size stay exact. m is the length of minimising
+    pieces, 22 or half of k if that is less; an m outside 1 to k raises. An empty table gives no row.
     """
-    return repeated_windows(pick(docs, doc_id=id_col, text=text_col), Bytes, k, m, previous_factors, True, rows, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}", **more)
+    return repeated_windows(pick(docs, doc_id=id_col, text=text_col), Bytes, k, m or piece(k, 22), previous_factors, True, result, schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), rows=byte_rows, last="kept_sha256 string")
+    return suffix_dedup(read(spark, sf_dir, "documents"), result=byte_rows, schema=BYTE_ROWS)
 
 
 OP9_SQL = r"""

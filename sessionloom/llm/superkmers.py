@@ -2,12 +2,12 @@
 
 A text is a row of units (words or bytes); a window is k consecutive units. Every window has a
 minimiser, the m-unit piece in it with the least hash (the leftmost of equals), so equal windows have
-equal minimisers. Neighbouring windows with the same minimiser form a super-k-mer: one packed
-string that holds them all.
+equal minimisers. Neighbouring windows with the same minimiser form a super-k-mer (of MOST windows at
+most; longer ones are cut): one packed string that holds them all.
 
-1. Documents are dealt into blocks by a hash of their content. Each block sends the hashes of its
-   minimisers, packed as one array for each bucket of hash values.
-2. A bucket sorts its hashes and answers with a byte for each: seen once, repeated, or hot. A
+1. Documents are dealt into blocks by a hash. Each block sends its distinct minimisers with their
+   counts, packed as one row for each bucket of hash values.
+2. A bucket sums up its hashes and answers with a byte for each: seen once, repeated, or hot. A
    window whose minimiser was seen once occurs once; it needs no look at its text.
 3. Blocks send the packed strings of repeated minimisers to buckets, each distinct string once with
    its number and its least document. Super-k-mers of a hot minimiser are unpacked into single windows
@@ -16,7 +16,10 @@ string that holds them all.
    each string which of its windows are to be removed.
 5. Blocks put the answers together. The documents' exchange is made once and reused.
 
-Steps 3 and 5 derive the super-k-mers again, which is cheaper than moving them.
+Steps 3 and 5 derive the super-k-mers again, which is cheaper than moving them. There are as many buckets as
+blocks, and never more than the square root of the input over ROW_BYTES: so the packed rows that all blocks send to
+all buckets stay below one for ROW_BYTES of input however large it is. A block is worked through in parts of
+PART_BYTES. All columns travel as Arrow data, so ids and other columns come back as they were.
 """
 
 from __future__ import annotations
@@ -29,15 +32,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, pick, spans
+from .common import mix64, partitions, pick, read, spans, table
 
-BLOCK_BYTES = 6 << 20
+#: Bytes of text meant for a block, and for a part of it that is in work at once.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+#: Bytes of input for each packed row between blocks and buckets, at least.
+ROW_BYTES = 1 << 12
 #: Occurrences from which a minimiser counts as hot.
 HOT = 2000
 #: Windows in one super-k-mer at most, so that its marks fit a long.
@@ -49,8 +55,8 @@ NULL_ID = -(1 << 63)
 class Words:
     """Runs of bytes outside blanks; a window of words is the words joined by one space."""
 
-    def __init__(self, texts: list[str | None]):
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
         self.bounds = spans(np.array([len(w) for w in split], np.int64))
         self.words = [w for words in split for w in words]
         known = {w: xxhash.xxh64_intdigest(w) for w in set(self.words)}
@@ -78,10 +84,9 @@ class Bytes:
 
     TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        self.bounds = spans(np.array([len(r) for r in raw], np.int64))
-        self.text = b"".join(raw)
+    def __init__(self, texts: list[bytes]):
+        self.bounds = spans(np.array([len(t) for t in texts], np.int64))
+        self.text = b"".join(texts)
         self.units = np.frombuffer(self.text, np.uint8)
 
     def cut(self, first: int, end: int) -> bytes:
@@ -118,6 +123,8 @@ def _rolled(units: np.ndarray, m: int) -> np.ndarray:
 def super_kmers(units: np.ndarray, bounds: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, minimiser) of each super-k-mer, in order of position."""
     w = k - m + 1
+    if not 1 <= m <= k or w > CHUNK // 4:
+        raise ValueError(f"pieces of {m} units don't fit windows of {k}")
     low = np.uint64(CHUNK - 1)
     valid_end = np.repeat(bounds[1:] - k, np.diff(bounds))
     firsts, sizes, minis = [], [], []
@@ -146,34 +153,56 @@ def super_kmers(units: np.ndarray, bounds: np.ndarray, k: int, m: int) -> tuple[
             minis.append(hashes[(mine[new] & low).astype(np.int64)])
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(sizes), np.concatenate(minis)
+    first, size, mini = np.concatenate(firsts), np.concatenate(sizes), np.concatenate(minis)
+    cuts = -(-size // MOST)
+    if (cuts > 1).any():
+        step = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * MOST
+        first, size, mini = np.repeat(first, cuts) + step, np.minimum(np.repeat(size, cuts) - step, MOST), np.repeat(mini, cuts)
+    return first, size, mini
+
+
+def piece(k: int, most: int) -> int:
+    """The length of the minimising piece for windows of k units: half of k, rounded up, at most most."""
+    return max(1, min(most, (k + 1) // 2))
 
 
 class Block:
-    """The documents of a block in a fixed order, with their super-k-mers."""
-
-    def __init__(self, docs: pd.DataFrame, kind: type, k: int, m: int):
-        docs = docs.assign(doc_id=docs.doc_id.astype("Int64"))
-        known, ids, texts = docs.doc_id.notna().tolist(), docs.doc_id.fillna(0).tolist(), docs.text.tolist()
-        order = sorted(range(len(docs)), key=lambda i: (known[i], ids[i], texts[i] or ""))
-        docs = docs.iloc[order]
-        self.docs = docs
-        self.doc_ids = [None if d is pd.NA else int(d) for d in docs.doc_id]
-        self.units = kind(docs.text.tolist())
+    """Documents of a block, or of a part of it, with their super-k-mers. docs has doc_id and text as bytes."""
+
+    def __init__(self, docs: pa.Table, kind: type, k: int, m: int):
+        self.docs, self.k = docs, k
+        self.doc_ids = docs.column("doc_id").to_pylist()
+        self.units = kind([t or b"" for t in docs.column("text").to_pylist()])
         self.first, self.size, self.mini = super_kmers(self.units.units, self.units.bounds, k, m)
         self.doc = np.searchsorted(self.units.bounds, self.first, side="right") - 1
-        self.k = k
 
     def string(self, i: int) -> bytes:
         a = int(self.first[i])
         return self.units.cut(a, a + int(self.size[i]) + self.k - 1)
 
+    def owner(self, i: int) -> int:
+        doc = self.doc_ids[self.doc[i]]
+        return NULL_ID if doc is None else doc
+
+
+def in_parts(docs: pa.Table, kind: type, k: int, m: int) -> Callable[[], Iterator[Block]]:
+    """A function that goes through a block's documents in a fixed order, in parts of about PART_BYTES."""
+    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or b""))
+    before = spans(np.array([len(texts[i] or b"") for i in order], np.int64))[:-1] // PART_BYTES
+    docs = docs.take(order)
+    starts = np.flatnonzero(np.diff(before, prepend=-1)).tolist()
+    if len(starts) < 2:
+        whole = Block(docs, kind, k, m)
+        return lambda: iter([whole])
+    return lambda: (Block(docs.slice(a, b - a), kind, k, m) for a, b in zip(starts, [*starts[1:], len(order)], strict=True))
+
 
 def _bucket(mini: np.ndarray, buckets: int) -> np.ndarray:
     return ((mini >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-SENT = "bucket long, block long, hashes binary"
+SENT = "bucket long, block long, hashes binary, counts binary"
 FLAGS = "block long, bucket long, flags binary"
 STRINGS = "route long, block long, packed binary"
 MARKS = "block long, packed binary"
@@ -205,97 +234,106 @@ class Strings:
         return Strings(*[np.concatenate([getattr(p, k) for p in parts]) for k in ("item", "doc_id", "n")], [x for p in parts for x in p.packed])
 
 
-def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callable, later_only: bool, result: Callable[[Block, np.ndarray], Iterator[tuple]], schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def sides(total: int, parallel: int) -> int:
+    """Blocks, and buckets, for so many bytes: two for each partition or BLOCK_BYTES each, but never so many that
+    their rows to each other come closer than ROW_BYTES of input."""
+    return max(1, min(math.isqrt(total // ROW_BYTES), max(2 * parallel, math.ceil(total / BLOCK_BYTES))))
+
+
+def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callable, later_only: bool, result: Callable[[Block, np.ndarray], pa.Table], schema) -> DataFrame:
     """Runs the five steps over docs(doc_id, text and columns that result wants from block.docs).
 
     kernel(strings) gets the Strings of a bucket and yields (place, doc, marks): bit j of marks
     is set if window j goes. With later_only, documents after `doc` lose all of the string's
-    windows as well. result(block, removed units) yields the output rows of a block.
+    windows as well. result(block, removed units) makes the output rows of a part of a block.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(2 * partitions(spark), math.ceil(total / block_bytes))
-    dealt = docs.withColumn("block", F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)")).repartition(partitions(spark), "block")
-
-    def send(docs: pd.DataFrame) -> pd.DataFrame:
-        b = Block(docs, kind, k, m)
-        to = _bucket(b.mini, blocks)
-        order = np.argsort(to, kind="stable")
-        used, at = np.unique(to[order], return_index=True)
-        parts = [x.tobytes() for x in np.split(b.mini[order], at[1:])] if len(used) else []
-        return pd.DataFrame({"bucket": used, "block": docs.block.iloc[0], "hashes": parts})
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        each = [np.frombuffer(h, np.uint64) for h in rows.hashes]
-        hashes = np.concatenate(each)
+    blocks = sides(total, partitions(spark))
+    # the partition is hashed too, so that rows repeated very often still go to many blocks
+    place = F.expr(f"pmod(xxhash64(doc_id, text, spark_partition_id()), {blocks}L)")
+    dealt = docs.withColumn("block", place).withColumn("text", F.col("text").cast("binary")).repartition(partitions(spark), "block")
+
+    def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        hashes, counts = np.unique(np.concatenate([b.mini for b in in_parts(docs, kind, k, m)()]), return_counts=True)
+        if not len(hashes):
+            return table(SENT)
+        used, at = np.unique(_bucket(hashes, blocks), return_index=True)
+        packs = [[x.tobytes() for x in np.split(values, at[1:])] for values in (hashes, np.minimum(counts, HOT).astype("<u2"))]
+        return table(SENT, used, [key[0].as_py()] * len(used), *packs)
+
+    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        each = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+        hashes, counts = np.concatenate(each), np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u2").astype(np.int64)
         order = np.argsort(hashes)
         first = np.flatnonzero(np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]]))
-        n = np.diff(np.append(first, len(hashes)))
+        n = np.add.reduceat(counts[order], first)
         flags = np.empty(len(hashes), np.uint8)
-        flags[order] = np.repeat((n > 1).astype(np.uint8) + (n >= HOT), n)
-        return pd.DataFrame({"block": rows.block.to_numpy(), "bucket": rows.bucket.to_numpy(), "flags": [x.tobytes() for x in np.split(flags, spans(np.array([len(e) for e in each]))[1:-1])]})
-
-    def strings(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c.split()[0]: [] for c in STRINGS.split(", ")})
-        if not len(docs) or not len(answers):
-            return empty
-        b = Block(docs, kind, k, m)
-        order = np.argsort(_bucket(b.mini, blocks), kind="stable")
-        flags = np.empty(len(order), np.uint8)
-        flags[order] = np.frombuffer(b"".join(answers.sort_values("bucket")["flags"]), np.uint8)
+        flags[order] = np.repeat((n > 1).astype(np.uint8) + (n >= HOT), np.diff(np.append(first, len(hashes))))
+        return table(FLAGS, rows.column("block"), rows.column("bucket"), [x.tobytes() for x in np.split(flags, spans(np.array([len(e) for e in each]))[1:-1])])
+
+    def strings(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows or not answers.num_rows:
+            return table(STRINGS)
+        parts = in_parts(docs, kind, k, m)
+        minis = [b.mini for b in parts()]
+        found = b"".join(answers.sort_by("bucket").column("flags").to_pylist())
+        flags = np.frombuffer(found, np.uint8)[np.unique(np.concatenate(minis), return_inverse=True)[1]]
         held: dict[bytes, list[int]] = {}
-        for i in np.flatnonzero(flags):
-            packed, doc = b.string(i), b.doc_ids[b.doc[i]]
-            doc = NULL_ID if doc is None else doc
-            hot = flags[i] == 2
-            for j, s in enumerate(kind.windows(packed, k) if hot else [packed]):
-                x = held.get(s)
-                if x is None:
-                    route = xxhash.xxh64_intdigest(s) if hot else int(b.mini[i])
-                    held[s] = [(int(i) * 64 + j) * 2 + int(hot), doc, 1, route % blocks]
-                else:
-                    x[1], x[2] = min(x[1], doc), x[2] + 1
+        at = 0
+        for b in parts():
+            for i in np.flatnonzero(flags[at : at + len(b.mini)]).tolist():
+                packed, doc, hot = b.string(i), b.owner(i), flags[at + i] == 2
+                for j, s in enumerate(kind.windows(packed, k) if hot else [packed]):
+                    x = held.get(s)
+                    if x is None:
+                        route = xxhash.xxh64_intdigest(s) if hot else int(b.mini[i])
+                        held[s] = [((at + i) * 64 + j) * 2 + int(hot), doc, 1, route % blocks]
+                    else:
+                        x[1], x[2] = min(x[1], doc), x[2] + 1
+            at += len(b.mini)
         if not held:
-            return empty
+            return table(STRINGS)
         item, doc, n, route = (np.array(v, np.int64) for v in zip(*held.values(), strict=True))
         packed, order = list(held), np.argsort(route, kind="stable")
         used, at = np.unique(route[order], return_index=True)
         groups = [Strings(item[g], doc[g], n[g], [packed[i] for i in g]).write() for g in np.split(order, at[1:])]
-        return pd.DataFrame({"route": used, "block": key[0], "packed": groups})
+        return table(STRINGS, used, [key[0].as_py()] * len(used), groups)
 
-    def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [Strings.read(p) for p in rows.packed]
+    def judge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parts = [Strings.read(p) for p in rows.column("packed").to_pylist()]
         ends = np.cumsum([len(p.n) for p in parts])
         every = Strings.joined(parts)
         found = np.array(list(kernel(every, kind, k)), np.int64).reshape(-1, 3)
         found = found[np.argsort(found[:, 0], kind="stable")]
-        out = []
-        for block, g in zip(rows.block, np.split(found, np.searchsorted(found[:, 0], ends[:-1])), strict=True):
-            if len(g):
-                out.append((block, zstandard.compress(np.column_stack([every.item[g[:, 0]], g[:, 1:]]).astype("<i8").T.tobytes(), 3)))
-        return pd.DataFrame(out, columns=["block", "packed"])
-
-    def finish(key, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
-        if not len(docs):
-            return pd.DataFrame({c: [] for c in names})
-        b = Block(docs, kind, k, m)
-        gone = np.zeros(len(b.units.units) + 1, np.int64)
-        if len(marks):
-            rows = np.concatenate([np.frombuffer(zstandard.decompress(p), "<i8").reshape(3, -1) for p in marks.packed], axis=1)
-            answers: dict[bytes, tuple[int, int]] = {}
-            for item, doc, mark in rows.T.tolist():
-                first = int(b.first[item // 128]) + (item // 2) % 64
-                answers[b.units.cut(first, first + k) if item % 2 else b.string(item // 128)] = (doc, mark)
-            answered, split = np.unique(b.mini[rows[0] // 128]), set(b.mini[rows[0][rows[0] % 2 == 1] // 128].tolist())
-            for i in np.flatnonzero(np.isin(b.mini, answered)):
-                packed, a = b.string(i), int(b.first[i])
-                doc = b.doc_ids[b.doc[i]]
-                doc = NULL_ID if doc is None else doc
-                if int(b.mini[i]) in split:
-                    tries = [(j, 1, answers.get(s)) for j, s in enumerate(kind.windows(packed, k))]
-                else:
-                    tries = [(0, int(b.size[i]), answers.get(packed))]
+        out = [(block, g) for block, g in zip(rows.column("block").to_pylist(), np.split(found, np.searchsorted(found[:, 0], ends[:-1])), strict=True) if len(g)]
+        return table(MARKS, [b for b, _ in out], [zstandard.compress(np.column_stack([every.item[g[:, 0]], g[:, 1:]]).astype("<i8").T.tobytes(), 3) for _, g in out])
+
+    def finish(key: tuple[pa.Scalar, ...], docs: pa.Table, marks: pa.Table) -> pa.Table:
+        parts = in_parts(docs, kind, k, m)
+        packs = [np.frombuffer(zstandard.decompress(p), "<i8").reshape(3, -1) for p in marks.column("packed").to_pylist()]
+        rows = np.concatenate([np.zeros((3, 0), np.int64), *packs], axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        answers: dict[bytes, tuple[int, int]] = {}
+        whole, single, at = [], [], 0
+        for b in parts() if rows.size else ():
+            mine = rows[:, slice(*np.searchsorted(rows[0], [at * 128, (at + len(b.mini)) * 128]))]
+            for item, doc, mark in mine.T.tolist():
+                i = item // 128 - at
+                first = int(b.first[i]) + (item // 2) % 64
+                answers[b.units.cut(first, first + k) if item % 2 else b.string(i)] = (doc, mark)
+            whole.append(b.mini[mine[0] // 128 - at])
+            single.append(b.mini[mine[0][mine[0] % 2 == 1] // 128 - at])
+            at += len(b.mini)
+        answered, split = np.unique(np.concatenate([np.zeros(0, np.uint64), *whole])), np.unique(np.concatenate([np.zeros(0, np.uint64), *single]))
+        done = []
+        for b in parts():
+            gone = np.zeros(len(b.units.units) + 1, np.int64)
+            places = np.flatnonzero(np.isin(b.mini, answered)) if answers else []
+            unpacked = np.isin(b.mini[places], split).tolist() if answers else []
+            for i, singly in zip(places, unpacked, strict=True):
+                packed, a, doc = b.string(i), int(b.first[i]), b.owner(i)
+                tries = [(j, 1, answers.get(s)) for j, s in enumerate(kind.windows(packed, k))] if singly else [(0, int(b.size[i]), answers.get(packed))]
                 for at, size, answer in tries:
                     if answer is None:
                         continue
@@ -307,12 +345,13 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
                             if answer[1] >> j & 1:
                                 gone[a + at + j] += 1
                                 gone[a + at + j + k] -= 1
-        return pd.DataFrame(list(result(b, np.cumsum(gone[:-1]) > 0)), columns=names)
+            done.append(result(b, np.cumsum(gone[:-1]) > 0))
+        return pa.concat_tables(done)
 
-    flags = dealt.groupBy("block").applyInPandas(send, SENT).groupBy("bucket").applyInPandas(count, FLAGS)
-    packed = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInPandas(strings, STRINGS)
-    marks = packed.groupBy("route").applyInPandas(judge, MARKS)
-    return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(finish, schema)
+    flags = dealt.groupBy("block").applyInArrow(send, SENT).groupBy("bucket").applyInArrow(count, FLAGS)
+    packed = dealt.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(strings, STRINGS)
+    marks = packed.groupBy("route").applyInArrow(judge, MARKS)
+    return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(finish, schema)
 
 
 def count_windows(strings: Strings, kind: type, k: int):
@@ -328,62 +367,75 @@ def count_windows(strings: Strings, kind: type, k: int):
         yield int(i), 0, int(marks[i])
 
 
-def word_dedup(docs: DataFrame, result, schema: str, k: int = 35, m: int = 9, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    return repeated_windows(pick(docs, doc_id=id_col, text=text_col), Words, k, m, count_windows, False, result, schema, **more)
+WORD_ROWS, WORD_TEXTS = "doc_id long, n_words long, n_removed long, kept_sha256 string", "doc_id long, n_words long, n_removed long, text string"
+
+
+def word_dedup(docs: DataFrame, result, schema, k: int = 35, m: int | None = None) -> DataFrame:
+    return repeated_windows(docs, Words, k, m or piece(k, 9), count_windows, False, result, schema)
 
 
 def _runs(removed: np.ndarray) -> int:
     return int(np.count_nonzero(np.diff(np.concatenate([[False], removed])) & removed)) if len(removed) else 0
 
 
-def word_rows(block: Block, removed: np.ndarray):
-    for i, doc_id in enumerate(block.doc_ids):
-        a, b = block.units.bounds[i : i + 2]
-        gone = removed[a:b]
-        yield doc_id, int(b - a), int(gone.sum()), hashlib.sha256(block.units.keep(a, ~gone)).hexdigest()
+def by_document(block: Block, removed: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each document, its first unit's place and which of its units go."""
+    for a, b in itertools.pairwise(block.units.bounds.tolist()):
+        yield a, removed[a:b]
+
 
+def word_rows(block: Block, removed: np.ndarray) -> pa.Table:
+    rows = [(len(gone), int(gone.sum()), hashlib.sha256(block.units.keep(a, ~gone)).hexdigest()) for a, gone in by_document(block, removed)]
+    return table(WORD_ROWS, block.doc_ids, *zip(*rows, strict=True))
 
-def kept_words(block: Block, removed: np.ndarray):
-    for i, doc_id in enumerate(block.doc_ids):
-        a, b = block.units.bounds[i : i + 2]
-        gone = removed[a:b]
-        yield doc_id, int(b - a), int(gone.sum()), block.units.keep(a, ~gone).decode("utf-8", "replace")
 
+def kept_words(block: Block, removed: np.ndarray) -> pa.Table:
+    rows = [(len(gone), int(gone.sum()), block.units.keep(a, ~gone).decode("utf-8", "replace")) for a, gone in by_document(block, removed)]
+    return table(WORD_TEXTS, block.doc_ids, *zip(*rows, strict=True))
 
-def substring_dedup(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+
+def substring_dedup(docs: DataFrame, k: int = 35, m: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, text (what is left, joined by one space), for each row.
 
     Removes every word that a window of k words covers whose words also start anywhere else. Null
     and blank texts have no words; texts under k words keep all. Equal rows repeat each other. Null ids
-    are kept as such.
+    are kept as such, and ids of any size stay exact. m is the length of minimising pieces, 9 or half of k if
+    that is less; an m outside 1 to k raises. An empty table gives no row.
     """
-    return word_dedup(docs, kept_words, "doc_id long, n_words long, n_removed long, text string", k, id_col=id_col, text_col=text_col, **more)
+    return word_dedup(pick(docs, doc_id=id_col, text=text_col), kept_words, WORD_TEXTS, k, m)
 
 
-def without_repeats(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without their repeated words; rows that lose no word stay as they were, and
-    rows that lose all their words go. Other columns stay; n_chars, if there, is counted anew."""
+    rows that lose all their words go. Other columns of any type stay; n_chars, if there, is counted anew.
+
+    All copies of a repeated window go, the first one too, as the operator has it: a document that is
+    nothing but passages which others hold as well is dropped whole."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rows = pick(docs, doc_id=id_col, text=text_col, **{f"other_{i}": c for i, c in enumerate(others)})
 
-    def result(block: Block, removed: np.ndarray):
-        for i, row in enumerate(block.docs.itertuples(index=False)):
-            a, b = block.units.bounds[i : i + 2]
-            gone = removed[a:b]
-            if gone.any() and gone.all():
-                continue
-            text = block.units.keep(a, ~gone).decode("utf-8", "replace") if gone.any() else row.text
-            yield block.doc_ids[i], text, *[None if pd.isna(v := getattr(row, f"other_{j}")) else v for j in range(len(others))]
-
-    kinds = ", ".join(["doc_id long", "text string", *[f"other_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(others)]])
-    left = repeated_windows(rows, Words, k, 9, count_windows, False, result, kinds, **more)
+    def result(block: Block, removed: np.ndarray) -> pa.Table:
+        stays, texts = [], []
+        for i, ((a, gone), text) in enumerate(zip(by_document(block, removed), block.docs.column("text").to_pylist(), strict=True)):
+            if not gone.any():
+                stays.append(i)
+                texts.append(text)
+            elif not gone.all():
+                stays.append(i)
+                texts.append(block.units.keep(a, ~gone))
+        left = block.docs.take(pa.array(stays, pa.int64()))
+        texts = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
+        return left.set_column(left.schema.get_field_index("text"), "text", texts).select(names)
+
+    names = rows.columns
+    left = word_dedup(rows, result, rows.schema, k)
     back = {"doc_id": id_col, "text": text_col} | {f"other_{i}": c for i, c in enumerate(others)}
-    out = left.select(*[F.col(name).alias(source) for name, source in back.items()]).select(*docs.columns)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = left.select(*[F.col(name).alias(back[name]) for name in names]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in others else out
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return word_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return word_dedup(pick(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text"), word_rows, WORD_ROWS)
 
 
 OP6_SQL = r"""

@@ -189,32 +189,6 @@ def test_substrings_on_odd_rows(spark, odd, none):
     assert left[None] == "null id" and 1 not in left and left[2] is None
 
 
-@pytest.mark.parametrize("hot", [2, 10**9])
-def test_hot_minimisers_change_nothing(spark, monkeypatch, hot):
-    monkeypatch.setattr(superkmers, "HOT", hot)
-    rng = np.random.default_rng(5)
-    words = [f"w{i}" for i in range(50)]
-    shared = [" ".join(rng.choice(words, 60)) for _ in range(3)]
-    texts = [" ".join([*rng.choice(words, int(rng.integers(0, 40))), shared[i % 3], *rng.choice(words, int(rng.integers(0, 40)))]) for i in range(30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    seen = {}
-    for d, t in enumerate(texts):
-        w = t.split()
-        for i in range(len(w) - 34):
-            seen.setdefault(tuple(w[i : i + 35]), []).append((d, i))
-    gone = {(d, i + j) for at in seen.values() if len(at) > 1 for d, i in at for j in range(35)}
-    got = {r.doc_id: r.n_removed for r in superkmers.substring_dedup(df).collect()}
-    assert got == {d: sum(x == d for x, _ in gone) for d in range(30)}
-    first = {}
-    for d, t in enumerate(texts):
-        raw = t.encode()
-        for i in range(len(raw) - 49):
-            first.setdefault(raw[i : i + 50], []).append((d, i))
-    gone = {(d, i + j) for at in first.values() for d, i in at if d > at[0][0] for j in range(50)}
-    got = {r.doc_id: r.n_removed for r in earlier_copies.suffix_dedup(df).collect()}
-    assert got == {d: sum(x == d for x, _ in gone) for d in range(30)}
-
-
 def test_suffixes_on_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.n_bytes, r.n_removed) for r in earlier_copies.suffix_dedup(odd).collect()}
     assert (1, 360, 0) in got and (4, 360, 360) in got and (2, 0, 0) in got and (5, 150_000, 0) in got
