@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import operator
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -55,22 +54,50 @@ NULL_ID = -(1 << 63)
 class Words:
     """Runs of bytes outside blanks; a window of words is the words joined by one space."""
 
+    BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+    #: Bytes up to which words are hashed together, eight bytes at a time.
+    SHORT = 64
+
     def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        self.bounds = spans(np.array([len(w) for w in split], np.int64))
-        self.words = [w for words in split for w in words]
-        known = {w: xxhash.xxh64_intdigest(w) for w in set(self.words)}
-        self.units = np.fromiter(map(known.__getitem__, self.words), np.uint64, len(self.words))
-        self.starts = spans(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1)
-        self.text = b" ".join(self.words)
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        blank = self.BLANK[raw]
+        ends = blank.copy()
+        ends[:1], ends[1:] = False, ends[1:] & ~blank[:-1]
+        kept = np.flatnonzero(~blank | ends)
+        text, stops = raw[kept], np.flatnonzero(ends[kept])
+        text[stops] = 32
+        self.bounds = np.searchsorted(np.flatnonzero(ends), spans(np.array([len(t) + 1 for t in texts], np.int64)))
+        self.starts = np.append(0, stops + 1)
+        self.text = text.tobytes()
+        self.units = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """A hash of each word by its bytes."""
+        lengths = np.diff(self.starts) - 1
+        out = lengths.astype(np.uint64)
+        padded = self.text + bytes(8)
+        words = np.ndarray(len(self.text) + 1, "<u8", padded, strides=(1,))
+        left, at = np.flatnonzero(lengths <= self.SHORT), 0
+        with np.errstate(over="ignore"):
+            while len(left):
+                part = words[self.starts[left] + at]
+                unused = np.maximum(0, 8 - (lengths[left] - at)).astype(np.uint64) * np.uint64(8)
+                part = part << unused
+                out[left] = mix64(out[left] * np.uint64(0x9E3779B97F4A7C15) + part)
+                at += 8
+                left = left[lengths[left] > at]
+        for i in np.flatnonzero(lengths > self.SHORT).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.cut(i, i + 1))
+        return out
 
     def cut(self, first: int, end: int) -> bytes:
-        return self.text[self.starts[first] : self.starts[end] - 1]
+        return self.text[self.starts[first] : self.starts[end] - 1] if end > first else b""
 
     def keep(self, first: int, kept: np.ndarray) -> bytes:
-        if len(kept) and kept.all():
+        if kept.all():
             return self.cut(first, first + len(kept))
-        return b" ".join(itertools.compress(self.words[first : first + len(kept)], kept.tolist()))
+        edges = np.flatnonzero(np.diff(kept.view(np.int8), prepend=0, append=0)).reshape(-1, 2) + first
+        return b" ".join([self.cut(a, b) for a, b in edges.tolist()])
 
     @staticmethod
     def windows(packed: bytes, k: int) -> list[bytes]:
@@ -355,14 +382,30 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
 
 
 def count_windows(strings: Strings, kind: type, k: int):
-    """Kernel: sorts the windows of a bucket's strings; the windows that come more than once go."""
-    listed = sorted((w, i, j) for i, packed in enumerate(strings.packed) for j, w in enumerate(kind.windows(packed, k)))
-    numbers, marks = strings.n.tolist(), np.zeros(len(strings.n), np.int64)
-    for _, group in itertools.groupby(listed, key=operator.itemgetter(0)):
-        at = list(group)
-        if len(at) > 1 or numbers[at[0][1]] > 1:
-            for _, i, j in at:
-                marks[i] |= 1 << j
+    """Kernel: sorts the windows of a bucket's strings; the windows that come more than once go.
+
+    They are sorted by a hash of their units, and then those with equal hashes are compared by content.
+    """
+    units = kind(strings.packed)
+    windows = np.diff(units.bounds) - k + 1
+    owner = np.repeat(np.arange(len(windows)), windows)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    first = units.bounds[owner] + inner
+    with np.errstate(over="ignore"):
+        hashes = _rolled(units.units, k)[first]
+    order = np.argsort(hashes, kind="stable")
+    starts = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] - np.uint64(1)))
+    sizes = np.diff(np.append(starts, len(order)))
+    go = strings.n[owner] > 1
+    go[order] |= np.repeat(sizes > 1, sizes)
+    places = first[order].tolist()
+    for a, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+        text = [units.cut(p, p + k) for p in places[a : a + n]]
+        if text.count(text[0]) < n:
+            # unequal windows of one hash
+            for i, t in zip(order[a : a + n], text, strict=True):
+                go[i] = text.count(t) > 1 or strings.n[owner[i]] > 1
+    marks = np.bitwise_or.reduceat(np.where(go, np.int64(1) << inner, 0), np.cumsum(windows) - windows)
     for i in np.flatnonzero(marks):
         yield int(i), 0, int(marks[i])
 
