@@ -1,12 +1,20 @@
 """SimHash near-dedup over vantage-point trees.
 
-Fingerprints of 64 bits link at few differing bits. If two differ in at most `radius` bits, one of
-their `radius // 2 + 1` segments differs in at most one. So for each segment a vantage-point tree is
-made from a bounded sample of it: a node holds a vantage segment and a distance; nearer
-ones go inside, others outside. By the triangle inequality a pair at distance one can only be
-parted if the outer one lies one beyond the border, so such fingerprints are sent inside as well.
-Every leaf is a shard; in it all fingerprints are compared exactly, on all bits. Equal
-fingerprints are one row from the start, and a shard answers with stars, never with all pairs.
+A vantage-point tree parts points by their Hamming distance to a vantage point: nearer ones go inside, others
+outside. By the triangle inequality two points within `reach` of each other can only be parted if the outer one
+lies at most `reach` beyond the border, so such points are sent inside as well. Every leaf is a shard, and
+every pair within reach is together in one; a branch that a border can't cut is left whole.
+
+Fingerprints of 64 bits link at few differing bits. If two differ in at most `radius` bits, one of their
+`radius // 2 + 1` segments differs in at most one, so a tree is made for each segment. Shards that are too
+large get trees of their own over all 64 bits, level by level; one that no tree can part is dealt into
+parts, each pair of them a task. Equal fingerprints are one row from the start, and a shard answers with stars,
+never with all pairs.
+
+Near copies by shingle similarity (`first_of_groups`) take 256-bit fingerprints and a reach that hardly any pair of the
+similarity exceeds. At this distance a tree over a whole corpus parts nothing, so documents are first dealt to shards
+by bands of least shingle hashes; a tree over the fingerprints of each shard finds the pairs within reach, and the exact
+similarity of these decides.
 """
 
 from __future__ import annotations
@@ -14,19 +22,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, pick, read, spans, stored
+from .common import fresh_name, grouped, merged, mix64, partitions, pick, read, spans, stored, table
 from .components import connected
 
 BITS = 64
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Fingerprints from which a tree is made, at most about twice this, and those meant for a leaf.
+#: Points from which a tree is made, at most about twice this, and those meant for a leaf.
 SAMPLE, LEAF, DEPTH = 8192, 2048, 24
+#: Points of a shard, over which it is split; levels of trees over all bits; points of a task that deals them.
+MOST, LEVELS, SLICE = 8192, 6, 1 << 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -51,26 +60,15 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
-def fingerprinted(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; with words > 1 also more, an array of further
-    fingerprints from rehashed shingles, and n, the number of shingles. With distinct, repeats count once. docs has
-    doc_id and text."""
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+def fingerprinted(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, of docs(doc_id, text)."""
 
     def run(batches):
         for batch in batches:
-            prints, more, n = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text, shingle)
-                h = np.unique(h) if distinct else h
-                prints.append(simhash(h))
-                n.append(len(h))
-                with np.errstate(over="ignore"):
-                    more.append(np.array([simhash(mix64(h + np.uint64(k))) for k in range(1, words)], np.uint64).view(np.int64).tolist())
-            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(more, kinds[2]), pa.array(n, kinds[3])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "more", "n"])
+            prints = np.array([simhash(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, more array<long>, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(fp: np.ndarray, s: int, of: int) -> np.ndarray:
@@ -78,13 +76,20 @@ def _segment(fp: np.ndarray, s: int, of: int) -> np.ndarray:
     return (fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
 
 
+def distance(points: np.ndarray, v) -> np.ndarray:
+    """Differing bits of each point, a word or a row of words, and v."""
+    d = np.bitwise_count(points ^ v)
+    return d.astype(np.int64) if d.ndim == 1 else d.sum(axis=-1, dtype=np.int64)
+
+
 class VantageTree:
-    """A tree over one segment, as arrays by node; leaves are negative numbers."""
+    """A tree over points; its nodes are (vantage point, border, inside, outside), leaves are negative numbers."""
 
-    def __init__(self, sample: np.ndarray, depth: int):
-        self.nodes: list[tuple[int, int, int, int]] = []
+    def __init__(self, sample: np.ndarray, depth: int, reach: int = 1):
+        self.reach = reach
+        self.nodes: list[tuple] = []
         self.leaves = 0
-        self.root = self._grow(np.unique(sample), depth)
+        self.root = self._grow(np.unique(sample, axis=0), depth)
 
     def _leaf(self) -> int:
         self.leaves += 1
@@ -95,20 +100,19 @@ class VantageTree:
             return self._leaf()
         best = None
         for v in points[:: max(1, len(points) // 8)][:8]:
-            counts = np.bincount(np.bitwise_count(points ^ v), minlength=BITS + 2)
-            inner = np.cumsum(counts)
-            cost = (inner[:-1] + counts[1:]).astype(float) ** 2 + (len(points) - inner[:-1]).astype(float) ** 2
+            inner = np.cumsum(np.bincount(distance(points, v), minlength=BITS * v.size + self.reach + 2))
+            # a point beyond the border by at most the reach is in both branches
+            cost = inner[self.reach :].astype(float) ** 2 + (len(points) - inner[: len(inner) - self.reach]).astype(float) ** 2
             k = int(np.argmin(cost))
             if best is None or cost[k] < best[0]:
                 best = (cost[k], v, k)
-        _, v, border = best
-        near = np.bitwise_count(points ^ v) <= border
-        if near.all():
+        cost, v, border = best
+        if cost >= float(len(points)) ** 2:
             return self._leaf()
-        here = len(self.nodes)
-        self.nodes.append((0, 0, 0, 0))
-        inside, outside = self._grow(points[near], depth - 1), self._grow(points[~near], depth - 1)
-        self.nodes[here] = (int(v), border, inside, outside)
+        near, here = distance(points, v), len(self.nodes)
+        self.nodes.append(())
+        inside, outside = self._grow(points[near <= border + self.reach], depth - 1), self._grow(points[near > border], depth - 1)
+        self.nodes[here] = (v, border, inside, outside)
         return here
 
     def shards(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +127,8 @@ class VantageTree:
                 leaves.append(np.full(len(at), -node - 1))
                 continue
             v, border, inside, outside = self.nodes[node]
-            d = np.bitwise_count(values[at] ^ np.uint64(v))
-            open_ += [(inside, at[d <= border + 1]), (outside, at[d > border])]
+            d = distance(values[at], v)
+            open_ += [(inside, at[d <= border + self.reach]), (outside, at[d > border])]
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64),) * 2
 
 
@@ -151,6 +155,77 @@ def stars(n: int, linked, step: int = 512) -> np.ndarray:
     return root
 
 
+def depth_for(n: int, leaf: int) -> int:
+    return min(DEPTH, max(1, math.ceil(1.6 * math.log2(max(2, n / leaf)))))
+
+
+def split(dealt: DataFrame, large: DataFrame, reach: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The points of the large shards in the leaves of trees of their own, and the shards that no tree parts.
+
+    dealt has shard and fp, large has shard and its size n. A tree comes from a bounded sample of the shard; a
+    shard is dealt in slices, each with the tree, so that no task holds more than about SLICE points.
+    """
+    points = dealt.join(large, "shard")
+
+    def grow(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        sample = np.sort(rows.column("fp").to_numpy()).view(np.uint64)
+        tree = VantageTree(sample, depth_for(rows.column("n")[0].as_py(), LEAF), reach)
+        return table("shard long, tree binary, leaves long", [key[0].as_py()], [_dumped(tree)], [tree.leaves])
+
+    some = points.where(F.expr(f"pmod(xxhash64(fp, {seed}), greatest(1L, n div {SAMPLE})) = 0"))
+    trees = stored(some.groupBy("shard").applyInArrow(grow, "shard long, tree binary, leaves long"), "trees")
+
+    def route(points: pa.Table, tree: pa.Table) -> pa.Table:
+        if not points.num_rows or not tree.num_rows:
+            return table("shard long, leaf long, fp long")
+        fp = points.column("fp").to_numpy()
+        at, leaf = _loaded(tree.column("tree")[0].as_py(), reach).shards(fp.view(np.uint64))
+        return table("shard long, leaf long, fp long", np.repeat(points.column("shard").to_numpy()[:1], len(at)), leaf, fp[at])
+
+    slices = large.withColumn("slices", F.ceil(F.col("n") / SLICE)).drop("n")
+    planted = trees.where("leaves > 1").select("shard", "tree").join(slices, "shard")
+    sent = points.drop("n").join(planted.select("shard", "slices"), "shard").withColumn("slice", F.expr("pmod(xxhash64(fp, 3), slices)"))
+    each = planted.select(F.col("shard").alias("shard"), F.col("tree").alias("tree"), F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"))
+    routed = sent.groupBy("shard", "slice").cogroup(each.groupBy("shard", "slice")).applyInArrow(route, "shard long, leaf long, fp long")
+    return routed.select(F.xxhash64("shard", "leaf", F.lit(seed)).alias("shard"), "fp"), large.join(planted.select("shard"), "shard", "left_anti")
+
+
+def _dumped(tree: VantageTree) -> bytes:
+    rows = [(np.uint64(v).astype(np.int64), border, inside, outside) for v, border, inside, outside in tree.nodes]
+    return np.array([(0, tree.leaves, tree.root, 0), *rows], "<i8").tobytes()
+
+
+def _loaded(data: bytes, reach: int) -> VantageTree:
+    rows = np.frombuffer(data, "<i8").reshape(-1, 4)
+    tree = VantageTree(np.zeros(0, np.uint64), 0, reach)
+    tree.leaves, tree.root = int(rows[0, 1]), int(rows[0, 2])
+    tree.nodes = [(np.int64(v).astype(np.uint64), int(b), int(i), int(o)) for v, b, i, o in rows[1:]]
+    return tree
+
+
+def bounded_shards(dealt: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """dealt(shard, fp) with large shards split level by level, and shard and n of those that stay large."""
+    spark = dealt.sparkSession
+    kept, stuck = [], []
+    for level in range(LEVELS):
+        large = stored(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MOST), "large")
+        if not large.head(1):
+            break
+        parted, whole = split(dealt, large, reach, 100 + level)
+        whole = stored(whole, "whole")
+        kept += [dealt.join(large, "shard", "left_anti"), dealt.join(whole, "shard", "left_semi")]
+        stuck.append(whole)
+        dealt = stored(parted.distinct(), "shards")
+    else:
+        stuck.append(stored(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MOST), "large"))
+    for part in kept:
+        dealt = dealt.unionByName(part)
+    left = spark.createDataFrame([], "shard long, n long")
+    for part in stuck:
+        left = left.unionByName(part)
+    return dealt, left
+
+
 def near_edges(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (u, v) that join the distinct fingerprints fp within radius bits as all links would."""
     spark = prints.sparkSession
@@ -158,8 +233,7 @@ def near_edges(prints: DataFrame, radius: int = 3) -> DataFrame:
     of = radius // 2 + 1
     keep = max(1, n // SAMPLE)
     sample = np.array([r.fp for r in prints.where(F.expr(f"pmod(xxhash64(fp, 7), {keep}L) = 0")).collect()], np.int64).view(np.uint64)
-    depth = min(DEPTH, max(1, math.ceil(1.6 * math.log2(max(2, n / LEAF)))))
-    trees = spark.sparkContext.broadcast([VantageTree(_segment(sample, s, of), depth) for s in range(of)])
+    trees = spark.sparkContext.broadcast([VantageTree(_segment(sample, s, of), depth_for(n, LEAF)) for s in range(of)])
 
     def route(batches):
         for batch in batches:
@@ -172,15 +246,19 @@ def near_edges(prints: DataFrame, radius: int = 3) -> DataFrame:
                 base += tree.leaves
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard).astype(np.int64)), pa.array(fp[np.concatenate(at)])], ["shard", "fp"])
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(rows.fp.to_numpy())
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        fp = np.unique(rows.column("fp").to_numpy())
         bits = fp.view(np.uint64)
         root = stars(len(fp), lambda i, j: np.bitwise_count(bits[i][:, None] ^ bits[j]) <= radius)
         at = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"u": fp[at], "v": fp[root[at]]})
+        return table("u long, v long", fp[at], fp[root[at]])
 
-    routed = prints.select("fp").mapInArrow(route, "shard long, fp long")
-    return routed.repartition(partitions(spark), "shard").groupBy("shard").applyInPandas(compare, "u long, v long")
+    dealt, large = bounded_shards(stored(prints.select("fp").mapInArrow(route, "shard long, fp long"), "shards"), radius)
+    parts = large.select("shard", F.ceil(F.col("n") / MOST).alias("parts"))
+    placed = dealt.join(parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", F.expr("pmod(xxhash64(fp, 5), parts)"))
+    tasks = placed.withColumn("other", F.explode(F.expr("filter(sequence(0L, parts - 1), x -> parts = 1 OR x <> part)")))
+    tasks = tasks.select("shard", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "fp")
+    return tasks.repartition(partitions(spark), "shard", "a", "b").groupBy("shard", "a", "b").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,153 +277,220 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Documents that common shingles are counted in, at most about twice this, and those shingles kept; shingles of a
-#: task's share of a block, where each document counts as so many more; sets up to which a shingle's pairs are listed.
-COUNTED, COMMON, SHARE, EACH, FEW = 8192, 1 << 20, 1 << 20, 512, 64
+#: Words of the fingerprints that near copies are looked for with; bands of least hashes, and hashes in a band: two sets of
+#: similarity 0.8 share none of 14 bands of 4 once in 1,600 times. Standard errors of leniency in the distance.
+WORDS, BANDS, ROWS, ROOM = 4, 14, 4, 4.0
+#: Fingerprints of a task that looks for pairs within reach; shingles of a task that compares sets, where a set
+#: counts as EACH more.
+POINTS, SHARE, EACH = 8192, 1 << 20, 512
 #: Room for rounding where a number of shingles is held against a share of others.
 HAIR = 1e-9
+_PERMUTED = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in three or more of a sample of the rows, ascending, and how many rows have them.
+def reach_for(similarity: float, bits: int = BITS * WORDS) -> int:
+    """Bits in which the fingerprints of two sets of this Jaccard similarity hardly ever differ more.
 
-    They only set the order in which shingles are looked at, so a sample doesn't cost a pair.
+    A bit differs with the angle between the sets over pi; the angle is widest for sets of one size.
     """
-    keep = max(1, rows.count() // COUNTED)
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(bits * p + ROOM * math.sqrt(bits * p * (1 - p)))
 
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["token"])
 
-    tokens = rows.where(F.expr(f"pmod(xxhash64(doc_id, 23), {keep}L) = 0")).mapInArrow(run, "token long")
-    found = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
-    hashes, counts = (found.column(k).to_numpy() for k in ("token", "c"))
-    order = np.argsort(hashes.view(np.uint64))
-    return hashes.view(np.uint64)[order], counts[order]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the least hashes of its permutations of the set."""
+    least = np.full(len(_PERMUTED), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 1 << 12):
+            least = np.minimum(least, (hashes[i : i + (1 << 12)] * _PERMUTED[:, None]).min(axis=1))
+        key = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
 
 
-def shingled(rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """doc_id, digest of the set of shingles, n, its size, and prefix: its rarest shingles, so many that two sets with the
-    similarity share one of them."""
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
+def shingled(rows: DataFrame, shingle: int) -> DataFrame:
+    """For rows(doc_id, print, text): doc_id, print, digest of the set of shingles, n, its size, its fingerprint fp in
+    words of 64 bits, and its bands' keys."""
 
     def run(batches):
-        common, often = shared.value
         for batch in batches:
-            digests, sizes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
+            digests, sizes, prints, keys = [], [], [], []
+            for text in batch.column(2).to_pylist():
                 h = np.unique(shingle_hashes(text, shingle))
-                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-                count = np.where(common[at] == h, often[at], 0) if len(common) else np.zeros(len(h), np.int64)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(len(h))
-                prefixes.append(h[np.argsort(count, kind="stable")[: len(h) - math.ceil(similarity * len(h) - HAIR) + 1]].view(np.int64))
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "prefix"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, prefix array<long>")
-
-
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """The least index of the component of each set of hashes, none empty; sets link at this Jaccard similarity."""
-    root = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    values, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    tokens = np.split(tokens, np.cumsum(sizes)[:-1])
-    flags = np.zeros(len(values), np.uint8)
-    left = np.arange(1, len(sets))
-    first, front, flat, starts = 0, [0], None, None
-    while len(left):
-        if not front:
-            first, front, left, flat = left[0], [left[0]], left[1:], None
-            continue
-        if flat is None:
-            flat, starts = np.concatenate([tokens[i] for i in left]), spans(sizes[left])[:-1]
-        p = front.pop()
-        flags[tokens[p]] = 1
-        both = np.add.reduceat(flags[flat], starts, dtype=np.int64)
-        flags[tokens[p]] = 0
-        hit = both + HAIR >= similarity * (sizes[p] + sizes[left] - both)
-        if hit.any():
-            root[left[hit]] = first
-            front += left[hit].tolist()
-            left, flat = left[~hit], None
-    return root
+                with np.errstate(over="ignore"):
+                    prints.append(np.array([simhash(mix64(h + np.uint64(k))) for k in range(WORDS)], np.uint64).view(np.int64))
+                keys.append(band_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
+            longs = pa.list_(pa.int64())
+            columns = [*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, longs), pa.array(keys, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "digest", "n", "fp", "bands"])
+
+    return rows.select("doc_id", "print", "text").mapInArrow(run, "doc_id long, print long, digest binary, n long, fp array<long>, bands array<long>")
+
+
+def in_tasks(members: DataFrame, share: int) -> DataFrame:
+    """members(block, comp, load and others) with the tasks (i, j, mixed) that each of them goes to, so that two members of
+    a block that are not of one component meet in a task.
+
+    In each block the component with the largest load is the main one. Its members don't have to meet each other: they
+    are dealt into parts, and the others, in parts of their own, meet each part of them and each other's.
+    """
+    by_comp = members.groupBy("block", "comp").agg(F.sum("load").alias("load"))
+    blocks = by_comp.groupBy("block").agg(F.max_by("comp", F.struct("load", "comp")).alias("main"), F.max("load").alias("most"), F.sum("load").alias("all"))
+    blocks = blocks.where(F.col("all") > F.col("most")).select("block", "main", F.ceil(F.col("most") / share).alias("p"), F.ceil((F.col("all") - F.col("most")) / share).alias("q"))
+    placed = members.join(blocks, "block").withColumn("part", F.expr("pmod(xxhash64(id, 29), if(comp = main, p, q))"))
+    mixed = F.expr("transform(sequence(0L, if(comp = main, q, p) - 1), x -> if(comp = main, named_struct('i', x, 'j', part, 'mixed', true), named_struct('i', part, 'j', x, 'mixed', true)))")
+    others = F.expr("transform(filter(sequence(0L, q - 1), x -> comp <> main AND x <> part), x -> named_struct('i', least(part, x), 'j', greatest(part, x), 'mixed', false))")
+    return placed.withColumn("task", F.explode(F.concat(mixed, others))).select("*", "task.*").drop("task", "part", "p", "q")
+
+
+TASK = ("block", "i", "j", "mixed")
+
+
+def fitting(n: np.ndarray, i: int, similarity: float) -> np.ndarray:
+    """Which set sizes let a set have the similarity with set i."""
+    return np.minimum(n, n[i]) + HAIR >= similarity * np.maximum(n, n[i])
+
+
+def within_reach(points: np.ndarray, n: np.ndarray, comp: np.ndarray, main, similarity: float, reach: int) -> np.ndarray:
+    """The least index of the group of each point; two points not of one component within reach are in one group."""
+    group = np.arange(len(points))
+    at, leaf = VantageTree(points, depth_for(len(points), 64), reach).shards(points)
+    for here in np.split(at[np.argsort(leaf, kind="stable")], np.flatnonzero(np.diff(np.sort(leaf))) + 1):
+        for i in here[comp[here] != main]:
+            hit = here[(comp[here] != comp[i]) & (distance(points[here], points[i]) <= reach)]
+            hit = hit[np.minimum(n[hit], n[i]) + HAIR >= similarity * np.maximum(n[hit], n[i])]
+            if len(hit):
+                merged(group, np.append(hit, i))
+    return group
+
+
+class Sets:
+    """Sets of hashes, none empty, held as places in their common vocabulary."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        values, places = np.unique(np.concatenate(sets), return_inverse=True)
+        self.places = np.split(places, np.cumsum(self.sizes)[:-1])
+        self.flags = np.zeros(len(values), np.uint8)
+
+    def similar(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the other sets have the Jaccard similarity with set i."""
+        self.flags[self.places[i]] = 1
+        both = np.add.reduceat(self.flags[np.concatenate([self.places[j] for j in others])], spans(self.sizes[others])[:-1], dtype=np.int64)
+        self.flags[self.places[i]] = 0
+        return both + HAIR >= similarity * (self.sizes[i] + self.sizes[others] - both)
+
+
+def exact_links(ids: np.ndarray, comp: np.ndarray, main, points: np.ndarray, sets: Sets, similarity: float, reach: int) -> list[tuple[int, int]]:
+    """Pairs of ids with the similarity that join the components as all such pairs within reach would."""
+    label, found = np.unique(comp, return_inverse=True)[1], []
+    for i in np.flatnonzero(comp != main):
+        near = np.flatnonzero((label != label[i]) & (distance(points, points[i]) <= reach) & fitting(sets.sizes, i, similarity))
+        if len(near):
+            near = near[sets.similar(i, near, similarity)]
+            # one link to each component that is joined is enough
+            near = near[np.unique(label[near], return_index=True)[1]]
+            found += [(int(ids[i]), int(ids[j])) for j in near]
+            merged(label, np.append(near, i))
+    return found
+
+
+def _points(column) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of pairs (u, v, with their prints and n), those whose texts have the similarity: one set v against many.
+
+    texts has doc_id, print and text. A v with very many partners is dealt into shares.
+    """
+    shares = pairs.groupBy("v", "v_print").agg(F.ceil(F.sum(F.col("n") + EACH) / SHARE).alias("shares"))
+    dealt = pairs.join(shares, ["v", "v_print"]).withColumn("share", F.expr("pmod(xxhash64(u, 31), shares)"))
+    sides = dealt.select("v", "v_print", "share", F.col("u").alias("id"), F.col("u_print").alias("print"), F.lit(1).alias("side"))
+    sides = sides.unionByName(dealt.select("v", "v_print", "share", F.col("v").alias("id"), F.col("v_print").alias("print"), F.lit(0).alias("side")).distinct())
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("side", "ascending"), ("id", "ascending")])
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in rows.column("text").to_pylist()]
+        if rows.num_rows < 2:
+            return table("u long, v long")
+        hit = np.flatnonzero(Sets(sets).similar(0, np.arange(1, len(sets)), similarity)) + 1
+        ids = rows.column("id").to_numpy()
+        return table("u long, v long", ids[hit], np.repeat(ids[:1], len(hit)))
+
+    return grouped(sides.join(texts.withColumnRenamed("doc_id", "id"), ["id", "print"]), ("v", "v_print", "share"), compare, "u long, v long")
 
 
 def similar_edges(rows: DataFrame, classes: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Edges (u, v) that join the ids of rows(doc_id, text) as all pairs of sets with the similarity would.
+    """Edges (u, v) that join the ids of rows(doc_id, print, text) as all pairs of sets with the similarity would.
 
-    classes has id, n and prefix of each distinct set. Sets with the similarity share a shingle of
-    their prefixes. Where at most FEW sets have that shingle, each pair of fitting sizes is compared; sets that share one
-    of more sets are a block, and a large block is dealt into shares, each pair of them a
-    group. Either way sets are made again from the text and compared exactly; no pair is lost.
+    classes has id, print, n, fp and bands of each distinct set. Sets that share a band's key are a shard, and each is
+    compared with the shard's first one, which settles a shard of near copies however large. In the
+    others vantage-point trees find the pairs within reach that aren't of one component yet; groups of such
+    pairs, over all shards, are compared by their sets.
     """
-    spark = rows.sparkSession
+    reach = reach_for(similarity)
     # of two unequal sets with the similarity, the larger has at least 1 / (1 - similarity) shingles and the other one less
-    tokens = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", "n", F.explode("prefix").alias("token"))
-    counts = tokens.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    shared = stored(tokens.join(counts, "token"), "tokens")
-
-    few = shared.where(f"sets <= {FEW}").select("token", "id", "n")
-    fits = (F.col("id") < F.col("v")) & (F.least("n", "m") + HAIR >= similarity * F.greatest("n", "m"))
-    pairs = few.join(few.select("token", F.col("id").alias("v"), F.col("n").alias("m")), "token").where(fits).select("id", "v").distinct()
-    pairs = stored(pairs, "pairs")
-    singly = pairs.select(F.col("v").alias("id"), F.col("id").alias("block")).unionByName(pairs.select("id", F.col("id").alias("block")).distinct())
-    singly = singly.select("id", "block", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
-
-    joined = stored(connected(shared.where(f"sets > {FEW} AND id > least").select(F.col("id").alias("u"), F.col("least").alias("v"))), "blocks")
-    members = joined.select(F.col("node").alias("id"), F.col("root").alias("block")).unionByName(joined.select(F.col("root").alias("id"), F.col("root").alias("block")).distinct())
-    loads = classes.groupBy("id").agg(F.sum(F.col("n") + EACH).alias("load"))
-    shares = members.join(loads, "id").groupBy("block").agg(F.ceil(F.sum("load") / SHARE).alias("shares"))
-    placed = members.join(shares, "block").withColumn("share", F.expr("pmod(xxhash64(id, 29), shares)"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0L, shares - 1)"))).where("shares = 1 OR other <> share")
-    dealt = dealt.select("id", "block", F.least("share", "other").alias("a"), F.greatest("share", "other").alias("b"))
-
-    def compare(batches):
-        key, ids, sets, found = None, [], [], []
-
-        def close():
-            if key is not None and key[1] >= 0 and sets:
-                found.extend((ids[i], ids[r]) for i, r in enumerate(similar_roots(sets, similarity).tolist()) if i != r)
-
-        for batch in batches:
-            for block, a, b, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, a, b) != key:
-                    close()
-                    key, ids, sets = (block, a, b), [], []
-                h = np.unique(shingle_hashes(text, shingle))
-                if not len(h):
-                    continue
-                if a < 0 and i != block:
-                    found += [(i, block) for s in sets if similar_roots([s, h], similarity)[1] == 0][:1]
-                else:
-                    ids.append(i)
-                    sets.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
-            found.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
-
-    # the block's first set comes before those that are compared with it alone
-    texts = rows.join(singly.unionByName(dealt), F.col("doc_id") == F.col("id")).select("block", "a", "b", "id", "text")
-    return texts.repartition(partitions(spark), "block", "a", "b").sortWithinPartitions("block", "a", "b", "id").mapInArrow(compare, "u long, v long")
+    facts = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", "print", "n", "fp")
+    keys = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", F.explode("bands").alias("block"))
+    firsts = keys.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    shards = stored(keys.join(firsts, "block").distinct(), "bands")
+
+    u, v = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("print", "n", "fp")], F.col("id").alias(side)) for side in "uv")
+    apart = F.aggregate(F.zip_with("u_fp", "v_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = shards.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct().join(u, "u").join(v, "v")
+    pairs = pairs.where((F.least("u_n", "v_n") + HAIR >= similarity * F.greatest("u_n", "v_n")) & (apart <= reach))
+    edges = stored(verified(pairs.select("u", "u_print", "v", "v_print", F.col("u_n").alias("n")), rows, similarity, shingle), "edges")
+    comps = stored(connected(edges), "joined")
+
+    def settled(frame: DataFrame) -> DataFrame:
+        return frame.join(comps, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+
+    def candidates(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        ids, n, comp = (group.column(c).to_numpy() for c in ("id", "n", "comp"))
+        root = within_reach(_points(group.column("fp")), n, comp, group.column("main")[0].as_py(), similarity, reach)
+        at = np.flatnonzero(root != np.arange(len(ids)))
+        return table("u long, v long", ids[at], ids[root[at]])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        sets = Sets([np.unique(shingle_hashes(t, shingle)) for t in group.column("text").to_pylist()])
+        ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy()
+        found = exact_links(ids, comp, group.column("main")[0].as_py(), _points(group.column("fp")), sets, similarity, reach)
+        return table("u long, v long", [a for a, _ in found], [b for _, b in found])
+
+    # first only which shards hold more than one component, then the fingerprints for these; shards of two are done
+    tasks = in_tasks(settled(shards.where("sets > 2").select("block", "id")).withColumn("load", F.lit(1).cast("long")), POINTS)
+    near = stored(grouped(tasks.join(facts, "id"), TASK, candidates, "u long, v long").distinct(), "near")
+    groups = stored(connected(near), "groups")
+    blocks = groups.select(F.col("node").alias("id"), F.col("root").alias("block")).unionByName(groups.select(F.col("root").alias("id"), F.col("root").alias("block")).distinct())
+    tasks = in_tasks(settled(blocks.join(facts, "id")).withColumn("load", F.col("n") + EACH), SHARE)
+    texts = tasks.join(rows.withColumnRenamed("doc_id", "id"), ["id", "print"])
+    return edges.unionByName(grouped(texts, TASK, compare, "u long, v long"))
 
 
 def first_of_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they were, without near copies of a row with a smaller id.
 
-    Near copies have sets of five-word shingles whose Jaccard similarity is 0.8 or more; groups are
+    Near copies have sets of five-word shingles whose Jaccard similarity is 0.8 or more, compared exactly; groups are
     closed under links. Of equal sets one is compared. Null and blank texts are copies of each other.
-    Rows with a null id are kept and not compared; rows of one id count as one document.
+    Rows with a null id are kept and not compared; rows of one id count as one document, kept or gone together. Columns
+    may have any name but that of the id twice. An empty table gives no row. A pair of similarity 0.8 is not looked
+    at when no band or too few fingerprint bits agree, less than once in a thousand times; a more similar one still less.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
-    prints = stored(shingled(rows, similarity, shingle), "shingles")
-    classes = stored(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets")
-    copies = prints.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id > id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
-    gone = connected(similar_edges(rows, classes, similarity, shingle).unionByName(copies)).select(F.col("node").alias("gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL").withColumn("print", F.xxhash64("text"))
+    found = stored(shingled(rows, shingle), "shingles")
+    first = F.min(F.struct("doc_id", "print")).alias("first")
+    classes = found.groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    classes = stored(classes.select("digest", F.col("first.doc_id").alias("id"), F.col("first.print").alias("print"), "n", "fp", "bands"), "sets")
+    copies = found.select("doc_id", "digest").join(classes.select("digest", "id"), "digest").where("doc_id > id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    gone = connected(similar_edges(rows, classes, similarity, shingle).unionByName(copies))
+    left = fresh_name(docs)
+    return docs.join(gone.select(F.col("node").alias(left)), F.col(f"`{id_col}`") == F.col(left), "left_anti")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,22 +11,27 @@ aggregate over the table of posteriors.
 
 from __future__ import annotations
 
+import warnings
 import zlib
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read, stored
+from .common import fresh_name, pick, read, stored, table
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the mixed corpus, and its size against what the largest domain allows at rate one.
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 BUDGET = 1.05
-#: Labelled rows that the classifier is fitted on, at most about twice this; word buckets; those kept.
+#: Labelled ids that the classifier is fitted on, at most about twice this; word buckets; those kept.
 FIT_ROWS, BUCKETS, KEPT = 20_000, 1 << 18, 400
-STEPS = 30
+#: Share of its target that a domain may be off, and steps after which a fit gives up and says so.
+TOLERANCE, STEPS = 1e-3, 60
+#: Share of the corpus's tokens under which a domain isn't fitted: what there is of it is mostly the doubt in other documents.
+SCARCE = 2e-3
 
 
 def domain() -> F.Column:
@@ -93,18 +98,23 @@ class DomainModel:
         return self._soft(x), np.array([f[1] for f in found], np.int64)
 
 
+LEARNED = "doc_id long, class int, buckets binary, upper double, marks double"
+
+
 def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DomainModel:
-    marked = labels.select("doc_id", domain().alias("class")).where("doc_id IS NOT NULL AND class IS NOT NULL")
+    """The model of the labelled documents, of many a share by hash of about fit_rows ids. Of rows with one id
+    and class the least text counts, so repeated rows don't add to what the driver gets."""
+    marked = labels.select("doc_id", domain().alias("class")).where("doc_id IS NOT NULL AND class IS NOT NULL").distinct()
     share = max(1, marked.count() // fit_rows)
     some = F.broadcast(marked.where(F.expr(f"pmod(xxhash64(doc_id, 13), {share}L) = 0")))
 
     def features(batches):
         for batch in batches:
-            rows = [word_buckets(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "class": batch["class"], "buckets": [r[0].astype("<i4").tobytes() for r in rows], "upper": [r[2] for r in rows], "marks": [r[3] for r in rows]})
+            rows = [word_buckets(t) for t in batch.column(2).to_pylist()]
+            yield from table(LEARNED, pa.chunked_array([batch.column(0)]), pa.chunked_array([batch.column(1)]), [r[0].astype("<i4").tobytes() for r in rows], [r[2] for r in rows], [r[3] for r in rows]).to_batches()
 
-    rows = docs.join(some, "doc_id").select("doc_id", "class", "text").mapInPandas(features, "doc_id long, class int, buckets binary, upper double, marks double").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r["class"], bytes(r.buckets)))
+    rows = docs.join(some, "doc_id").groupBy("doc_id", "class").agg(F.min("text").alias("text")).mapInArrow(features, LEARNED).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r["class"]))
     return DomainModel([(np.frombuffer(bytes(r.buckets), "<i4"), r.upper, r.marks, r["class"]) for r in rows], len(DOMAINS))
 
 
@@ -114,10 +124,10 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            p, n = shared.value.posterior(batch.text)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_tokens": n, "posterior": list(p)})
+            p, n = shared.value.posterior(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, posterior array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
 
 def rate(steps: list[np.ndarray]) -> F.Column:
@@ -137,31 +147,58 @@ def sure_rates(steps: list[np.ndarray]) -> list[float]:
     return rates.tolist()
 
 
-def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS) -> list[np.ndarray]:
+@dataclass
+class Fit:
+    """The steps taken, and of each domain its tokens before, its target, whether it was fitted, and what the rates give."""
+
+    steps: list[np.ndarray] = field(default_factory=list)
+    had: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    target: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    fitted: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS), bool))
+    got: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+
+    @property
+    def reached(self) -> bool:
+        return bool((np.abs(self.got - self.target) <= TOLERANCE * self.target + 1e-9)[self.fitted].all())
+
+    def report(self, spark) -> DataFrame:
+        rows = zip(DOMAINS, *[x.tolist() for x in (self.had, self.target, self.fitted, self.got)], strict=True)
+        return spark.createDataFrame(list(rows), "domain string, had double, target double, fitted boolean, got double")
+
+
+def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS) -> Fit:
     """The steps whose rates bring the domains' expected tokens to the targets.
 
     The size of the mix is such that the domain with the largest share has budget times the tokens it
-    had. No domain is asked for more than budget times what it has: a domain that is
-    hardly there can't be made from the doubtful rest of others.
+    had. A domain with less than SCARCE of the corpus's tokens is left out of the fit: no rates can make
+    it from the doubtful rest of others without spoiling those. A warning tells which domains stay off their
+    target, as where it can't be met by rates of 0 and more.
     """
     k = len(DOMAINS)
     weight = [F.col("n_tokens") * F.col("posterior")[i] for i in range(k)]
-    sums = table.agg(*[F.sum(w).alias(f"s{i}") for i, w in enumerate(weight)], *[F.sum(weight[i] * F.col("posterior")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    have = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
-    gram = np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    def totals(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        r = rate(taken)
+        sums = [F.sum(r * w) for w in weight] + [F.sum(F.when(r > 0, weight[i] * F.col("posterior")[j])) for i in range(k) for j in range(k)]
+        found = np.array([v or 0.0 for v in table.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()])
+        return found[:k], found[k:].reshape(k, k)
+
+    had, gram = totals([])
     share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    if have.sum() <= 0:
-        return []
-    goal = np.minimum(share * budget * have[int(share.argmax())] / share.max(), budget * have)
-    # damped by the whole corpus's scale: a domain that is hardly there can't get a price that outweighs the others
-    white = np.linalg.inv(gram + (1e-3 * np.trace(gram) + 1e-9) * np.eye(k))
-    taken: list[np.ndarray] = []
+    if had.sum() <= 0:
+        return Fit()
+    fit = Fit([], had, share * budget * had[int(share.argmax())] / share.max(), had >= SCARCE * had.sum(), had)
+    at = np.flatnonzero(fit.fitted)
     for _ in range(steps):
-        got = np.array(table.agg(*[F.sum(rate(taken) * w) for w in weight]).first(), np.float64) if taken else have
-        if np.abs(got - goal).max() <= 1e-4 * goal.sum():
+        if fit.reached:
             break
-        taken.append(white @ (got - goal))
-    return taken
+        price, part = np.zeros(k), gram[np.ix_(at, at)]
+        price[at] = np.linalg.inv(part + np.diag(1e-6 * np.diag(part) + 1e-9)) @ (fit.got - fit.target)[at]
+        fit.steps.append(price)
+        fit.got, gram = totals(fit.steps)
+    if not fit.reached:
+        warnings.warn(f"after {len(fit.steps)} steps the domains {DOMAINS} have {fit.got.round(1).tolist()} tokens against targets of {fit.target.round(1).tolist()}", stacklevel=2)
+    return fit
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +211,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
     table = stored(posteriors(rows, learned(rows, labels)), "posteriors")
-    steps = fitted(table, targets, budget)
+    steps = fitted(table, targets, budget).steps
     home = F.array_position("posterior", F.array_max("posterior")).cast("int")
     found = table.withColumn("rate", rate(steps)).withColumn("copies", F.floor(F.col("rate") + dither()).cast("long"))
     return found.withColumn("home_rate", F.get(F.array(*[F.lit(r) for r in sure_rates(steps)]), home - 1))
@@ -184,14 +221,25 @@ def dither() -> F.Column:
     return F.expr("pmod(xxhash64(doc_id, 17), 1048576) / 1048576D")
 
 
-def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, whole_domains: bool = True) -> DataFrame:
     """The rows of docs that the mix takes, all columns as they were; no row more than once.
 
-    Rows of a domain that is taken whole stay: the doubt in a document's posterior lowers its rate, but
-    doesn't cost the document where its likeliest domain has a rate of one or more.
+    A row stays if its rate, rounded by its id's hash, is one or more. With whole_domains, rows of a domain that is taken
+    whole stay as well: the doubt in a document's posterior lowers its rate, but doesn't cost the document where its
+    likeliest domain has a rate of one or more. As no row is taken twice and doubtful rows stay, the domains' totals
+    come near the targets only; `expected` tells them. Rows with a null id are kept. Columns may
+    have any name.
     """
-    taken = mixed(docs, labels, targets, budget).where("copies = 0 AND home_rate < 1").select(F.col("doc_id").alias("left_out"))
-    return docs.join(taken.distinct(), F.col("doc_id") == F.col("left_out"), "left_anti")
+    out = mixed(docs, labels, targets, budget).where("copies = 0" + (" AND home_rate < 1" if whole_domains else ""))
+    left = fresh_name(docs)
+    return docs.join(out.select(F.col("doc_id").alias(left)).distinct(), F.col("doc_id") == F.col(left), "left_anti")
+
+
+def expected(docs: DataFrame, model: DomainModel) -> DataFrame:
+    """domain, tokens: the expected tokens of each domain in docs, each row once."""
+    found = posteriors(pick(docs, doc_id="doc_id", text="text"), model)
+    sums = found.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("posterior")[i]), F.lit(0.0)).alias(d) for i, d in enumerate(DOMAINS)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(d).alias("tokens")) for d in DOMAINS])))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -15,13 +15,15 @@ All documents of a batch are parsed together, one vector operation for each step
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, pick, read, spans
+from .common import mix64, partitions, pick, read, table
 
 SLOTS = 128
 #: Phrases of these rounds and later make the fingerprint, besides each text's last name.
@@ -121,18 +123,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256), 0, 1)
 
 
-def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, fingerprint for each row. Null counts as empty; equal texts have equal prints."""
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.text.fillna("").tolist()
-            prints = [r.tobytes().hex() for r in sketches(texts)]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_chars": [len(t) for t in texts], "fingerprint": prints})
-
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
-
-
 EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -141,51 +131,69 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def edit_rows(ids: list[int | None], texts: list[str]) -> pa.Table:
+    """The rows of all texts but the last, which only follows the one before it."""
+    changed = [edited(a, b) for a, b in itertools.pairwise(texts)]
+    prints, new = sketches(texts), sketches(changed)
+    shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
+    shown = [[r.tobytes().hex() for r in p] for p in (prints[:-1], new)]
+    return table(EDITS, ids[: len(changed)], [len(t) for t in texts[:-1]], shas, *shown, likeness(prints[:-1], new), likeness(prints[:-1], prints[1:]))
+
+
+#: Bytes of text meant for a range of ids; sampled ids for each range.
+RANGE_BYTES, SAMPLED = 32 << 20, 20
+#: Ranges whose first ids are broadcast; those of more are joined by exchange.
+MOST_RANGES = 1 << 20
+
+
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document beside its edited text and the next document by descending id (the last's is the first).
 
-    Documents are dealt by ranges of ids, and the first row of each range goes to the range before it as
-    well; only one id for each range reaches the driver. Null texts count as empty; null ids come last;
-    rows of one id follow each other by text. A single row is its own next document.
+    Documents are dealt by ranges of ids of about RANGE_BYTES, whose borders come from a sample, and the first
+    row of each range goes to the range before it as well: the driver sees about SAMPLED ids a range. A task streams its
+    range in order and holds one batch. Null texts count as empty; null ids come last; rows of one id follow each
+    other by text. A single row is its own next document. Ids of any size stay exact; an empty table gives no row.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    ranges = 4 * partitions(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("long")
-    def range_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna()
-        out = np.full(len(doc_id), -1)
-        out[known] = np.searchsorted(cuts, doc_id[known].to_numpy(np.int64), side="left")
-        return pd.Series(-out)
+    size = rows.agg(F.count("doc_id").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ranges = max(4 * partitions(spark), math.ceil((size.bytes or 0) / RANGE_BYTES))
+    some = rows.where(F.expr(f"pmod(xxhash64(doc_id, 37), {max(1, size.n // (SAMPLED * ranges))}L) = 0 AND doc_id IS NOT NULL"))
+    ids = np.sort(np.array([r.doc_id for r in some.select("doc_id").collect()], np.int64))
+    cuts = np.unique(ids[np.linspace(0, len(ids) - 1, ranges + 1).astype(int)[1:-1]]) if len(ids) else ids
+
+    @F.arrow_udf("long")
+    def range_of(ids: pa.Array) -> pa.Array:
+        at = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="left")
+        at[ids.is_null().to_numpy(zero_copy_only=False)] = len(cuts) + 1
+        return pa.array(at.astype(np.int64))
 
     dealt = rows.withColumn("range", range_of("doc_id"))
-    heads = sorted((r.range, r.head) for r in dealt.groupBy("range").agg(F.max("doc_id").alias("head")).collect())
-    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}
-    to = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("long"))
-    known = [F.lit(x) for k, v in before.items() if k is not None for x in (k, v)]
-    if known:
-        to = to.otherwise(F.create_map(*known)[F.col("doc_id")])
-    head = dealt.withColumn("to", to).where("to IS NOT NULL").select("doc_id", "text", F.col("to").alias("range"), F.lit(1).alias("next"))
+    # a row of 24 bytes for each range, that is for RANGE_BYTES of text
+    order = Window.orderBy("range")
+    heads = rows.select("doc_id").withColumn("range", range_of("doc_id")).groupBy("range").agg(F.max("doc_id").alias("head"))
+    heads = heads.select("head", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("to"))
+    heads = F.broadcast(heads) if ranges <= MOST_RANGES else heads
+    head = dealt.join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("to").alias("range"), F.lit(1).alias("next"))
     both = dealt.select("doc_id", "text", "range", F.lit(0).alias("next")).unionByName(head)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        known = group.doc_id.notna()
-        group = group.assign(null=~known, key=group.doc_id.fillna(0).astype("int64")).sort_values(["next", "null", "key", "text"], ascending=[True, True, False, True], kind="stable")
-        own = int((group.next == 0).sum())
-        texts = group.text.tolist()[: own + 1]
-        changed = [edited(texts[i], texts[i + 1]) for i in range(own)]
-        prints, new = sketches(texts), sketches(changed)
-        return pd.DataFrame({
-            "doc_id": group.doc_id.astype("Int64").iloc[:own], "n_chars": [len(t) for t in texts[:own]],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-            "fingerprint": [r.tobytes().hex() for r in prints[:own]], "edited_fingerprint": [r.tobytes().hex() for r in new],
-            "near_edited": likeness(prints[:own], new), "near_next": likeness(prints[:own], prints[1 : own + 1]),
-        })
-
-    return both.repartition(partitions(spark), "range").groupBy("range").applyInPandas(run, EDITS)
+    def stream(batches):
+        place, done, ids, texts, chars = None, False, [], [], 0
+        for batch in batches:
+            for doc_id, text, at, following in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != place:
+                    place, done, ids, texts, chars = at, False, [], [], 0
+                if done:
+                    continue
+                ids.append(doc_id)
+                texts.append(text)
+                chars += len(text)
+                if following or chars > BATCH_CHARS:
+                    yield from edit_rows(ids, texts).to_batches() if len(texts) > 1 else ()
+                    done, ids, texts, chars = bool(following), ids[-1:], texts[-1:], len(text)
+
+    keys = ["range", "next", F.col("doc_id").isNull(), F.desc("doc_id"), "text"]
+    return both.repartition(partitions(spark), "range").sortWithinPartitions(*keys).mapInArrow(stream, EDITS)
 
 
 def op10_parsing(spark, sf_dir: str) -> DataFrame:

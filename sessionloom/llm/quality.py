@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,22 +160,25 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.expr(f"crc32(cast({doc_id} AS string)) % 5 = 0"), F.lit(False))
 
 
+LEARNED = "doc_id long, quality int, x array<double>"
+
+
 def learned(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits a model on labelled rows that aren't held out; of many, a share by hash of about fit_rows.
+    """Fits a model on labelled rows that aren't held out; of many ids, a share by hash of about fit_rows.
 
-    The chosen ids are under twice fit_rows, so they are broadcast to the scan of docs(doc_id, text)
-    and only their texts are looked at.
+    Each pair of an id and a label counts once, with the least of the id's texts, so what is broadcast and what the driver
+    gets are bounded by fit_rows whatever is repeated. Only the texts of the chosen ids are looked at.
     """
 
     def features(batches):
         for batch in batches:
-            x = [text_features(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "quality": batch.quality, "x": x})
+            x = [text_features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    marked = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", "quality")
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     share = max(1, marked.count() // fit_rows)
     some = F.broadcast(marked.where(F.expr(f"pmod(xxhash64(doc_id, 11), {share}L) = 0")))
-    rows = docs.join(some, "doc_id").select("doc_id", "quality", "text").mapInPandas(features, "doc_id long, quality int, x array<double>").collect()
+    rows = docs.join(some, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).mapInArrow(features, LEARNED).collect()
     rows = sorted((r.doc_id, r.quality, r.x) for r in rows)
     x = np.array([r[2] for r in rows], np.float64).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], np.float64))
@@ -196,7 +200,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """doc_id, held_out, score, predicted for each row.
 
     Null texts count as empty and get a score like any other. Rows with a null id are scored but never
-    learned from, and aren't held out. Repeated labels count once each. With no usable label, or
+    learned from, and aren't held out. Repeated labels count once. With no usable label, or
     one kind only, every score is the share of label 1 (0.5 if there is none).
     """
     rows = pick(docs, doc_id=id_col, text=text_col)

@@ -1,13 +1,15 @@
 """Embedding near-dedup: cover trees and their dual traversal.
 
 Vectors of one label are compared as points on the unit sphere, where cosine >= t means a distance
-of at most sqrt(2 - 2 t). Equal vectors are one point with a weight. The top of a label's
-cover tree is a net of centres from a bounded sample; each point joins its nearest centre. Larger cells, as of
-tight groups, are dealt into chunks by hash. Pairs of chunks whose cells the covering radii can't part go to tasks of
-their own, so a label or a group with a third of all rows is many tasks. There each chunk becomes a tree with halving radii, and the two trees are
-walked together: a pair of nodes is dropped if its centres are farther apart than both radii and the
-threshold, taken as a whole if it is nearer than the threshold less both radii, and opened otherwise. Pairs
-of points are decided by their cosine in double precision.
+of at most sqrt(2 - 2 t). Equal vectors are one point with a weight. The upper levels of a label's cover tree are made
+by Spark, level by level: a cell of more than CELL points gets up to FAN centres, each farthest from those before
+(from a bounded sample of the cell), and each point joins its nearest. Pairs of cells go down the levels together: a pair
+is dropped if the centres are farther apart than both radii and the threshold, taken whole if they are nearer than
+the threshold less both radii (then a tight group of any size takes one aggregate, not its pairs), and opened otherwise.
+
+Pairs of lowest cells are tasks; a cell that stays large is dealt into chunks by hash, and pairs of chunks are tasks.
+In a task each side becomes a tree with halving radii, and the two trees are walked together by the same rules. Pairs of
+points are decided by their cosine in double precision.
 """
 
 from __future__ import annotations
@@ -15,16 +17,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, read, stored
+from .common import merged, partitions, pick, read, stored, table
 from .components import connected
 
 THRESHOLD = 0.98
-#: Points meant for a cell; vectors of each label that centres are taken from, at most about twice.
-CELL, SAMPLE = 1500, 4000
+#: Points meant for a cell; centres of a cell's next level, at most; points they are taken from, at most about twice;
+#: points that a task deals to centres; levels.
+CELL, FAN, SAMPLE, SLICE, LEVELS = 1500, 64, 2000, 20_000, 6
 SLACK = 1e-7
 
 
@@ -78,54 +81,39 @@ def dual_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float):
                     open_.append((p.kids or [p], q.kids or [q]))
 
 
-def _unit(rows) -> np.ndarray:
-    x = np.array(rows.tolist(), np.float64).reshape(len(rows), -1)
+def unit(column, d: int) -> np.ndarray:
+    """Rows of unit length from an Arrow column of lists of d numbers. The largest part of each is made one first, so that
+    no square is too large or too small."""
+    x = column.combine_chunks().flatten().to_numpy().reshape(-1, d)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cell_links(near: pd.DataFrame, far: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
-    """For the points of one cell, or of two: id, the weight of the points it links with, and a point
-    that stands for its component among them."""
-    x, y = _unit(near.vector), None if far is None else _unit(far.vector)
-    n = len(x)
-    ids = near.id.to_numpy() if far is None else np.concatenate([near.id, far.id])
-    weights = near.weight.to_numpy() if far is None else np.concatenate([near.weight, far.weight])
-    count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(i, j):
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
-
-    shift = 0 if far is None else n
+def cell_links(x: np.ndarray, y: np.ndarray | None, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the points of one chunk, or of two, one after the other: the weight of the points that each links with, and
+    the place of a point that stands for its component among them."""
+    shift = 0 if y is None else len(x)
+    count, label = np.zeros(len(weights), np.int64), np.arange(len(weights))
     for i, j, hit in dual_links(x, x if y is None else y, y is None, threshold):
         j = j + shift
         if hit is None:
             count[i] += weights[j].sum()
             if shift:
                 count[j] += weights[i].sum()
-            for p in (*i, *j):
-                join(i[0], p)
+            merged(label, np.concatenate([i, j]))
             continue
         count[i] += hit @ weights[j]
         if shift:
             count[j] += weights[i] @ hit
         for k in np.flatnonzero(hit.any(axis=1)):
-            for p in j[hit[k]]:
-                join(i[k], p)
-    for i in range(len(root)):
-        root[i] = find(i)
-    return pd.DataFrame({"id": ids, "links": count, "root": ids[root]})
+            linked = j[hit[k]]
+            if (label[linked] != label[i[k]]).any():
+                merged(label, np.append(linked, i[k]))
+    return count, label
 
 
-def centers_of(sample: pd.DataFrame, n: int) -> np.ndarray:
+def centers_of(x: np.ndarray, n: int) -> np.ndarray:
     """Up to n centres, each farthest from those before it."""
-    x = _unit(sample.vector)
     chosen, d = [0], np.linalg.norm(x - x[0], axis=1)
     while len(chosen) < n and d.max() > 1e-9:
         chosen.append(int(d.argmax()))
@@ -133,65 +121,142 @@ def centers_of(sample: pd.DataFrame, n: int) -> np.ndarray:
     return x[chosen]
 
 
+SPACE = ["label", "d"]
+NETS = "label string, d int, cell string, centers array<array<double>>"
+SETTLED = "label string, d int, parent string, child int, id long, weight long, vector array<double>, far double"
+
+
+def next_level(placed: DataFrame, large: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The points of the large cells in cells of the next level, and these cells: parent, cell, far, n, center.
+
+    placed has label, d, id, weight, vector and cell; large has label, d, cell and the number n of its points. A net is made
+    from a bounded sample. A cell is dealt in slices, each with the cell's net of at most FAN centres.
+    """
+
+    def net(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        label, d, cell = (k.as_py() for k in key)
+        c = centers_of(unit(rows.column("vector"), d), min(FAN, math.ceil(rows.column("n")[0].as_py() / CELL)))
+        return pa.table([pa.array([label], pa.string()), pa.array([d], pa.int32()), pa.array([cell], pa.string()), pa.array([c.tolist()], pa.list_(pa.list_(pa.float64())))], names=["label", "d", "cell", "centers"])
+
+    points = placed.join(large.select(*SPACE, "cell", "n"), [*SPACE, "cell"])
+    some = points.where(F.expr(f"pmod(xxhash64(id, {level}), greatest(1L, n div {SAMPLE})) = 0"))
+    nets = stored(some.groupBy(*SPACE, "cell").applyInArrow(net, NETS), "nets")
+
+    def settle(points: pa.Table, nets: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in SETTLED.split(", ")]
+        n = points.num_rows
+        if n and not nets.num_rows:
+            raise RuntimeError("a cell's sample is empty")
+        if n:
+            d = points.column("d")[0].as_py()
+            x, c = unit(points.column("vector"), d), np.array(nets.column("centers")[0].as_py()).reshape(-1, d)
+            child = (x @ c.T).argmax(axis=1)
+            far = np.linalg.norm(x - c[child], axis=1)
+        else:
+            child = far = np.zeros(0)
+        points = points.slice(0, n)
+        return pa.table([points.column("label"), points.column("d"), points.column("cell"), pa.array(child, pa.int32()), points.column("id"), points.column("weight"), points.column("vector"), pa.array(far)], names=names)
+
+    slices = large.select(*SPACE, "cell", F.ceil(F.col("n") / SLICE).alias("slices"))
+    sent = points.join(slices, [*SPACE, "cell"]).withColumn("slice", F.expr("pmod(xxhash64(id, 3), slices)"))
+    each = nets.join(slices, [*SPACE, "cell"]).select(*[F.col(c).alias(c) for c in (*SPACE, "cell", "centers")], F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"))
+    keys = [*SPACE, "cell", "slice"]
+    settled = sent.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInArrow(settle, SETTLED)
+    settled = stored(settled.withColumn("cell", F.format_string("%s.%d", "parent", "child")), "settled")
+    kids = settled.groupBy(*SPACE, "parent", "cell", "child").agg(F.max("far").alias("far"), F.count("*").alias("n"))
+    kids = kids.join(nets.withColumnRenamed("cell", "parent"), [*SPACE, "parent"]).select(*SPACE, "parent", "cell", "far", "n", F.get("centers", F.col("child")).alias("center"))
+    return settled.select(*placed.columns), stored(kids, "kids")
+
+
+def opened(pairs: DataFrame, kids: DataFrame, reach: float) -> DataFrame:
+    """Pairs (label, d, a, b) of cells and a cell's facts, with each cell that has kids replaced by these, and whole,
+    whether all their points link. Pairs that the covering radii part are gone."""
+    sides = pairs
+    for s in "ab":
+        facts = kids.select(*SPACE, F.col("parent").alias(s), *[F.col(c).alias(f"new_{c}_{s}") for c in ("cell", "far", "center")])
+        sides = sides.join(facts, [*SPACE, s], "left")
+    new = {f"{c}{s}": F.coalesce(f"new_{name}_{s}", f"{c}{s}") for s in "ab" for c, name in (("far_", "far"), ("center_", "center"))}
+    cells = {s: F.coalesce(f"new_cell_{s}", s) for s in "ab"}
+    sides = sides.withColumn("one", F.col("a") == F.col("b")).select(*SPACE, "one", *[c.alias(s) for s, c in cells.items()], *[c.alias(s) for s, c in new.items()])
+    sides = sides.where("NOT one OR a <= b")
+    apart = F.sqrt(F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y))
+    apart = F.when(F.col("a") == F.col("b"), 0.0).otherwise(apart)
+    met = sides.withColumn("apart", apart).where(F.col("apart") <= F.col("far_a") + F.col("far_b") + reach + 1e-5)
+    return met.select(*SPACE, "a", "b", "far_a", "far_b", "center_a", "center_b", (F.col("apart") + F.col("far_a") + F.col("far_b") <= reach - 1e-5).alias("whole"))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
     Rows link when their labels are equal and not null and their cosine is at least threshold. Null,
     empty and zero vectors, and those with null or non-finite parts, link with nothing; so do vectors of
-    different lengths. Equal rows are copies that link with each other.
+    different lengths. Equal rows are copies that link with each other. Parts of any magnitude are fine.
+    An empty table gives no row.
     """
     spark = vectors.sparkSession
     rows = pick(vectors, vec_id=id_col, vector=vector_col, label=label_col).withColumn("vector", F.col("vector").cast("array<double>"))
-    whole = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
-    rows = rows.withColumn("usable", F.coalesce(whole & F.col("label").isNotNull(), F.lit(False)))
+    sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
+    rows = rows.withColumn("usable", F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)))
     key = [F.col("label").cast("string").alias("label"), F.size("vector").alias("d"), "vector"]
     points = stored(rows.where("usable").groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "points")
-    sizes = points.groupBy("label", "d").agg(F.count("*").alias("n")).where(f"n > {CELL}")
-    some = points.join(sizes, ["label", "d"]).where(F.expr(f"pmod(xxhash64(id), greatest(1L, n div {SAMPLE})) = 0"))
-
-    def net(group: pd.DataFrame) -> pd.DataFrame:
-        c = centers_of(group.sort_values("id"), math.ceil(group.n.iloc[0] / CELL))
-        return pd.DataFrame({"label": group.label.iloc[0], "d": group.d.iloc[0], "centers": [c.tolist()]})
-
-    nets = some.groupBy("label", "d").applyInPandas(net, "label string, d int, centers array<array<double>>")
-
-    def settle(batches):
-        for batch in batches:
-            found = np.zeros(len(batch), np.int64)
-            far = np.zeros(len(batch))
-            of = {}
-            for c, (label, d, centers) in enumerate(zip(batch.label, batch.d, batch.centers, strict=True)):
-                of.setdefault((label, d), ([], centers))[0].append(c)
-            for at, centers in of.values():
-                if centers is not None:
-                    x, c = _unit(batch.vector.iloc[at]), np.array([list(v) for v in centers])
-                    dist = np.sqrt(np.maximum(0, 2 - 2 * x @ c.T))
-                    found[at], far[at] = dist.argmin(axis=1), dist.min(axis=1)
-            yield pd.DataFrame({"label": batch.label, "d": batch.d, "id": batch.id, "weight": batch.weight, "vector": batch.vector, "cell": found, "far": far})
-
-    settled = stored(points.join(nets, ["label", "d"], "left").mapInPandas(settle, "label string, d int, id long, weight long, vector array<double>, cell long, far double"), "cells")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    # a cell over CELL points is dealt into chunks by hash, so that a tight group of any size is many tasks
-    cells = settled.groupBy("label", "d", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / CELL).alias("chunks"))
-    parts = settled.join(cells.select("label", "d", "cell", "chunks"), ["label", "d", "cell"]).withColumn("chunk", F.expr("pmod(xxhash64(id, 31), chunks)"))
-    placed = stored(cells.join(nets, ["label", "d"], "left").select("label", "d", "cell", "far", "chunks", F.get("centers", F.col("cell").cast("int")).alias("center")), "nets")
-    left, right = (placed.select("label", "d", *[F.col(c).alias(c + side) for c in ("cell", "far", "chunks", "center")]) for side in "ab")
-    apart = F.sqrt(F.aggregate(F.zip_with("centera", "centerb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y))
-    meet = (F.col("cella") == F.col("cellb")) | ((F.col("cella") < F.col("cellb")) & (apart <= F.col("fara") + F.col("farb") + reach + 1e-5))
-    pairs = left.join(right, ["label", "d"]).where(meet).select("label", "d", F.col("cella").alias("a"), F.col("cellb").alias("b"), "chunksa", "chunksb")
-    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0L, chunksa - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, chunksb - 1)"))).where("a < b OR i <= j")
-    pairs = pairs.select("label", "d", "a", "i", "b", "j")
-    sides = pairs.withColumns({"cell": F.col("a"), "chunk": F.col("i")}).unionByName(pairs.where("a < b OR i < j").withColumns({"cell": F.col("b"), "chunk": F.col("j")}))
-    dealt = parts.join(sides, ["label", "d", "cell", "chunk"]).select("label", "d", "id", "weight", "vector", "cell", "chunk", "a", "i", "b", "j")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, i, b, j = (group[k].iloc[0] for k in ("a", "i", "b", "j"))
-        first = (group.cell == a) & (group.chunk == i)
-        return cell_links(group[first].sort_values("id"), None if (a, i) == (b, j) else group[~first].sort_values("id"), threshold)
-
-    task = ["label", "d", "a", "i", "b", "j"]
-    found = stored(dealt.repartition(partitions(spark), *task).groupBy(*task).applyInPandas(compare, "id long, links long, root long"), "links")
-    roots = connected(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+
+    placed = points.withColumn("cell", F.lit(""))
+    cells = placed.groupBy(*SPACE, "cell").agg(F.lit(2.0).alias("far"), F.count("*").alias("n"))
+    nothing = F.lit(None).cast("array<double>")
+    pairs = cells.select(*SPACE, F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(2.0).alias("far_a"), F.lit(2.0).alias("far_b"), nothing.alias("center_a"), nothing.alias("center_b"))
+    taken = []
+    for level in range(LEVELS):
+        large = stored(cells.where((F.col("n") > CELL) & (F.col("far") > 1e-9)), "large")
+        if not large.head(1):
+            break
+        deeper, cells = next_level(placed, large, level)
+        placed = placed.join(large.select(*SPACE, "cell"), [*SPACE, "cell"], "left_anti").select(*placed.columns).unionByName(deeper)
+        met = stored(opened(pairs, cells, reach), "pairs")
+        taken.append(met.where("whole").select(*SPACE, "a", "b"))
+        pairs = met.where("NOT whole").drop("whole")
+
+    # pairs of cells that link as a whole, where both sides are answered by one aggregate of the other
+    whole = pairs.where("false").select(*SPACE, "a", "b")
+    for part in taken:
+        whole = whole.unionByName(part)
+    both = whole.select(*SPACE, F.col("a").alias("ours"), F.col("b").alias("theirs")).unionByName(whole.where("a <> b").select(*SPACE, F.col("b").alias("ours"), F.col("a").alias("theirs")))
+    # a cell taken whole may have been split since, for other pairs: its points are those of all cells below
+    paths = placed.select(*SPACE, "id", "weight", F.col("cell").alias("lowest"))
+    wanted = both.select(*SPACE, F.col("ours").alias("cell")).distinct()
+    above = F.expr("transform(sequence(1, size(split(lowest, '[.]'))), n -> array_join(slice(split(lowest, '[.]'), 1, n), '.'))")
+    members = stored(paths.withColumn("cell", F.explode(above)).join(wanted, [*SPACE, "cell"]).select(*SPACE, "cell", "id", "weight"), "whole")
+    sums = members.groupBy(*SPACE, "cell").agg(F.sum("weight").alias("total"), F.min("id").alias("least"))
+    met = both.join(sums.withColumnRenamed("cell", "theirs"), [*SPACE, "theirs"])
+    met = met.groupBy(*SPACE, F.col("ours").alias("cell")).agg(F.sum("total").alias("links"), F.min("least").alias("root"))
+    # a cell's points all link with the least point of one cell, and by it with each other
+    from_whole = members.join(met, [*SPACE, "cell"]).select("id", "links", "root")
+    bridges = both.join(sums.withColumnRenamed("cell", "theirs"), [*SPACE, "theirs"]).select(*SPACE, F.col("ours").alias("cell"), F.col("least").alias("v")).join(sums, [*SPACE, "cell"]).select(F.col("least").alias("u"), "v")
+
+    sizes = placed.groupBy(*SPACE, "cell").agg(F.ceil(F.count("*") / CELL).alias("chunks"))
+    sizes = stored(sizes, "sizes")
+    for s in "ab":
+        pairs = pairs.join(sizes.select(*SPACE, F.col("cell").alias(s), F.col("chunks").alias(f"chunks_{s}")), [*SPACE, s])
+    pairs = pairs.withColumn("i", F.explode(F.expr("sequence(0L, chunks_a - 1)"))).withColumn("j", F.explode(F.expr("sequence(0L, chunks_b - 1)"))).where("a <> b OR i <= j")
+    pairs = pairs.select(*SPACE, "a", "i", "b", "j")
+    sides = pairs.withColumns({"cell": F.col("a"), "chunk": F.col("i"), "first": F.lit(True)}).unionByName(pairs.where("a <> b OR i < j").withColumns({"cell": F.col("b"), "chunk": F.col("j"), "first": F.lit(False)}))
+    parts = placed.join(sizes, [*SPACE, "cell"]).withColumn("chunk", F.expr("pmod(xxhash64(id, 31), chunks)")).drop("chunks")
+    dealt = parts.join(sides, [*SPACE, "cell", "chunk"]).select(*SPACE, "id", "weight", "vector", "first", "a", "i", "b", "j")
+
+    def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        d = key[1].as_py()
+        group = group.sort_by([("first", "descending"), ("id", "ascending")])
+        n = int(group.column("first").to_numpy().sum())
+        x = unit(group.column("vector"), d)
+        ids, one = group.column("id").to_numpy(), key[2:4] == key[4:6]
+        count, label = cell_links(x[:n], None if one else x[n:], group.column("weight").to_numpy(), threshold) if one or n < len(x) else (np.zeros(n, np.int64), np.arange(n))
+        return table("id long, links long, root long", ids, count, ids[label])
+
+    task = [*SPACE, "a", "i", "b", "j"]
+    compared = dealt.repartition(partitions(spark), *task).groupBy(*task).applyInArrow(compare, "id long, links long, root long")
+    found = stored(compared.unionByName(from_whole), "links")
+    roots = connected(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(bridges))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = points.select("label", "d", "vector", "id").join(links, "id").join(roots, F.col("id") == F.col("node"), "left")
     named = named.select("label", "d", "vector", "links", F.coalesce("root", "id").alias("component_id"))

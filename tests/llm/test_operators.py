@@ -1,7 +1,6 @@
 """The corpus operators against brute force, round trips and held-out accuracy, with odd inputs."""
 
 import glob
-import hashlib
 import zlib
 
 import duckdb
@@ -10,8 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
-from sessionloom.llm import common, earlier_copies, encoding, fingerprints, mixing, packing, parsing, quality, registry, superkmers, token_files, url_rules, vectors
+from sessionloom.llm import earlier_copies, encoding, fingerprints, packing, registry, superkmers, token_files, url_rules
 
 from ..conftest import DATA
 
@@ -95,15 +93,6 @@ def test_url_rules_fit_hosts_not_paths(spark):
     assert got.sort_values("page_id").rule.where(got.rule.notna(), None).tolist() == [None, None, None, "net/", None, "org/fr/", None, "net/"]
 
 
-def test_quality(spark, odd, none):
-    labels = common.read(spark, "/root/testdata/sf0.01", "labels")
-    got = quality.quality_scores(common.read(spark, "/root/testdata/sf0.01", "documents"), labels).toPandas()
-    marked = got.merge(labels.toPandas(), on="doc_id")
-    marked = marked[marked.held_out]
-    assert (marked.predicted == marked.quality).mean() > 0.95
-    assert quality.quality_scores(odd, labels).count() == len(ODD) and quality.quality_scores(none, labels.where("false")).count() == 0
-
-
 def pieces_fit(pieces, window):
     for _, s in pieces.groupby("sequence_id"):
         s = s.sort_values("offset")
@@ -161,26 +150,6 @@ def test_first_of_groups(spark, odd, none):
     assert fingerprints.first_of_groups(none).count() == 0 and fingerprints.first_of_groups(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize(("share", "few"), [(1 << 20, 64), (3000, 1)])
-def test_near_copies_by_exact_similarity(spark, docs, monkeypatch, share, few):
-    monkeypatch.setattr(fingerprints, "SHARE", share, raising=False)
-    monkeypatch.setattr(fingerprints, "FEW", few, raising=False)
-    rng = np.random.default_rng(8)
-    words = [f"w{i}" for i in range(400)]
-    texts, boilerplate = docs.text[:60].tolist(), " ".join(rng.choice(words, 40))
-    for k in range(80):
-        base = rng.choice(words, int(rng.integers(8, 250))).tolist()
-        texts.append(" ".join([*base, boilerplate] if k % 4 == 0 else base))
-        new = [*base, *rng.choice(words, int(len(base) * rng.uniform(0.05, 0.4)))] if k % 2 else base[int(len(base) * rng.uniform(0, 0.3)) :]
-        texts.append(" ".join([*new, boilerplate] if k % 4 == 0 else new))
-    sets = [set(fingerprints.shingle_hashes(t, 5).tolist()) for t in texts]
-    alike = np.array([[1.0 if a == b else len(a & b) / len(a | b) for b in sets] for a in sets])
-    assert ((alike > 0.7) & (alike < 0.8)).sum() > 20 and ((alike >= 0.8) & (alike < 0.9)).sum() > 20
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id for r in fingerprints.first_of_groups(df).collect()}
-    assert got == set(components(alike >= 0.8).tolist())
-
-
 def test_substrings_on_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in superkmers.substring_dedup(odd).collect()}
     assert (1, 180, 180) in got and (4, 180, 180) in got and (2, 0, 0) in got and (None, 2, 0) in got and (5, 30_000, 30_000) in got
@@ -193,84 +162,3 @@ def test_suffixes_on_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.n_bytes, r.n_removed) for r in earlier_copies.suffix_dedup(odd).collect()}
     assert (1, 360, 0) in got and (4, 360, 360) in got and (2, 0, 0) in got and (5, 150_000, 0) in got
     assert earlier_copies.suffix_dedup(none).count() == 0
-
-
-def test_mixing(spark, odd, none):
-    d = "/root/testdata/sf0.01"
-    labels = common.read(spark, d, "labels")
-    got = mixing.mixed(common.read(spark, d, "documents"), labels).toPandas()
-    share = (got.rate * got.n_tokens).to_numpy() @ np.array(got.posterior.tolist())
-    share = share / share.sum()
-    assert abs(share[0] - 0.96) < 0.05 and (got.rate >= 0).all()
-    assert mixing.mixed(odd, labels).count() == len(ODD) and mixing.mixed(none, labels.where("false")).count() == 0
-
-
-def test_mix_keeps_clean_documents(spark):
-    d = "/root/testdata/sf0.01"
-    docs, labels = common.read(spark, d, "documents"), common.read(spark, d, "labels")
-    kept = common.stored(quality.good_documents(docs, labels), "good")
-    left = {r.doc_id for r in mixing.sampled(kept, labels).select("doc_id").collect()}
-    marks = kept.join(labels, "doc_id").where("quality = 1").select("doc_id", "toxic").toPandas()
-    stays = marks.doc_id.isin(left)
-    assert stays[marks.toxic == 0].all() and stays[marks.toxic == 1].mean() < 0.3
-    steps = [np.array([0.5, -0.25, 2.0]), np.array([-0.75, 0.0, -0.5])]
-    assert mixing.sure_rates(steps) == [1.25, 1.25, 0.5] and mixing.sure_rates([]) == [1.0] * 3
-
-
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CELL", 20)
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(30, 8))
-    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:5], base * 3])
-    label = [i % 2 for i in range(len(x))]
-    bad = [(900, None, 1), (901, [0.0] * 8, 1), (902, [1.0, None] * 4, 1), (903, [float("nan")] * 8, 1), (904, [1.0] * 8, None), (905, [], 0)]
-    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))] + bad, "vec_id long, embedding array<double>, label int")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label))
-    want = [(i, int(linked[i].sum()) - 1, int(c), i == c) for i, c in enumerate(components(linked))] + [(b[0], 0, b[0], True) for b in bad]
-    assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == want
-    assert vectors.near_vectors(df.where("false")).count() == 0
-
-
-def test_vectors_of_a_tight_group_are_many_tasks(spark, monkeypatch):
-    whole = vectors.cell_links
-
-    def bounded(near, far, threshold):
-        assert len(near) <= 60 and (far is None or len(far) <= 60)
-        return whole(near, far, threshold)
-
-    monkeypatch.setattr(vectors, "CELL", 20)
-    monkeypatch.setattr(vectors, "cell_links", bounded)
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(200, 8)) * 0.02, rng.normal(size=(100, 8))])
-    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = unit @ unit.T >= 0.98
-    want = [(i, int(linked[i].sum()) - 1, int(c), i == c) for i, c in enumerate(components(linked))]
-    assert sorted(tuple(r) for r in vectors.near_vectors(df).collect()) == want
-
-
-def test_parsing(spark, docs, odd, none):
-    got = parsing.op10_parsing(spark, DATA).toPandas().sort_values("doc_id", ascending=False)
-    texts = docs.text.tolist()[::-1]
-    for i, row in enumerate(got.itertuples()):
-        new = parsing.edited(texts[i], texts[(i + 1) % len(texts)])
-        assert row.edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and row.n_chars == len(texts[i])
-    assert (got.near_edited > got.near_next).mean() > 0.9
-    assert parsing.edit_likeness(odd).count() == len(ODD) and parsing.edit_likeness(none).count() == 0
-    same = parsing.sketches(["", "x", "same text", "same text", "aaaa" * 50])
-    assert (same[2] == same[3]).all() and not same[0].any()
-    middle = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 4000)))
-    a, b = parsing.sketches([middle, "zzz" + middle])
-    assert parsing.likeness(a[None], b[None])[0] > 0.9
-
-
-def test_pipeline(spark):
-    docs = common.read(spark, DATA, "documents")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, common.stored(stage(spark, docs, DATA), "test")
-        if name != "packing":
-            assert docs.columns == columns and docs.count() <= before.count()
-    kept = {r.doc_id for r in before.collect()}
-    assert {r.doc_id for r in docs.collect()} == kept and len(kept) > 100

@@ -1,0 +1,71 @@
+"""Quality scores: held-out accuracy, and the model against plain loops."""
+
+import math
+import zlib
+
+import numpy as np
+
+from sessionloom.llm import common, quality
+
+D = "/root/testdata/sf0.01"
+
+
+def test_scores(spark):
+    docs, labels = common.read(spark, D, "documents"), common.read(spark, D, "labels")
+    got = quality.op3_quality(spark, D).toPandas()
+    assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
+    marked = got.merge(labels.toPandas(), on="doc_id")
+    marked = marked[marked.held_out & marked.quality.notna()]
+    assert (marked.predicted == marked.quality).mean() > 0.95
+    model = quality.learned(docs.select("doc_id", "text"), labels)
+    texts = docs.toPandas().set_index("doc_id").text
+
+    def score(text):  # bin by bin
+        bins = [sum(v >= e for e in edges) for v, edges in zip(quality.text_features(text), model.edges, strict=True)]
+        total = model.base + sum(model.tables[f][b] for f, b in enumerate(bins))
+        for (f, g), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[bins[f] * quality.PAIR_BINS // quality.BINS][bins[g] * quality.PAIR_BINS // quality.BINS]
+        return 1 / (1 + math.exp(-total))
+
+    for row in got.itertuples():
+        assert abs(row.score - score(texts[row.doc_id])) < 1e-9 and row.predicted == int(row.score >= 0.3)
+
+
+def best_tree(g, h, depth):
+    """The best values by bin of a tree that splits greedily, by trying each cut."""
+    loss = lambda a, b: -(a * a) / (b + 1)
+    cuts = [loss(g[:k].sum(), h[:k].sum()) + loss(g[k:].sum(), h[k:].sum()) for k in range(1, len(g))]
+    if depth == 0 or not cuts or min(cuts) >= loss(g.sum(), h.sum()) - 1e-9:
+        return [-g.sum() / (h.sum() + 1)] * len(g)
+    k = int(np.argmin(cuts)) + 1
+    return best_tree(g[:k], h[:k], depth - 1) + best_tree(g[k:], h[k:], depth - 1)
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 32):
+        g, h = rng.normal(size=n), rng.uniform(0, 1, n)
+        assert np.allclose(quality.shallow_tree(g, h), best_tree(g, h, 2))
+
+
+def test_boosting_lowers_the_loss_and_finds_a_pair():
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, (3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y, pairs=1)
+    assert model.pairs == [(0, 1)] and ((model.score(x) > 0.5) == y).mean() > 0.95
+
+
+def test_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 0), (6, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = [(1, "good text here. " * 9, "x"), (1, "good text here. " * 9, "x"), (2, None, "y"), (3, "", None), (None, "null id", "z"), (4, " \t\n", "z"), ((1 << 53) + 1, "word " * 30_000, "w"), (6, "aaaa", "v"), (7, "Fine words too.", "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality string").withColumn("score", quality.F.lit("s"))
+    got = quality.quality_scores(df, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+    same = {r.score for r in got if r.doc_id == 1}
+    assert len(same) == 1 and quality.good_documents(df, labels).columns == df.columns
+    assert {r.score for r in quality.quality_scores(df, labels.where("false")).collect()} == {0.5}
+    assert quality.quality_scores(df.where("false"), labels).count() == 0
+    many = labels.where("doc_id = 1").crossJoin(spark.range(1000)).drop("id").unionByName(labels)
+    assert sorted(r.score for r in quality.quality_scores(df, many).collect()) == sorted(r.score for r in got)
