@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,9 +12,7 @@ from pyspark.sql.types import StringType
 
 
 @F.pandas_udf(StringType())
-def json_error(lines: pd.Series) -> pd.Series:
-    """Why a line isn't one JSON value; null if it is, or if it is blank."""
-
+def _json_error(lines: pd.Series) -> pd.Series:
     def check(line: str | None) -> str | None:
         if line is None or not line.strip():
             return None
@@ -26,6 +25,22 @@ def json_error(lines: pd.Series) -> pd.Series:
     return lines.map(check).astype(object)
 
 
+#: A key that no line can hold by chance.
+MARK = uuid.uuid4().hex
+
+
+def json_error(line: Column) -> Column:
+    """Why a line isn't one JSON value; null if it is, or if it is blank.
+
+    A line stands as a value before a key of this run's own: only if it is one whole value, the object has just these two
+    keys. Only lines that this doesn't settle go to Python, for its verdict and its words.
+    """
+    whole = F.try_parse_json(F.concat(F.lit('{"line":'), line, F.lit(f',"{MARK}":0}}')))
+    keys = F.map_keys(F.try_variant_get(whole, "$", "map<string,variant>"))
+    sound = F.coalesce(F.size(keys) == 2, F.lit(False)) & F.coalesce(F.array_contains(keys, MARK), F.lit(False))
+    return _json_error(F.when(~sound, line))
+
+
 @F.pandas_udf(StringType())
 def indented(values: pd.Series) -> pd.Series:
     """JSON text with an indent of two; other text as it is."""
@@ -71,11 +86,13 @@ def summary(title: Column, prompt: Column, files: Column, tools: Column) -> Colu
     return F.when(F.length(text) > 280, F.concat(F.substring(text, 1, 277), F.lit("..."))).otherwise(text)
 
 
-def tool_result_text(content: Column) -> Column:
-    """Null: empty; text: itself; list: the texts of its parts, one a line; else its JSON."""
+def tool_result_text(content: Column, listed: Column) -> Column:
+    """Null: empty; text: itself, also if it looks like a list; list: the texts of its parts, one a line; else its JSON.
+
+    listed tells whether the content was a list."""
     parts = F.from_json(content, "array<string>")
     text = F.transform(parts, lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
-    return F.when(content.isNull(), "").when(content.startswith("[") & parts.isNotNull(), F.array_join(F.filter(text, lambda t: t != ""), "\n")).otherwise(content)
+    return F.when(content.isNull(), "").when(listed & parts.isNotNull(), F.array_join(F.filter(text, lambda t: t != ""), "\n")).otherwise(content)
 
 
 def hours_minutes(seconds: Column) -> Column:

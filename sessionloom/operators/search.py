@@ -143,28 +143,56 @@ def doc_stats(fields: DataFrame) -> DataFrame:
     return fields.groupBy("session_uuid").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).cast("long").alias("doc_len"))
 
 
+def write_index(fields: DataFrame, path: str, analysis: Analysis = Analysis(), buckets: int = 64) -> None:
+    """Stores the postings and lengths of fields below path, the postings in buckets of terms and sorted by term.
+
+    A whole index is made anew; one that grows with its sessions is kept by the Store."""
+    index = postings(fields, analysis).withColumn("bucket", _bucket(buckets))
+    index.repartition("bucket", F.expr("pmod(xxhash64(term, 1), 8)")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    doc_stats(fields).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/doc_stats")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.expr(f"pmod(xxhash64(term), {buckets})").cast("int")
+
+
+def read_index(spark, path: str, query: str | None = None, analysis: Analysis = Analysis()) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of a stored index; for a query only the buckets of its terms are listed and read."""
+    index, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+    if query is not None:
+        terms = sorted({t for p in phrases_of(query, analysis) for t in p})
+        wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket((stats.first() or {"buckets": 1})["buckets"]).alias("b")) if terms else None
+        index = index.where(F.col("bucket").isin(*[r.b for r in wanted.collect()])) if terms else index.where("false")
+    return index.drop("bucket"), stats.drop("buckets")
+
+
 def phrases_of(query: str, analysis: Analysis) -> list[list[str]]:
     """White-space parts of a query, each a phrase of one or more terms. Parts without letters or digits are left out."""
     return [p for p in ([analysis.term(t) for t in tokens_of(part)] for part in query.split()) if p]
 
 
 def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """phrase, session_uuid, f: how often each phrase occurs in a session, over all fields."""
-    def hits(number: int, terms: list[str]) -> DataFrame:
-        here = index.where(F.col("term").isin(*set(terms)))
-        rows = None
-        for k, term in enumerate(terms):
-            at = here.where(F.col("term") == term).select("session_uuid", "field", F.transform("positions", lambda p: p - k).alias(f"p{k}"))
-            rows = at if rows is None else rows.join(at, ["session_uuid", "field"])
-        starts = F.col("p0")
-        for k in range(1, len(terms)):
-            starts = F.array_intersect(starts, F.col(f"p{k}"))
-        return rows.select("session_uuid", F.size(starts).alias("n")).where("n > 0").groupBy("session_uuid").agg(F.sum("n").alias("f")).withColumn("phrase", F.lit(number))
-
-    out = hits(0, phrases[0])
-    for i, terms in enumerate(phrases[1:], 1):
-        out = out.unionByName(hits(i, terms))
-    return out
+    """phrase, session_uuid, f: how often each phrase occurs in a session, over all fields.
+
+    One scan takes the postings of all terms, and one exchange brings a session's together. An index with a batch column
+    keeps it, so that postings of replaced sessions can be told apart.
+    """
+    key = ["session_uuid"] + (["batch"] if "batch" in index.columns else [])
+    terms = sorted({t for p in phrases for t in p})
+    at = {t: f"at{i}" for i, t in enumerate(terms)}
+    here = index.where(F.col("term").isin(*terms)).select(*key, "field", "term", "positions").repartition(*[F.col(k) for k in key])
+    fields = here.groupBy(*key, "field").agg(*[F.first(F.when(F.col("term") == t, F.col("positions")), ignorenulls=True).alias(c) for t, c in at.items()])
+
+    def starts(terms: list[str]) -> Column:
+        found = F.col(at[terms[0]])
+        for k, t in enumerate(terms[1:], 1):
+            found = F.array_intersect(found, F.transform(at[t], lambda p: p - k))  # noqa: B023
+        return F.coalesce(F.size(found), F.lit(0))
+
+    # a session that lacks the first term of all phrases holds none of them
+    counts = F.array(*[F.struct(F.lit(i).alias("phrase"), F.greatest(starts(p), F.lit(0)).alias("n")) for i, p in enumerate(phrases)])
+    rows = fields.select(*key, F.inline(F.filter(counts, lambda c: c["n"] > 0)))
+    return rows.groupBy(*key, "phrase").agg(F.sum("n").alias("f"))
 
 
 def ranked(index: DataFrame, stats: DataFrame, query: str, analysis: Analysis = Analysis()) -> DataFrame:
@@ -172,14 +200,15 @@ def ranked(index: DataFrame, stats: DataFrame, query: str, analysis: Analysis =
     phrases = phrases_of(query, analysis)
     if not phrases:
         return stats.where("false").select("session_uuid", F.lit(0.0).alias("rank"))
-    hits = phrase_hits(index, phrases)
+    key = ["session_uuid"] + (["batch"] if {"batch"} <= set(index.columns) & set(stats.columns) else [])
+    hits = phrase_hits(index, phrases).join(stats, key)
     corpus = stats.agg(F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avg_len"))
     found = hits.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.log((F.col("corpus_size") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = found.crossJoin(F.broadcast(corpus)).select("phrase", "avg_len", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
     f = F.col("f")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.join(F.broadcast(weights), "phrase").join(stats, "session_uuid")
+    scored = hits.join(F.broadcast(weights), "phrase")
     rows = scored.groupBy("session_uuid").agg((-F.sum(part)).alias("rank"), F.count("*").alias("n"))
     return rows.where(F.col("n") == len(phrases)).select("session_uuid", "rank")
 

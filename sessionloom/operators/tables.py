@@ -7,14 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BUCKETS = 32
 
-
-def first_of_batch(files: DataFrame, key: str = "session_uuid") -> DataFrame:
-    """Of rows with one key, the first by source order and path."""
-    w = Window.partitionBy(key).orderBy("source_ord", "path")
-    return files.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def first_of_batch(files: DataFrame, key: str = "session_uuid", order: tuple[str, ...] = ("source_ord", "path")) -> DataFrame:
+    """Of rows with one key, the first by order. Minima are taken in part before the exchange, so a key that very many
+    rows share is no task of its own. Rows with a null key count as one key's."""
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in files.columns]), F.struct(*order))
+    return files.groupBy(F.col(key).alias("_key")).agg(row.alias("_row")).select("_row.*")
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
@@ -32,78 +32,150 @@ def by_prefix(sessions: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return hits.withColumn("outcome", F.when(F.count("*").over(Window.partitionBy(F.lit(1))) > 1, "ambiguous").otherwise("found"))
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("bucket", F.expr(f"pmod(xxhash64({key}), {BUCKETS})").cast("int"))
-
-
 class Store:
-    """Tables below one folder. Each write goes to a version of its own; a small file names the current ones.
+    """Parquet tables below one folder, each dealt into buckets of its key's hash.
 
-    A batch writes all its tables first and then the file, so readers see all of a batch or nothing, and a
-    batch that fails or is repeated leaves no trace but unread files.
+    A batch first writes all its tables to folders of its own, and then one new small file that names the current
+    folders of every bucket, put in place by a rename. Readers see all of a batch or nothing; a batch that fails
+    leaves no trace but unread files; of two writers the second one fails. Replacing or
+    deleting sessions writes only the buckets of these sessions anew. Postings lie in buckets of terms instead and are
+    not rewritten: a posting counts only if doc_stats still names its batch for the session.
     """
 
-    TABLES = ("sessions", "sessions_raw", "messages", "blocks", "postings", "doc_stats", "ingest_log")
+    KEYS = {"postings": "term", "projects": "project_name", "ingest_log": "path"}
+    #: Folders of a bucket, over which it is written as one again; old versions of the state kept.
+    PARTS, VERSIONS = 16, 20
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _file(self):
+    def _fs(self, path: str):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.json")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _listed(self, path: str) -> list[str]:
+        fs, at = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def current(self) -> dict:
-        fs, path = self._file()
-        if not fs.exists(path):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
+        """The state: version, batches, and of each table its schema and the folders of its buckets."""
+        versions = [n for n in self._listed(f"{self.path}/_state") if n.endswith(".json") and not n.startswith((".", "_"))]
+        if not versions:
+            return {"version": 0, "buckets": self.buckets, "batches": [], "tables": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/_state/{versions[-1]}", wholetext=True).first()[0])
+
+    def _commit(self, state: dict) -> None:
+        state = state | {"version": state["version"] + 1}
+        fs, target = self._fs(f"{self.path}/_state/{state['version']:012d}.json")
+        _, part = self._fs(f"{self.path}/_state/_{uuid.uuid4().hex}")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+        if fs.exists(target) or not fs.rename(part, target):
+            fs.delete(part, False)
+            raise RuntimeError(f"another batch published version {state['version']} first")
+        for name in [n for n in self._listed(f"{self.path}/_state") if n.endswith(".json")][: -self.VERSIONS]:
+            fs.delete(self._fs(f"{self.path}/_state/{name}")[1], False)
 
-    def read(self, table: str) -> DataFrame | None:
-        parts = self.current().get("tables", {}).get(table)
-        return self.spark.read.option("mergeSchema", True).parquet(*parts) if parts else None
+    def key(self, table: str) -> str:
+        return self.KEYS.get(table, "session_uuid")
 
-    def publish(self, batch: dict[str, DataFrame], batch_id: str | None = None, replace: str | None = None) -> bool:
+    def _bucket(self, state: dict, column: str) -> F.Column:
+        return F.expr(f"pmod(xxhash64(`{column}`), {state.get('buckets', self.buckets)})").cast("int")
+
+    def _load(self, entry: dict, buckets: list[str] | None = None) -> DataFrame:
+        paths = [p for b, parts in entry["buckets"].items() if buckets is None or b in buckets for p in parts]
+        schema = StructType.fromJson(entry["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _touched(self, state: dict, keys: DataFrame, key: str) -> list[str]:
+        return [str(r.b) for r in keys.select(self._bucket(state, key).alias("b")).distinct().collect()]
+
+    def read(self, table: str, keys: list | None = None) -> DataFrame | None:
+        """A table, or only the buckets that hold these keys; None if it was never written."""
+        state = self.current()
+        entry = state["tables"].get(table)
+        if entry is None:
+            return None
+        if keys is None:
+            return self._load(entry)
+        values = self.spark.createDataFrame([(k,) for k in keys], f"`{self.key(table)}` string")
+        return self._load(entry, self._touched(state, values, self.key(table))).where(F.col(self.key(table)).isin(*keys))
+
+    def _write(self, state: dict, table: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows to a new folder; the folder of each bucket that has rows."""
+        target, key = f"{self.path}/{table}/{uuid.uuid4().hex}", self.key(table)
+        dealt = rows.withColumn("_bucket", self._bucket(state, key)).repartition("_bucket", F.expr(f"pmod(xxhash64(`{key}`, 1), 8)"))
+        dealt.sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").parquet(target)
+        return {n.partition("=")[2]: f"{target}/{n}" for n in self._listed(target) if n.startswith("_bucket=")}
+
+    def _add(self, state: dict, table: str, rows: DataFrame, gone: DataFrame | None) -> None:
+        """Adds rows to a table of the state; with gone, stored rows with a key of gone go first."""
+        entry = state["tables"].get(table)
+        if entry is None:
+            schema, buckets = rows.schema, {}
+        else:
+            have, buckets = StructType.fromJson(entry["schema"]), {b: list(p) for b, p in entry["buckets"].items()}
+            schema = StructType(have.fields + [f for f in rows.schema.fields if f.name not in have.names])
+            if gone is not None:
+                touched = [b for b in self._touched(state, gone, self.key(table)) if b in buckets]
+                old = self._load(entry, touched).join(gone.select(self.key(table)).distinct(), self.key(table), "left_anti")
+                rows = old.unionByName(rows, allowMissingColumns=True)
+                buckets = {b: p for b, p in buckets.items() if b not in touched}
+        for b, path in self._write(state, table, rows).items():
+            buckets.setdefault(b, []).append(path)
+        nullable = [dict(f.jsonValue(), nullable=True) for f in schema.fields]
+        state["tables"][table] = {"schema": {"type": "struct", "fields": nullable}, "buckets": buckets}
+
+    def publish(self, batch: dict[str, DataFrame], batch_id: str | None = None, replace: bool = False) -> bool:
         """Adds the tables of a batch. A batch id seen before is passed over.
 
-        With replace, the key column, rows of earlier batches with a key of this batch go away; all of a
-        table is then written anew, one bucket of keys at a time by Spark's partitions.
+        With replace, stored rows of the sessions of this batch go. Rows of projects always replace those of the
+        same project.
         """
         state = self.current()
-        if batch_id is not None and batch_id in state.get("batches", []):
+        if batch_id is not None and batch_id in state["batches"]:
             return False
-        tables = {k: list(v) for k, v in state.get("tables", {}).items()}
-        for name, rows in batch.items():
-            target = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            old = self.read(name)
-            if replace and old is not None and replace in rows.columns:
-                keys = batch["sessions"].select(replace).distinct()
-                rows = old.join(keys, replace, "left_anti").unionByName(rows, allowMissingColumns=True)
-                tables[name] = []
-            rows.write.parquet(target)
-            tables.setdefault(name, []).append(target)
-        self._commit({"tables": tables, "batches": [*state.get("batches", []), *([batch_id] if batch_id is not None else [])]})
+        number = uuid.uuid4().hex
+        for table, rows in batch.items():
+            if table in ("postings", "doc_stats"):
+                rows = rows.withColumn("batch", F.lit(number))
+            gone = rows if table == "projects" else batch["sessions"] if replace and self.key(table) == "session_uuid" else None
+            self._add(state, table, rows, gone)
+        self._commit(state | {"batches": [*state["batches"], *([batch_id] if batch_id is not None else [])]})
+        self.compact()
         return True
 
-    def delete(self, keys: DataFrame, key: str = "session_uuid") -> None:
-        """Removes the sessions with these keys from every table that has the key."""
+    def delete(self, keys: DataFrame) -> None:
+        """Removes the sessions with these keys from every table in buckets of sessions, and what postings say of them."""
         state = self.current()
-        tables = {}
-        for name, parts in state.get("tables", {}).items():
-            old = self.read(name)
-            if key in old.columns:
-                target = f"{self.path}/{name}/{uuid.uuid4().hex}"
-                old.join(keys.select(key).distinct(), key, "left_anti").write.parquet(target)
-                tables[name] = [target]
-            else:
-                tables[name] = parts
-        self._commit(state | {"tables": tables})
+        for table, entry in list(state["tables"].items()):
+            if self.key(table) == "session_uuid":
+                self._add(state, table, self._load(entry, []), keys)
+        self._commit(state)
 
-    def _commit(self, state: dict) -> None:
-        fs, path = self._file()
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps(state), "utf-8"))
-        out.close()
+    def replace_rows(self, table: str, gone: DataFrame, rows: DataFrame) -> None:
+        """Puts rows of one table in the place of those with a key of gone."""
+        state = self.current()
+        self._add(state, table, rows, gone)
+        self._commit(state)
+
+    def compact(self, most: int | None = None) -> list[str]:
+        """Writes buckets with more than `most` folders as one folder again, without postings that no longer count."""
+        state, done = self.current(), []
+        for table, entry in state["tables"].items():
+            many = [b for b, parts in entry["buckets"].items() if len(parts) > (self.PARTS if most is None else most)]
+            if many:
+                rows = self._load(entry, many)
+                if table == "postings" and "doc_stats" in state["tables"]:
+                    rows = rows.join(self._load(state["tables"]["doc_stats"]).select("session_uuid", "batch"), ["session_uuid", "batch"], "left_semi")
+                new = self._write(state, table, rows)
+                entry["buckets"] = {b: [new[b]] if b in many else parts for b, parts in entry["buckets"].items() if b not in many or b in new}
+                done.append(table)
+        if done:
+            self._commit(state)
+        return done
 
 
 def orphans(children: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -2,72 +2,116 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import search, stats
 from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted
-from ..operators.tables import Store
+from ..operators.tables import Store, first_of_batch
 from ..sources.sessions import ADAPTERS, Source, scan_files
 from . import parsing
 
+LOG = "path string, session_uuid string, status string, reason string, file_hash string, file_size_bytes long, modified timestamp, ingest_at string"
+
 
-def derive(lines: DataFrame, ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", strict_json: bool = True) -> dict[str, DataFrame]:
-    """All tables of a set of lines. Scope strict redacts every text column, compat the texts and transcript only."""
-    recs = parsing.records(lines, strict_json)
-    folded = parsing.sessions(recs, ingest_at)
+def derive(recs: DataFrame, folded: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict") -> dict[str, DataFrame]:
+    """All tables of the sessions in folded, from the records of their files. Scope strict redacts every text column, compat
+    the texts and transcript only."""
     kept = folded.where("session_uuid IS NOT NULL")
-    columns = STRICT if scope == "strict" else COMPAT
     messages, blocks, raw = parsing.messages(recs, kept), parsing.blocks(recs, kept), parsing.raw_transcripts(recs, kept)
     raw = raw.withColumn("raw_jsonl", F.array_join(F.transform(F.split("raw_jsonl", "\n"), lambda line: redacted(line, rules)), "\n"))
     if scope == "strict":
         messages, blocks = redact(messages, ("content_json",), rules), redact(blocks, ("text", "tool_input", "result"), rules)
-    return {"folded": folded, "sessions": redact(kept, columns, rules), "messages": messages, "blocks": blocks, "sessions_raw": raw}
+    sessions = redact(kept, STRICT if scope == "strict" else COMPAT, rules)
+    fields = search.fields_of(sessions)
+    return {"sessions": sessions, "messages": messages, "blocks": blocks, "sessions_raw": raw, "postings": search.postings(fields), "doc_stats": search.doc_stats(fields)}
+
+
+def project_rows(store: Store, sessions: DataFrame) -> DataFrame:
+    """The rollup of the projects that the new sessions, or the ones they replace, belong to."""
+    old = store.read("sessions")
+    if old is None:
+        return stats.projects(sessions)
+    names = sessions.select("project_name").unionByName(old.join(sessions.select("session_uuid"), "session_uuid", "left_semi").select("project_name")).distinct()
+    after = old.join(sessions.select("session_uuid"), "session_uuid", "left_anti").unionByName(sessions, allowMissingColumns=True)
+    return stats.projects(after.join(names, "project_name", "left_semi"))
 
 
-def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, batch_id: str | None = None) -> DataFrame:
+def _unchanged(files: DataFrame, log: DataFrame) -> DataFrame:
+    """The files that were looked at before at this length and modification time."""
+    seen = log.where("status <> 'waiting'").select("path", F.col("file_size_bytes").alias("length"), "modified").distinct()
+    return files.join(seen, ["path", "length", "modified"], "left_semi")
+
+
+def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, max_wait: int = 15, batch_id: str | None = None) -> DataFrame:
     """Takes in the files not stored yet and returns their outcomes: path, session_uuid, status, reason.
 
-    Files with a stored hash are passed over before they are parsed; then sessions that are stored already
-    (on_change="replace" puts the new file in their place), and later files of a session in the batch.
-    Files changed after quiet_before are left for the next call. A file without session id is an error.
+    Files taken in before at the same length and modification time are passed over without being read, others with a stored
+    hash before they are parsed; then sessions that are stored already (on_change="replace" puts the new file in
+    their place), and later files of a session in the batch. Files changed after quiet_before wait for the next call, but
+    not once max_wait seconds have gone by since the first time they waited. A file without session id is an error.
+    Lines are parsed once and the records kept beside the tables until these are written.
     """
+    log, old = store.read("ingest_log"), store.read("sessions")
+    log = log if log is not None else spark.createDataFrame([], LOG)
     files = scan_files(spark, sources)
+    listed = files.select("source_ord", "path", "modified", "length")
+    passed = _unchanged(listed, log).select("path", F.lit("skipped").alias("status"), F.lit("file unchanged").alias("reason"), F.col("length").alias("file_size_bytes"), "modified")
+    todo = listed.join(passed.select("path"), "path", "left_anti")
     if quiet_before:
-        files = files.where(F.col("modified") <= F.to_timestamp(F.lit(quiet_before)))
-    old = store.read("sessions")
+        first = log.where("status = 'waiting'").groupBy("path").agg(F.min("ingest_at").alias("since"))
+        waited = F.coalesce(F.unix_seconds(F.try_to_timestamp(F.lit(ingest_at))) - F.unix_seconds(F.try_to_timestamp("since")) >= max_wait, F.lit(False))
+        todo = todo.join(first, "path", "left").withColumn("busy", F.col("modified") > F.to_timestamp(F.lit(quiet_before))).withColumn("late", F.col("busy") & waited)
+        waiting = todo.where("busy AND NOT late").select("path", F.lit("waiting").alias("status"), F.lit("still changing").alias("reason"), F.col("length").alias("file_size_bytes"), "modified")
+        passed, todo = passed.unionByName(waiting), todo.where("NOT busy OR late")
+    if "late" not in todo.columns:
+        todo = todo.withColumn("late", F.lit(False))
+    # the oldest file to read is a bound that the scan can use: it opens no content of files older than that
+    oldest = todo.agg(F.min("modified")).first()[0]
+    recent = files.where(F.lit(False) if oldest is None else F.col("modified") >= F.lit(oldest))
     by_hash = old.select("file_hash").distinct() if old is not None else spark.createDataFrame([], "file_hash string")
-    fresh = files.join(by_hash, "file_hash", "left_anti")
-    lines = None
-    for s in sources:
-        if s.enabled and s.kind in ADAPTERS:
-            part = ADAPTERS[s.kind](fresh.where(F.col("source_id") == s.id))
-            lines = part if lines is None else lines.unionByName(part)
-    folded = parsing.sessions(parsing.records(lines), ingest_at)
-    facts = fresh.select("path", "source_ord", "file_hash", F.col("length").alias("file_size_bytes"))
-    seen = folded.select("path", "session_uuid").join(facts, "path")
-    known = old.select("session_uuid").distinct().withColumn("stored", F.lit(True)) if old is not None else spark.createDataFrame([], "session_uuid string, stored boolean")
-    order = F.row_number().over(parsing_window())
-    judged = seen.join(known, "session_uuid", "left").withColumn("n", order)
-    again = F.lit(on_change == "replace")
-    status = F.when(F.col("session_uuid").isNull(), "error").when((F.col("stored").isNotNull() & ~again) | (F.col("n") > 1), "skipped").otherwise("ok")
-    reason = F.when(status == "error", "no session id").when(status == "skipped", "session_uuid already indexed")
-    outcome = judged.select("path", "session_uuid", status.alias("status"), reason.alias("reason"), "file_hash", "file_size_bytes")
-    skipped = files.join(by_hash, "file_hash", "left_semi").select("path", F.lit(None).cast("string").alias("session_uuid"), F.lit("skipped").alias("status"), F.lit("file_hash already indexed").alias("reason"), "file_hash", F.col("length").alias("file_size_bytes"))
-    log = outcome.unionByName(skipped)
-    chosen = outcome.where("status = 'ok'").select("path", "file_hash", "file_size_bytes")
-    tables = derive(lines.join(chosen.select("path"), "path", "left_semi"), ingest_at, rules, scope)
-    tables["sessions"] = tables["sessions"].join(chosen, "path")
-    fields = search.fields_of(tables["sessions"])
-    batch = {k: tables[k] for k in ("sessions", "messages", "blocks", "sessions_raw")} | {"postings": search.postings(fields), "doc_stats": search.doc_stats(fields), "ingest_log": log.withColumn("ingest_at", F.lit(ingest_at))}
-    store.publish(batch, batch_id, "session_uuid" if on_change == "replace" else None)
+    work = f"{store.path}/_work/{uuid.uuid4().hex}"
+    try:
+        facts = recent.select("path", "source_ord", "file_hash", F.col("length").alias("file_size_bytes"), "modified").join(todo.select("path", "late"), "path")
+        facts.write.parquet(f"{work}/facts")
+        facts = spark.read.parquet(f"{work}/facts")
+        fresh = facts.join(by_hash, "file_hash", "left_anti")
+        wanted, lines = recent.join(fresh.select("path"), "path", "left_semi"), None
+        for s in sources:
+            if s.enabled and s.kind in ADAPTERS:
+                part = ADAPTERS[s.kind](wanted.where(F.col("source_id") == s.id))
+                lines = part if lines is None else lines.unionByName(part)
+        parsing.records(lines).write.parquet(f"{work}/records")
+        recs = spark.read.parquet(f"{work}/records")
+        parsing.sessions(recs, ingest_at).join(fresh, "path").write.parquet(f"{work}/sessions")
+        folded = spark.read.parquet(f"{work}/sessions")
+        known = old.select("session_uuid").distinct().withColumn("stored", F.lit(True)) if old is not None else spark.createDataFrame([], "session_uuid string, stored boolean")
+        judged = folded.join(known, "session_uuid", "left")
+        again = F.lit(on_change == "replace")
+        offered = judged.where(F.col("session_uuid").isNotNull() & (F.col("stored").isNull() | again))
+        chosen = first_of_batch(offered.drop("stored"))
+        taken = chosen.select("path", F.lit(True).alias("taken"))
+        status = F.when(F.col("session_uuid").isNull(), "error").when(F.col("taken"), "ok").otherwise("skipped")
+        reason = F.when(status == "error", "no session id").when(status == "skipped", "session_uuid already indexed").when(F.col("late"), "taken while still changing")
+        outcome = judged.join(taken, "path", "left").select("path", "session_uuid", status.alias("status"), reason.alias("reason"), "file_hash", "file_size_bytes", "modified")
+        same = facts.join(by_hash, "file_hash", "left_semi").select("path", F.lit("skipped").alias("status"), F.lit("file_hash already indexed").alias("reason"), "file_hash", "file_size_bytes", "modified")
+        rows = outcome.unionByName(same, allowMissingColumns=True).unionByName(passed, allowMissingColumns=True).withColumn("ingest_at", F.lit(ingest_at))
+        tables = derive(recs, chosen.drop("source_ord", "modified", "late"), rules, scope)
+        store.publish(tables | {"projects": project_rows(store, tables["sessions"]), "ingest_log": rows}, batch_id, on_change == "replace")
+    finally:
+        fs, path = store._fs(work)
+        fs.delete(path, True)
     return store.read("ingest_log").where(F.col("ingest_at") == ingest_at)
 
 
-def parsing_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("session_uuid").orderBy("source_ord", "path")
+def delete_sessions(store: Store, keys: DataFrame) -> None:
+    """Deletes the sessions with these ids, and makes the rollups of their projects anew."""
+    names = store.read("sessions").join(keys.select("session_uuid").distinct(), "session_uuid", "left_semi").select("project_name").distinct()
+    store.delete(keys)
+    if store.read("projects") is not None:
+        store.replace_rows("projects", names, stats.projects(store.read("sessions").join(names, "project_name", "left_semi")))
 
 
 def outcome_counts(log: DataFrame) -> DataFrame:

@@ -100,9 +100,11 @@ def messages(recs: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def blocks(recs: DataFrame, sessions: DataFrame) -> DataFrame:
     """One row for each content block, in order."""
-    rows = recs.where("turn").join(sessions.select("path", "session_uuid"), "path").select("session_uuid", F.col("line_no").alias("seq"), F.posexplode("parts").alias("block_idx", "b"))
+    rows = recs.where("turn").join(sessions.select("path", "session_uuid"), "path").select("session_uuid", F.col("line_no").alias("seq"), F.posexplode(F.arrays_zip("parts", "raw_blocks")).alias("block_idx", "z")).withColumns({"b": F.col("z.parts"), "raw": F.col("z.raw_blocks")})
+    # a text may look like a list: the kind comes from the block itself, and only tool results are looked at
+    listed = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.when(F.col("b.type") == "tool_result", F.col("raw"))), "$.content", "variant")).startswith("ARRAY")
     path = F.coalesce(filled(F.get_json_object("b.input", "$.file_path")), filled(F.get_json_object("b.input", "$.path")))
-    return rows.select("session_uuid", "seq", "block_idx", F.col("b.type").alias("block_type"), F.col("b.text").alias("text"), F.col("b.name").alias("tool_name"), F.col("b.input").alias("tool_input"), path.alias("file_path"), F.coalesce("b.tool_use_id", "b.id").alias("tool_use_id"), F.col("b.content").alias("result"), F.col("b.source.media_type").alias("media_type"))
+    return rows.select("session_uuid", "seq", "block_idx", F.col("b.type").alias("block_type"), F.col("b.text").alias("text"), F.col("b.name").alias("tool_name"), F.col("b.input").alias("tool_input"), path.alias("file_path"), F.coalesce("b.tool_use_id", "b.id").alias("tool_use_id"), F.col("b.content").alias("result"), F.coalesce(listed, F.lit(False)).alias("result_listed"), F.col("b.source.media_type").alias("media_type"))
 
 
 def sessions(recs: DataFrame, ingest_at: str, writers: tuple[str, ...] = WRITERS) -> DataFrame:

@@ -39,7 +39,7 @@ def talk_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def talk_index(spark: SparkSession, d: str, analysis: search.Analysis) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = talk_sessions(spark, d)
-    fields = search.fields_of(s.select("session_uuid", "user_messages", "asst_messages"))
+    fields = search.fields_of(s)
     return s, search.postings(fields, analysis), search.doc_stats(fields)
 
 
@@ -212,7 +212,7 @@ QUERIES = {
     "snippet": lambda s, d: snippets(s, d).select("session_uuid", "snippet"),
     "export_markdown": markdown,
     "stream_live_counts": lambda s, d: live.run_to_rows(live.live_counts(event_stream(s, d)), "complete"),
-    "stream_quiet_sessions": lambda s, d: live.run_to_rows(live.quiet_sessions(event_stream(s, d)), "append"),
+    "stream_quiet_sessions": lambda s, d: live.run_to_rows(live.quiet_sessions(event_stream(s, d)), "complete"),
 }
 
 EVENTS = """
@@ -235,9 +235,19 @@ WITH t AS (
   FROM t GROUP BY sid HAVING count(*) FILTER (role <> 'system') > 0
 )
 """
-SEARCH = TALKS + r""", f AS (
-  SELECT session_uuid, 'u' AS field, regexp_extract_all(lower(user_messages), '[\p{L}\p{N}\p{M}]+') AS toks FROM s
-  UNION ALL SELECT session_uuid, 'a', regexp_extract_all(lower(asst_messages), '[\p{L}\p{N}\p{M}]+') FROM s
+#: The first user turn's text without outer blanks, or null; and what else a session of talks is searched by.
+PROMPT = r"""
+, p AS (
+  SELECT sid, arg_min(regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), turn) AS prompt FROM t WHERE role NOT IN ('assistant', 'system') GROUP BY sid
+), facts AS (
+  SELECT s.*, 'talk' || (CAST(substr(session_uuid, 2, 8) AS BIGINT) % 5) AS project_name, 'b' || (CAST(substr(session_uuid, 2, 8) AS BIGINT) % 3) AS git_branch,
+    'Untitled session' || CASE WHEN length(prompt) > 120 THEN '. ' || left(prompt, 120) || '...' WHEN prompt <> '' THEN '. ' || prompt ELSE '' END AS summary
+  FROM s LEFT JOIN p ON session_uuid = sid
+)
+"""
+SEARCH = TALKS + PROMPT + r""", f AS (
+  SELECT session_uuid, field, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{M}]+') AS toks
+  FROM (SELECT session_uuid, unnest([1, 2, 3, 4, 5]) AS field, unnest([project_name, git_branch, summary, user_messages, asst_messages]) AS text FROM facts)
 ), docs AS (SELECT session_uuid, sum(len(toks)) AS l FROM f GROUP BY 1), c AS (SELECT count(*) AS total, avg(l) AS avg_len FROM docs
 ), phrases(p, w) AS (VALUES {phrases}
 ), h AS (
@@ -251,6 +261,20 @@ SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(
 """
 
 
+#: Talks hold text blocks only.
+MARKDOWN = TALKS + r"""
+, m AS (
+  SELECT sid, turn, CASE WHEN role = 'assistant' THEN '### 🤖 Claude' ELSE '### 👤 User' END || '  _' || stamp || '_' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) AS md
+  FROM t WHERE role <> 'system'
+), b AS (SELECT sid, min(stamp) AS first_at, max(stamp) AS last_at FROM t WHERE role <> 'system' GROUP BY sid
+), d AS (SELECT *, epoch(CAST(last_at AS TIMESTAMP)) - epoch(CAST(first_at AS TIMESTAMP)) AS secs, CAST(substr(sid, 2, 8) AS BIGINT) AS n FROM b
+), talk AS (SELECT sid, string_agg(md, chr(10) ORDER BY turn) AS said FROM m GROUP BY sid)
+SELECT sid AS session_uuid, replace(left(sid, 8) || '-' || left(first_at, 10) || '.md', '--', '-') AS filename,
+  array_to_string(list_filter(['# Untitled session' || chr(10), '## Metadata' || chr(10), '- **Project:** `talk' || (n % 5) || '`', '- **Branch:** `b' || (n % 3) || '`', '- **CWD:** `/c/talk' || (n % 5) || '`', '- **Started:** ' || first_at,
+    CASE WHEN secs > 0 THEN '- **Duration:** ' || CAST(secs // 3600 AS BIGINT) || 'h ' || CAST(secs % 3600 // 60 AS BIGINT) || 'm' END, '- **Session UUID:** `' || sid || '`', chr(10) || '## Conversation' || chr(10), said], lambda x: x IS NOT NULL), chr(10)) AS markdown
+FROM d JOIN talk USING (sid)
+"""
+
 CALLS = """
 WITH c AS (
   SELECT printf('%06d-', user_id) || strftime(ts, '%Y-%m-%d') AS session_uuid, '/f/' || (event_id % 7) AS file_path, event_type,
@@ -261,7 +285,7 @@ WITH c AS (
 
 def _scrub_sql(text: str) -> str:
     kept = f"array_to_string(list_filter([{', '.join(_quoted(k) for k in sorted(KEYWORDS))}], lambda k: contains({text}, k)), ', ')"
-    return f"CASE WHEN {text} = '' THEN {text} WHEN {kept} <> '' THEN '[sanitized text; keywords: ' || {kept} || ']' WHEN {text} IS NOT NULL THEN '[sanitized text]' END"
+    return f"CASE WHEN {text} = '' THEN {text} WHEN {kept} <> '' THEN '(text left out, it names: ' || {kept} || ')' WHEN {text} IS NOT NULL THEN '(text left out)' END"
 
 
 def _quoted(text: str) -> str:
@@ -323,7 +347,7 @@ ORACLE_SQL = {
     "files_modified": CALLS + "SELECT session_uuid, coalesce(string_agg(DISTINCT file_path, ',' ORDER BY file_path) FILTER (event_type IN ('click', 'view')), '') AS files_modified, coalesce(string_agg(DISTINCT file_path[4:], ',' ORDER BY file_path[4:]) FILTER (event_type IN ('click', 'view')), '') AS display_paths FROM c GROUP BY 1",
     "storage_size": "SELECT coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM documents",
     "scrub_text": "SELECT doc_id, " + _scrub_sql("text") + " AS scrubbed FROM documents",
-    "pseudonymize_paths": CALLS + ", f AS (SELECT session_uuid, file_path, min(seq) AS seq FROM c GROUP BY 1, 2), n AS (SELECT session_uuid, file_path, printf('src/example_%02d.py', row_number() OVER (PARTITION BY session_uuid ORDER BY seq)) AS safe_path FROM f) SELECT session_uuid, c.seq, file_path, safe_path FROM c JOIN n USING (session_uuid, file_path)",
+    "pseudonymize_paths": CALLS + ", f AS (SELECT session_uuid, file_path, min(seq) AS seq FROM c GROUP BY 1, 2), n AS (SELECT session_uuid, file_path, printf('files/file-%02d.txt', row_number() OVER (PARTITION BY session_uuid ORDER BY seq)) AS safe_path FROM f) SELECT session_uuid, c.seq, file_path, safe_path FROM c JOIN n USING (session_uuid, file_path)",
     "scrubbed_talks": TALKS + ", x AS (SELECT sid, role, turn, conv_id, " + _scrub_sql("text") + " AS text FROM t) SELECT sid AS session_uuid, '/safe/talk' || (conv_id % 5) AS cwd, 'talk' || (conv_id % 5) AS project_name, count(*) AS message_count, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS user_messages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS asst_messages FROM x WHERE role <> 'system' GROUP BY sid, conv_id",
     "prefix_lookup": EVENTS + ", p AS (SELECT session_uuid FROM s WHERE starts_with(session_uuid, '00001') ORDER BY 1 LIMIT 10) SELECT session_uuid, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM p",
     "redact_documents": _redact_sql(),
@@ -331,5 +355,7 @@ ORACLE_SQL = {
     "search_and": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])"),
     "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),
     "search_bm25": SEARCH.replace("{phrases}", "(1, ['this'])"),
+    "stream_quiet_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM r GROUP BY user_id, run",
+    "export_markdown": MARKDOWN,
     "stream_live_counts": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total_value FROM events GROUP BY 1",
 }

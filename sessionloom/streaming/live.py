@@ -1,4 +1,4 @@
-"""Streams of transcript lines: exactly-once capture, quiet sessions, change feed and live counters."""
+"""Streams of transcript lines: session files as they arrive, exactly-once capture, quiet sessions, change feed and live counters."""
 
 from __future__ import annotations
 
@@ -8,43 +8,87 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import Store, new_rows
-from ..plans.ingest import derive
+from ..operators.tables import Store, first_of_batch, new_rows
+from ..plans import parsing
+from ..plans.ingest import derive, project_rows
+from ..sources.sessions import Source, is_session_file, split_lines
 
 FEED = ("session_uuid", "project_name", "duration_secs", "message_count", "source_id")
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def line_stream(spark: SparkSession, path: str, schema, per_trigger: int = 8) -> DataFrame:
-    """A stream of immutable Parquet files: those of a folder, or a single file."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir. Only a local session without that setting gets one of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-live-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def line_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """A stream of immutable Parquet files: those of a folder, or a single file; all there are in one trigger, or so many."""
     folder, _, name = path.rpartition("/")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
     files = spark.read.parquet(path).inputFiles()
     if len(files) == 1 and files[0].rpartition("/")[2] == name:
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
+def session_files(spark: SparkSession, source: Source, per_trigger: int = 1000) -> DataFrame:
+    """The lines of session files as they appear below a source's folder, also in new folders.
+
+    A file is read once, whole, in one batch. Files that still grow belong to `ingest_available`, which takes them in
+    when they have been quiet.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", per_trigger).load(source.path)
+    return split_lines(files.where(is_session_file(F.col("path"))).withColumn("source_id", F.lit(source.id)))
+
+
 def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, trigger: dict | None = None):
-    """Stores each micro-batch's new sessions and appends them to the change feed, once for each batch id."""
+    """Stores each micro-batch's new sessions with all their tables and appends them to the change feed, once for each batch id.
+
+    Of files with one session in a batch, the first by source and path is taken. A batch's records are parsed once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables = derive(batch, ingest_at, strict_json=False)
-        sessions = tables["sessions"]
-        old = store.read("sessions")
-        sessions = new_rows(sessions, old, "session_uuid") if old is not None else sessions
-        keep = sessions.select("session_uuid")
-        store.publish({"sessions": sessions, "messages": tables["messages"].join(keep, "session_uuid", "left_semi"), "feed": sessions.select(*FEED)}, f"batch-{batch_id}")
+        spark = batch.sparkSession
+        work = f"{store.path}/_work/{uuid.uuid4().hex}"
+        try:
+            parsing.records(batch).write.parquet(work)
+            recs = spark.read.parquet(work)
+            folded = parsing.sessions(recs, ingest_at).where("session_uuid IS NOT NULL")
+            old = store.read("sessions")
+            folded = new_rows(folded, old, "session_uuid") if old is not None else folded
+            tables = derive(recs, first_of_batch(folded, order=("source_id", "path")))
+            rows = tables["sessions"]
+            store.publish(tables | {"projects": project_rows(store, rows), "feed": rows.select(*FEED)}, f"{checkpoint}#{batch_id}")
+        finally:
+            fs, path = store._fs(work)
+            fs.delete(path, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def backfill_then_follow(stream, store: Store, checkpoint: str, ingest_at: str, every: str = "5 seconds"):
+    """Takes in all that is there, and then goes on with what arrives, over one checkpoint. stream makes the stream."""
+    capture(stream(), store, checkpoint, ingest_at).awaitTermination()
+    return capture(stream(), store, checkpoint, ingest_at, {"processingTime": every})
+
+
 def once_per_session(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Of events with ts and session_uuid, the first of each session within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_uuid"])
 
 
 def quiet_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Runs of events of a user that a quiet gap ends: start, end and number."""
+    """Runs of events of a user that a quiet gap ends: start, end and number.
+
+    In append mode a run is given when the watermark has passed its end, in complete mode the open ones too.
+    """
     rows = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return rows.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
@@ -54,14 +98,12 @@ def live_counts(stream: DataFrame) -> DataFrame:
 
 
 def run_to_rows(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is available now, as a table: appended rows by way of files, others by the memory sink,
-    which is for results of a few rows."""
+    """All that is available now, as a table, by way of files: appended rows, or the whole result as of the last batch."""
     spark = stream.sparkSession
-    name = f"live_{uuid.uuid4().hex}"
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-live-")).rstrip("/")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True)
+    root = shared_folder(spark, "live")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").start(f"{root}/{name}-rows").awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{root}/{name}-rows")
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+        writer.format("parquet").start(f"{root}/rows").awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")

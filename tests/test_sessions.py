@@ -77,9 +77,9 @@ def test_anonymised(spark, tmp_path):
     recs, s = folded(spark, tmp_path)
     out = [json.loads(r.line) for r in anonymise.anonymised(recs, ("auth", "CORS"), "/home/x/", "/home/safe/").orderBy("line_no").collect()]
     assert [o["type"] for o in out] == ["user", "user", "file-history-snapshot", "assistant", "ai-title", "last-prompt"]
-    assert out[0]["message"]["content"] == [{"type": "text", "text": "[sanitized text; keywords: CORS, auth]"}] and out[0]["cwd"] == "/home/safe/proj"
-    assert "message" not in out[1] and out[2]["snapshot"] == {"trackedFileBackups": {"src/example_01.py": {"version": 1}}}
-    assert [b.get("input", {}).get("file_path") for b in out[3]["message"]["content"]] == [None, "src/example_02.py", "src/example_01.py", None]
+    assert out[0]["message"]["content"] == [{"type": "text", "text": "(text left out, it names: CORS, auth)"}] and out[0]["cwd"] == "/home/safe/proj"
+    assert "message" not in out[1] and out[2]["snapshot"] == {"trackedFileBackups": {"files/file-01.txt": {"version": 1}}}
+    assert [b.get("input", {}).get("file_path") for b in out[3]["message"]["content"]] == [None, "files/file-02.txt", "files/file-01.txt", None]
     assert out[3]["message"]["usage"] == {"input_tokens": 3, "output_tokens": 5} and "CORS" in out[4]["aiTitle"] and "private" not in json.dumps(out)
 
 
