@@ -340,6 +340,7 @@ def in_tasks(members: DataFrame, share: int) -> DataFrame:
     by_comp = members.groupBy("block", "comp").agg(F.sum("load").alias("load"))
     blocks = by_comp.groupBy("block").agg(F.max_by("comp", F.struct("load", "comp")).alias("main"), F.max("load").alias("most"), F.sum("load").alias("all"))
     blocks = blocks.where(F.col("all") > F.col("most")).select("block", "main", F.ceil(F.col("most") / share).alias("p"), F.ceil((F.col("all") - F.col("most")) / share).alias("q"))
+    blocks = stored(blocks, "open")
     placed = members.join(blocks, "block").withColumn("part", F.expr("pmod(xxhash64(id, 29), if(comp = main, p, q))"))
     mixed = F.expr("transform(sequence(0L, if(comp = main, q, p) - 1), x -> if(comp = main, named_struct('i', x, 'j', part, 'mixed', true), named_struct('i', part, 'j', x, 'mixed', true)))")
     others = F.expr("transform(filter(sequence(0L, q - 1), x -> comp <> main AND x <> part), x -> named_struct('i', least(part, x), 'j', greatest(part, x), 'mixed', false))")
@@ -407,7 +408,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
     texts has doc_id, print and text. A v with very many partners is dealt into shares.
     """
-    shares = pairs.groupBy("v", "v_print").agg(F.ceil(F.sum(F.col("n") + EACH) / SHARE).alias("shares"))
+    shares = stored(pairs.groupBy("v", "v_print").agg(F.ceil(F.sum(F.col("n") + EACH) / SHARE).alias("shares")), "shares")
     dealt = pairs.join(shares, ["v", "v_print"]).withColumn("share", F.expr("pmod(xxhash64(u, 31), shares)"))
     sides = dealt.select("v", "v_print", "share", F.col("u").alias("id"), F.col("u_print").alias("print"), F.lit(1).alias("side"))
     sides = sides.unionByName(dealt.select("v", "v_print", "share", F.col("v").alias("id"), F.col("v_print").alias("print"), F.lit(0).alias("side")).distinct())
@@ -436,14 +437,16 @@ def similar_edges(rows: DataFrame, classes: DataFrame, similarity: float, shingl
     # of two unequal sets with the similarity, the larger has at least 1 / (1 - similarity) shingles and the other one less
     facts = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", "print", "n", "fp")
     keys = classes.where(F.col("n") * (1 - similarity) >= similarity - HAIR).select("id", F.explode("bands").alias("block"))
-    firsts = keys.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("sets")).where("sets > 1")
-    shards = stored(keys.join(firsts, "block").distinct(), "bands")
+    # stored before it is joined, so that the join with a hot band's rows can be split
+    firsts = stored(keys.groupBy("block").agg(F.min("id").alias("first"), F.count("*").alias("sets")).where("sets > 1"), "firsts")
+    shards = stored(keys.join(firsts, "block"), "bands")
 
     u, v = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in ("print", "n", "fp")], F.col("id").alias(side)) for side in "uv")
     apart = F.aggregate(F.zip_with("u_fp", "v_fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     pairs = shards.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct().join(u, "u").join(v, "v")
     pairs = pairs.where((F.least("u_n", "v_n") + HAIR >= similarity * F.greatest("u_n", "v_n")) & (apart <= reach))
-    edges = stored(verified(pairs.select("u", "u_print", "v", "v_print", F.col("u_n").alias("n")), rows, similarity, shingle), "edges")
+    pairs = stored(pairs.select("u", "u_print", "v", "v_print", F.col("u_n").alias("n")), "pairs")
+    edges = stored(verified(pairs, rows, similarity, shingle), "edges")
     comps = stored(connected(edges), "joined")
 
     def settled(frame: DataFrame) -> DataFrame:

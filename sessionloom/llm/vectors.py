@@ -227,9 +227,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     wanted = both.select(*SPACE, F.col("ours").alias("cell")).distinct()
     above = F.expr("transform(sequence(1, size(split(lowest, '[.]'))), n -> array_join(slice(split(lowest, '[.]'), 1, n), '.'))")
     members = stored(paths.withColumn("cell", F.explode(above)).join(wanted, [*SPACE, "cell"]).select(*SPACE, "cell", "id", "weight"), "whole")
-    sums = members.groupBy(*SPACE, "cell").agg(F.sum("weight").alias("total"), F.min("id").alias("least"))
+    sums = stored(members.groupBy(*SPACE, "cell").agg(F.sum("weight").alias("total"), F.min("id").alias("least")), "sums")
     met = both.join(sums.withColumnRenamed("cell", "theirs"), [*SPACE, "theirs"])
-    met = met.groupBy(*SPACE, F.col("ours").alias("cell")).agg(F.sum("total").alias("links"), F.min("least").alias("root"))
+    met = stored(met.groupBy(*SPACE, F.col("ours").alias("cell")).agg(F.sum("total").alias("links"), F.min("least").alias("root")), "met")
     # a cell's points all link with the least point of one cell, and by it with each other
     from_whole = members.join(met, [*SPACE, "cell"]).select("id", "links", "root")
     bridges = both.join(sums.withColumnRenamed("cell", "theirs"), [*SPACE, "theirs"]).select(*SPACE, F.col("ours").alias("cell"), F.col("least").alias("v")).join(sums, [*SPACE, "cell"]).select(F.col("least").alias("u"), "v")

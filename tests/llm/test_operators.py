@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sessionloom.llm import earlier_copies, encoding, fingerprints, packing, registry, superkmers, token_files, url_rules
+from sessionloom.llm import common, earlier_copies, encoding, fingerprints, packing, registry, superkmers, token_files, url_rules
 
 from ..conftest import DATA
 
@@ -33,7 +33,7 @@ def docs():
     return duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet' ORDER BY doc_id").df()
 
 
-def rows(frame):
+def rows_of(frame):
     frame = frame[sorted(frame.columns)]
     return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame.itertuples(index=False))
 
@@ -43,7 +43,7 @@ def test_matches_sql(spark, name):
     c = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         c.sql(f"CREATE VIEW {p.rpartition('/')[2][:-8]} AS SELECT * FROM '{p}'")
-    assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(c.sql(registry.ORACLE_SQL[name]).df())
+    assert rows_of(registry.QUERIES[name](spark, DATA).toPandas()) == rows_of(c.sql(registry.ORACLE_SQL[name]).df())
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -72,7 +72,7 @@ def test_token_files(spark, docs):
         at += len(ids)
 
 
-def test_url_rules(spark, none):
+def test_url_rules(spark):
     urls = ["HTTP://A.Net/x", "http://example.net/en/1", "http://anet/x", "http://a.net", "no url", None, "x://example.com/de/?q#f", "a://b.ORG/fr/é?x", "http://notexample.com/de/", "x://" + "a." * 5000 + "net/"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     got = [(r.host[-12:], r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(df).orderBy("page_id").collect()]
@@ -89,10 +89,71 @@ def test_url_rules_fit_hosts_not_paths(spark):
     c.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
     got = url_rules.url_verdicts(df).toPandas()
-    assert rows(got) == rows(c.sql(url_rules.OP2_SQL).df())
+    assert rows_of(got) == rows_of(c.sql(url_rules.OP2_SQL).df())
     assert got.sort_values("page_id").rule.where(got.rule.notna(), None).tolist() == [None, None, None, "net/", None, "org/fr/", None, "net/"]
 
 
+def verdict(url):
+    """host, path, rule and verdict of a URL, rule by rule."""
+    at = url.find("://") if url is not None else -1
+    if at < 0:
+        return "", "", None, "allow"
+    rest = url[at + 3 :]
+    end = min([len(rest), *[i for i in map(rest.find, "/?#") if i >= 0]])
+    host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+    path = path[: min([len(path), *[i for i in map(path.find, "?#") if i >= 0]])]
+    best = None
+    for rule, says in (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")):
+        name, slash, start = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith(slash + start) and (best is None or len(rule) > len(best[0])):
+            best = rule, says
+    return host, path, *(best or (None, "allow"))
+
+
+def test_url_rules_on_random_urls(spark, none):
+    rng = np.random.default_rng(7)
+    parts = ["http", "://", ".", "/", "net", "example", "com", "org", "de", "fr", "en", "A", "?", "#", "x", "É", "\n", "NET", "www"]
+    urls = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(1500)] + ["a://" + "".join(rng.choice(parts[2:], int(rng.integers(1, 12)))) for _ in range(1500)]
+    urls += [None, "", "://", "x://net/", "x://.net/", "x://a/" + ".net/" * 4000, "x://" + "b." * 3000 + "net/" + "y/" * 3000]
+    rows = [(i % 900, u, "r", "v") for i, u in enumerate(urls)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, host string").withColumn("which", url_rules.F.lit(1))
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.url_verdicts(df).collect()), key=str)
+    assert got == sorted(((i, *verdict(u)) for i, u, *_ in rows), key=str)
+    assert url_rules.url_verdicts(none.selectExpr("doc_id AS page_id", "text AS url")).count() == 0
+    c = duckdb.connect()
+    c.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls[:3000])))
+    own = url_rules.url_verdicts(spark.createDataFrame(list(enumerate(urls[:3000])), "page_id long, url string")).toPandas()
+    assert rows_of(own) == rows_of(c.sql(url_rules.OP2_SQL).df())
+
+
+def test_token_files_of_odd_rows(spark, odd, none):
+    whole, at = Tokenizer.from_file(BYTES), 0
+    df = odd.withColumns({"file": odd.n, "at": odd.n, "ids": odd.block})
+    path = common.scratch(spark, "odd-tokens")
+    got = token_files.read_token_files(spark, path, token_files.write_token_files(df, path, BYTES, 0)).collect()
+    want = []
+    for d, text in sorted(((d, t or "") for d, t, *_ in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 0]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4"))))
+        at += len(ids)
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
+    path = common.scratch(spark, "no-tokens")
+    assert token_files.write_token_files(none, path, BYTES, 0).count() == 0
+
+
+def test_packing_of_odd_rows(spark, odd):
+    whole = Tokenizer.from_file(WORDS)
+    ids = [np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t, *_ in ODD]
+    df = odd.withColumns({"part": odd.n, "tail": odd.n, "rank": odd.block})
+    pieces = packing.pack_documents(df, WORDS, 2).collect()
+    assert sum(p.length for p in pieces) == sum(map(len, ids))
+    firsts = sorted((str(p.doc_id), p.doc_tokens) for p in pieces if p.start == 0)
+    assert firsts == sorted((str(d), len(i)) for (d, *_), i in zip(ODD, ids, strict=True))
+    texts = {(str(d), len(i)): i for (d, *_), i in zip(ODD, ids, strict=True)}
+    assert all(zlib.crc32(texts[str(p.doc_id), p.doc_tokens][p.start : p.start + p.length]) == p.ids_crc32 for p in pieces)
+
+
 def pieces_fit(pieces, window):
     for _, s in pieces.groupby("sequence_id"):
         s = s.sort_values("offset")
