@@ -54,6 +54,17 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.search(s, index, docs, "the of", 20, analysis)
 
 
+def best_results(spark: SparkSession, d: str) -> DataFrame:
+    s, index, docs = talk_index(spark, d, PLAIN)
+    top = search.search(s, index, docs, "the of", 20, PLAIN)
+    return top.select("session_uuid", "project_name", "started_at", "duration_secs", "git_branch", F.round("rank", 6).alias("rank"))
+
+
+def sessions_once(spark: SparkSession, d: str) -> DataFrame:
+    events = event_stream(spark, d).withColumn("session_uuid", F.concat(F.format_string("%06d-", "user_id"), F.date_format("ts", "yyyy-MM-dd")))
+    return live.run_to_rows(live.once_per_session(events.select("ts", "session_uuid")), "append").select("session_uuid")
+
+
 def session_fold(spark: SparkSession, d: str) -> DataFrame:
     s = event_sessions(spark, d)
     joined = [F.array_join(c, ",").alias(c) for c in ("tools_used", "files_modified")]
@@ -181,6 +192,8 @@ QUERIES = {
     "timeline": lambda s, d: stats.timeline(event_sessions(s, d), NOW),
     "heatmap": lambda s, d: stats.heatmap(event_sessions(s, d), TODAY),
     "branch_counts": lambda s, d: stats.branches(event_sessions(s, d), None),
+    "branches_of_latest": lambda s, d: stats.branches(event_sessions(s, d)),
+    "session_ids": lambda s, d: event_sessions(s, d).select("session_uuid", "id"),
     "session_list_page": lambda s, d: lists.page(event_sessions(s, d), 50, 20, now=CLOCK, branch="b1", since="20d", tool="click").select("session_uuid", "started_at", "project_name"),
     "session_count": lambda s, d: lists.count(event_sessions(s, d), now=CLOCK, project="proj3", until="2024-01-20"),
     "messages_ordered": messages_ordered,
@@ -208,10 +221,12 @@ QUERIES = {
     "search_and": lambda s, d: found(s, d, "the of"),
     "search_phrase": lambda s, d: found(s, d, "of-the"),
     "search_bm25": lambda s, d: found(s, d, "this"),
+    "search_results": best_results,
     "search_stemmed": lambda s, d: snippets(s, d).select("session_uuid", "rank"),
     "snippet": lambda s, d: snippets(s, d).select("session_uuid", "snippet"),
     "export_markdown": markdown,
     "stream_live_counts": lambda s, d: live.run_to_rows(live.live_counts(event_stream(s, d)), "complete"),
+    "stream_sessions_once": sessions_once,
     "stream_quiet_sessions": lambda s, d: live.run_to_rows(live.quiet_sessions(event_stream(s, d)), "complete"),
 }
 
@@ -261,6 +276,10 @@ SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(
 """
 
 
+RESULTS = """, w AS (SELECT sid, min(stamp) AS first_at, max(stamp) AS last_at FROM t WHERE role <> 'system' GROUP BY sid)
+SELECT session_uuid, project_name, first_at AS started_at, CAST(epoch(CAST(last_at AS TIMESTAMP)) - epoch(CAST(first_at AS TIMESTAMP)) AS BIGINT) AS duration_secs, git_branch, round(rank, 6) AS rank
+FROM scored JOIN facts USING (session_uuid) JOIN w ON sid = session_uuid WHERE k = (SELECT count(*) FROM phrases) ORDER BY scored.rank, session_uuid LIMIT 20
+"""
 #: Talks hold text blocks only.
 MARKDOWN = TALKS + r"""
 , m AS (
@@ -328,6 +347,8 @@ ORACLE_SQL = {
     "timeline": EVENTS + "SELECT left(started_at, 10) AS day, count(*) AS sessions FROM s GROUP BY 1",
     "heatmap": EVENTS + ", d AS (SELECT strftime(x, '%Y-%m-%d') AS day FROM generate_series(DATE '2024-01-31' - INTERVAL 181 DAY, TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(x)), n AS (SELECT left(started_at, 10) AS day, count(*) AS n FROM s GROUP BY 1) SELECT day, coalesce(n, 0) AS sessions, least(coalesce(n, 0), 4)::INTEGER AS level FROM d LEFT JOIN n USING (day)",
     "branch_counts": EVENTS + "SELECT git_branch, count(*) AS sessions FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "branches_of_latest": EVENTS + "SELECT git_branch, count(*) AS sessions FROM (SELECT git_branch FROM s ORDER BY started_at DESC, session_uuid LIMIT 200) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12",
+    "session_ids": EVENTS + "SELECT session_uuid, sha256(session_uuid || started_at) AS id FROM s",
     "session_list_page": EVENTS + "SELECT session_uuid, started_at, project_name FROM s WHERE git_branch = 'b1' AND ts0 >= TIMESTAMP '2024-01-11' AND list_contains(tools_used, 'click') ORDER BY started_at DESC, session_uuid LIMIT 50 OFFSET 20",
     "session_count": EVENTS + "SELECT count(*) AS total FROM s WHERE project_name = 'proj3' AND ts0 < TIMESTAMP '2024-01-21'",
     "messages_ordered": TALKS + "SELECT sid AS session_uuid, (turn + 1)::INTEGER AS seq, sid || ':m' || conv_id || '-' || turn AS id, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, stamp AS timestamp FROM t WHERE role <> 'system'",
@@ -355,6 +376,8 @@ ORACLE_SQL = {
     "search_and": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])"),
     "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),
     "search_bm25": SEARCH.replace("{phrases}", "(1, ['this'])"),
+    "search_results": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])").replace("SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(*) FROM phrases)", RESULTS),
+    "stream_sessions_once": "SELECT DISTINCT printf('%06d-', user_id) || strftime(ts, '%Y-%m-%d') AS session_uuid FROM events",
     "stream_quiet_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM r GROUP BY user_id, run",
     "export_markdown": MARKDOWN,
     "stream_live_counts": "SELECT event_type, count(*) AS events, round(sum(value), 2) AS total_value FROM events GROUP BY 1",
