@@ -33,6 +33,13 @@ def talk_records(spark: SparkSession, d: str) -> DataFrame:
     return parsing.records(lines_of_conversations(table(spark, d, "conversations")), strict=False)
 
 
+def parsed_talks(spark: SparkSession, d: str) -> DataFrame:
+    """The records of all talks, parsed once and kept in the shared folder: for queries that go over them several times."""
+    path = live.shared_folder(spark, "records")
+    talk_records(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def talk_sessions(spark: SparkSession, d: str) -> DataFrame:
     return parsing.sessions(talk_records(spark, d), INGEST)
 
@@ -72,13 +79,13 @@ def session_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, d: str) -> DataFrame:
-    recs = talk_records(spark, d)
+    recs = parsed_talks(spark, d)
     s = parsing.sessions(recs, INGEST)
     return export.markdown(s, parsing.messages(recs, s), parsing.blocks(recs, s))
 
 
 def messages_ordered(spark: SparkSession, d: str) -> DataFrame:
-    recs = talk_records(spark, d)
+    recs = parsed_talks(spark, d)
     return lists.message_list(parsing.messages(recs, parsing.sessions(recs, INGEST))).select("session_uuid", "seq", "id", "role", "timestamp")
 
 
@@ -103,7 +110,7 @@ def semi_join_known(spark: SparkSession, d: str) -> DataFrame:
 
 
 def talk_messages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    recs = talk_records(spark, d)
+    recs = parsed_talks(spark, d)
     s = parsing.sessions(recs, INGEST)
     return s, parsing.messages(recs, s)
 
@@ -119,7 +126,7 @@ def orphan_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_readback(spark: SparkSession, d: str) -> DataFrame:
-    recs = talk_records(spark, d)
+    recs = parsed_talks(spark, d)
     raw = parsing.raw_transcripts(recs, parsing.sessions(recs, INGEST))
     lines = raw.select("session_uuid", F.posexplode(F.split("raw_jsonl", "\n")).alias("pos", "line"))
     return lines.select("session_uuid", (F.col("pos") + 1).alias("line_no"), F.get_json_object("line", "$.timestamp").alias("timestamp"), F.sha2(F.get_json_object("line", "$.message.content[0].text"), 256).alias("text_sha256"))
