@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -51,6 +51,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession, count: int, parts: int) -> np.ndarray:
+    """So many numbers that an exchange by their hash into parts deals evenly: no part gets two more than another.
+
+    They are taken from the first numbers whose hashes fall into each part."""
+    some = spark.range(16 * max(count, parts)).select("id", F.expr(f"pmod(hash(id), {parts})").alias("part"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    found = some.withColumn("place", place).where(F.col("place") <= -(-count // parts)).orderBy("place", "part").limit(count).collect()
+    if len(found) < count:
+        raise RuntimeError(f"only {len(found)} of {count} keys found")
+    return np.array([r.id for r in found], np.int64)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names; others can't clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, pick, read, spans, table
+from .common import even_keys, mix64, partitions, pick, read, spans, table
 
 #: Bytes of text meant for a block, and for a part of it that is in work at once.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
@@ -277,9 +277,12 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = sides(total, partitions(spark))
+    # blocks, buckets and routes have numbers that the exchanges deal evenly; there are never more than sides() says
+    keys = even_keys(spark, blocks, partitions(spark))
+    number = F.broadcast(spark.createDataFrame(list(enumerate(keys.tolist())), "place long, block long"))
     # the partition is hashed too, so that rows repeated very often still go to many blocks
     place = F.expr(f"pmod(xxhash64(doc_id, text, spark_partition_id()), {blocks}L)")
-    dealt = docs.withColumn("block", place).withColumn("text", F.col("text").cast("binary")).repartition(partitions(spark), "block")
+    dealt = docs.withColumn("place", place).withColumn("text", F.col("text").cast("binary")).join(number, "place").drop("place").repartition(partitions(spark), "block")
 
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         hashes, counts = np.unique(np.concatenate([b.mini for b in in_parts(docs, kind, k, m)()]), return_counts=True)
@@ -287,7 +290,7 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
             return table(SENT)
         used, at = np.unique(_bucket(hashes, blocks), return_index=True)
         packs = [[x.tobytes() for x in np.split(values, at[1:])] for values in (hashes, np.minimum(counts, HOT).astype("<u2"))]
-        return table(SENT, used, [key[0].as_py()] * len(used), *packs)
+        return table(SENT, keys[used], [key[0].as_py()] * len(used), *packs)
 
     def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         each = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
@@ -304,7 +307,9 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
             return table(STRINGS)
         parts = in_parts(docs, kind, k, m)
         minis = [b.mini for b in parts()]
-        found = b"".join(answers.sort_by("bucket").column("flags").to_pylist())
+        # in the order of buckets, which is that of the hashes
+        order = np.argsort(np.argsort(keys)[np.searchsorted(np.sort(keys), answers.column("bucket").to_numpy())])
+        found = b"".join(answers.column("flags").take(pa.array(order)).to_pylist())
         flags = np.frombuffer(found, np.uint8)[np.unique(np.concatenate(minis), return_inverse=True)[1]]
         held: dict[bytes, list[int]] = {}
         at = 0
@@ -325,7 +330,7 @@ def repeated_windows(docs: DataFrame, kind: type, k: int, m: int, kernel: Callab
         packed, order = list(held), np.argsort(route, kind="stable")
         used, at = np.unique(route[order], return_index=True)
         groups = [Strings(item[g], doc[g], n[g], [packed[i] for i in g]).write() for g in np.split(order, at[1:])]
-        return table(STRINGS, used, [key[0].as_py()] * len(used), groups)
+        return table(STRINGS, keys[used], [key[0].as_py()] * len(used), groups)
 
     def judge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         parts = [Strings.read(p) for p in rows.column("packed").to_pylist()]

@@ -156,3 +156,11 @@ def test_digests(spark):
     assert got[2].n_removed == 120 and got[2].n_spans == 1 and got[1].n_removed == 0 and got[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
     words = superkmers.word_dedup(common.pick(docs, doc_id="doc_id", text="text"), superkmers.word_rows, superkmers.WORD_ROWS)
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in words.collect()} == {(d, n, n, hashlib.sha256(b"").hexdigest()) for d, n in ((1, 40), (2, 40), (3, 0))}
+
+
+@pytest.mark.parametrize(("count", "parts"), [(1, 1), (1, 7), (5, 4), (100, 51), (40, 211)])
+def test_keys_are_dealt_evenly(spark, count, parts):
+    keys = common.even_keys(spark, count, parts)
+    df = spark.createDataFrame([(k,) for k in keys.tolist()], "block long").repartition(parts, "block")
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    assert len(set(keys.tolist())) == count and sum(sizes) == count and max(sizes) == -(-count // parts)
