@@ -7,6 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,27 +144,29 @@ def doc_stats(fields: DataFrame) -> DataFrame:
     return fields.groupBy("session_uuid").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).cast("long").alias("doc_len"))
 
 
-def write_index(fields: DataFrame, path: str, analysis: Analysis = Analysis(), buckets: int = 64) -> None:
+POSTINGS, LENGTHS, BUCKETS = "term string, session_uuid string, field string, tf int, positions array<int>, bucket int", "session_uuid string, doc_len long", 64
+
+
+def write_index(fields: DataFrame, path: str, analysis: Analysis = Analysis(), buckets: int = BUCKETS) -> None:
     """Stores the postings and lengths of fields below path, the postings in buckets of terms and sorted by term.
 
     A whole index is made anew; one that grows with its sessions is kept by the Store."""
-    index = postings(fields, analysis).withColumn("bucket", _bucket(buckets))
+    index = postings(fields, analysis).withColumn("bucket", F.expr(f"pmod(xxhash64(term), {buckets})").cast("int"))
     index.repartition("bucket", F.expr("pmod(xxhash64(term, 1), 8)")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    doc_stats(fields).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    doc_stats(fields).write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
-def _bucket(buckets: int) -> Column:
-    return F.expr(f"pmod(xxhash64(term), {buckets})").cast("int")
+def _bucket(term: str, buckets: int) -> int:
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
 
 
-def read_index(spark, path: str, query: str | None = None, analysis: Analysis = Analysis()) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of a stored index; for a query only the buckets of its terms are listed and read."""
-    index, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+def read_index(spark, path: str, query: str | None = None, analysis: Analysis = Analysis(), buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of a stored index of so many buckets; for a query only the buckets of its terms are read."""
+    index, stats = spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(LENGTHS).parquet(f"{path}/doc_stats")
     if query is not None:
-        terms = sorted({t for p in phrases_of(query, analysis) for t in p})
-        wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket((stats.first() or {"buckets": 1})["buckets"]).alias("b")) if terms else None
-        index = index.where(F.col("bucket").isin(*[r.b for r in wanted.collect()])) if terms else index.where("false")
-    return index.drop("bucket"), stats.drop("buckets")
+        index = index.where(F.col("bucket").isin(*{_bucket(t, buckets) for p in phrases_of(query, analysis) for t in p}))
+    return index.drop("bucket"), stats
 
 
 def phrases_of(query: str, analysis: Analysis) -> list[list[str]]:
