@@ -25,8 +25,7 @@ def similarities(texts):
     return np.array([[1.0 if a == b else len(a & b) / len(a | b) for b in sets] for a in sets])
 
 
-@pytest.mark.parametrize(("points", "share"), [(8192, 1 << 20), (8, 3000)])
-@pytest.mark.parametrize("seed", [8, 9])
+@pytest.mark.parametrize(("points", "share", "seed"), [(8192, 1 << 20, 8), (8, 3000, 9)])
 def test_near_copies_by_exact_similarity(spark, monkeypatch, points, share, seed):
     monkeypatch.setattr(fingerprints, "POINTS", points)
     monkeypatch.setattr(fingerprints, "SHARE", share)
