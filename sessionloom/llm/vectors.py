@@ -39,16 +39,18 @@ class CoverTree:
     def __init__(self, x: np.ndarray, points: np.ndarray, leaf: int = 24):
         self.points = points
         self.center = x[points[0]]
-        d = np.linalg.norm(x[points] - self.center, axis=1)
-        self.radius = float(d.max())
+        self.radius = float(np.linalg.norm(x[points] - self.center, axis=1).max()) if len(points) > 1 else 0.0
         self.kids: list[CoverTree] = []
         if len(points) > leaf and self.radius > 1e-12:
-            left = points
-            while len(left):
-                near = np.linalg.norm(x[left] - x[left[0]], axis=1) <= self.radius / 2
-                near[0] = True
-                self.kids.append(CoverTree(x, left[near], leaf))
-                left = left[~near]
+            # of unit vectors, one product tells all distances
+            near = x[points] @ x[points].T >= 1 - self.radius**2 / 8
+            open_ = np.ones(len(points), bool)
+            for i in range(len(points)):
+                if open_[i]:
+                    mine = near[i] & open_
+                    mine[i] = True
+                    open_ &= ~mine
+                    self.kids.append(CoverTree(x, points[mine], leaf))
 
 
 def _centers(nodes: list[CoverTree]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,14 +71,19 @@ def dual_links(x: np.ndarray, y: np.ndarray, same: bool, threshold: float):
     while open_:
         left, right = open_.pop()
         (ca, ra), (cb, rb) = _centers(left), _centers(right)
+        lowest_a, lowest_b = (np.array([not t.kids for t in nodes]) for nodes in (left, right))
         for s in range(0, len(left), 512):
             d = np.sqrt(np.maximum(0, (ca[s : s + 512] ** 2).sum(1)[:, None] + (cb**2).sum(1) - 2 * ca[s : s + 512] @ cb.T))
-            for i, j in zip(*np.nonzero(d <= ra[s : s + 512, None] + rb + reach + SLACK), strict=True):
+            near = d <= ra[s : s + 512, None] + rb + reach + SLACK
+            # pairs of lowest nodes are decided by one product of all their points
+            lowest = near & lowest_a[s : s + 512, None] & lowest_b
+            if lowest.any():
+                i, j = (np.concatenate([nodes[k].points for k in at]) for nodes, at in ((left, np.flatnonzero(lowest.any(axis=1)) + s), (right, np.flatnonzero(lowest.any(axis=0)))))
+                yield i, j, x[i] @ y[j].T >= threshold
+            for i, j in zip(*np.nonzero(near & ~lowest), strict=True):
                 p, q = left[s + i], right[j]
                 if d[i, j] + p.radius + q.radius <= reach - SLACK:
                     yield p.points, q.points, None
-                elif not p.kids and not q.kids:
-                    yield p.points, q.points, x[p.points] @ y[q.points].T >= threshold
                 else:
                     open_.append((p.kids or [p], q.kids or [q]))
 
