@@ -135,3 +135,19 @@ def spans(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, dtype=np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+#: For DuckDB: a table of one row with the 256 remainders of the CRC-32 polynomial.
+CRC_TABLE = "(SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END, n::UBIGINT)) AS remainders)"
+CAPITALS, SMALL = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, beside CRC_TABLE."""
+    byte = f"('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::UBIGINT"
+    return f"xor(4294967295::UBIGINT, list_reduce(list_transform(range(0, octet_length(encode({text}))), lambda i: {byte}), lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255)::INT + 1]), 4294967295::UBIGINT))"
+
+
+def lower_sql(text: str) -> str:
+    """DuckDB SQL that lower-cases A-Z and nothing else."""
+    return f"translate({text}, '{CAPITALS}', '{SMALL}')"

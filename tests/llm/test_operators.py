@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -35,7 +36,7 @@ def docs():
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
