@@ -29,6 +29,8 @@ THRESHOLD = 0.98
 #: points that a task deals to centres; levels.
 CELL, FAN, SAMPLE, SLICE, LEVELS = 1500, 64, 2000, 20_000, 6
 SLACK = 1e-7
+#: Radius below which a node isn't parted any more: its points are compared one by one.
+NEAREST = 1e-6
 
 
 class CoverTree:
@@ -41,8 +43,8 @@ class CoverTree:
         self.center = x[points[0]]
         self.radius = float(np.linalg.norm(x[points] - self.center, axis=1).max()) if len(points) > 1 else 0.0
         self.kids: list[CoverTree] = []
-        if len(points) > leaf and self.radius > 1e-12:
-            # of unit vectors, one product tells all distances
+        # of unit vectors, one product tells all distances; of points nearer to each other than NEAREST it tells nothing
+        if len(points) > leaf and self.radius > NEAREST:
             near = x[points] @ x[points].T >= 1 - self.radius**2 / 8
             open_ = np.ones(len(points), bool)
             for i in range(len(points)):
@@ -199,17 +201,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Rows link when their labels are equal and not null and their cosine is at least threshold. Null,
     empty and zero vectors, and those with null or non-finite parts, link with nothing; so do vectors of
     different lengths. Equal rows are copies that link with each other. Parts of any magnitude are fine.
-    An empty table gives no row.
+    An empty table gives no row. Each row is a vector of its own, also where ids repeat: links are counted and followed
+    between rows, and component_id is the least id in a row's component. A null id counts for links but not for that: it is null
+    only where no row of the component has an id, and all those rows are kept.
     """
     spark = vectors.sparkSession
     rows = pick(vectors, vec_id=id_col, vector=vector_col, label=label_col).withColumn("vector", F.col("vector").cast("array<double>"))
     sound = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("usable", F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)))
     key = [F.col("label").cast("string").alias("label"), F.size("vector").alias("d"), "vector"]
-    points = stored(rows.where("usable").groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "points")
+    # the points' numbers are fixed once they are written
+    points = rows.where("usable").groupBy(*key).agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    points = stored(points.withColumn("id", F.monotonically_increasing_id()), "points")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
 
-    placed = points.withColumn("cell", F.lit(""))
+    placed = points.drop("least_id").withColumn("cell", F.lit(""))
     cells = placed.groupBy(*SPACE, "cell").agg(F.lit(2.0).alias("far"), F.count("*").alias("n"))
     nothing = F.lit(None).cast("array<double>")
     pairs = cells.select(*SPACE, F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(2.0).alias("far_a"), F.lit(2.0).alias("far_b"), nothing.alias("center_a"), nothing.alias("center_b"))
@@ -265,8 +271,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = stored(compared.unionByName(from_whole), "links")
     roots = connected(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(bridges))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = points.select("label", "d", "vector", "id").join(links, "id").join(roots, F.col("id") == F.col("node"), "left")
-    named = named.select("label", "d", "vector", "links", F.coalesce("root", "id").alias("component_id"))
+    named = points.select("label", "d", "vector", "id", "least_id").join(links, "id").join(roots, F.col("id") == F.col("node"), "left")
+    named = stored(named.select("label", "d", "vector", "links", "least_id", F.coalesce("root", "id").alias("root")), "named")
+    # written before it is joined, so that the rows of a large component can be dealt to several tasks
+    leasts = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "leasts")
+    named = named.join(leasts, "root").select("label", "d", "vector", "links", "component_id")
     keyed = rows.where("usable").select("vec_id", *key).join(named, ["label", "d", "vector"])
     linked = keyed.select("vec_id", (F.col("links") - 1).alias("n_links"), "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -92,3 +92,30 @@ def test_large_ids(spark):
     big = (1 << 53) + 1
     df = spark.createDataFrame([(big, [1.0, 0.0], 1), (big + 1, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label long")
     assert {(r.vec_id, r.n_links) for r in vectors.near_vectors(df).collect()} == {(big, 2), (big + 1, 2), (None, 2)}
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows are vectors of their own: links between rows, components named by their least id."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(12, 4))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05, base[:6]])
+    ids = [None if i % 5 == 0 else int(rng.integers(0, 9)) for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, label int")
+    rows = linked_rows(x, [1] * len(x))
+    least = {c: min((ids[i] for i, _, d, _ in rows if d == c and ids[i] is not None), default=None) for c in {r[2] for r in rows}}
+    wanted = [(ids[i], n, least[c], ids[i] == least[c]) for i, n, c, _ in rows]
+    assert sorted(map(str, got_rows(df))) == sorted(map(str, wanted))
+    few = spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [0.001, 1.0], 1), (None, [5.0, 5.0], 2)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(str, got_rows(few))) == sorted(map(str, [(7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, True)]))
+
+
+def got_rows(df):
+    return [tuple(r) for r in vectors.near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()]
+
+
+@pytest.mark.parametrize("step", [1e-9, 1e-8, 1e-7, 1e-6, 1e-5])
+def test_vectors_that_all_but_coincide(spark, step):
+    x = np.tile(np.random.default_rng(4).normal(size=64), (90, 1)).astype(np.float32).astype(np.float64)
+    x[:, 0] += step * np.arange(90)
+    x[80:] = np.random.default_rng(5).normal(size=(10, 64))
+    assert got(frame(spark, x, [1] * 90)) == linked_rows(x, [1] * 90)
