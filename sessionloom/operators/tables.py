@@ -42,7 +42,7 @@ class Store:
     not rewritten: a posting counts only if doc_stats still names its batch for the session.
     """
 
-    KEYS = {"postings": "term", "projects": "project_name", "ingest_log": "path"}
+    KEYS = {"postings": "term", "projects": "project_name", "ingest_log": "path_key"}
     #: Folders of a bucket, over which it is written as one again; old versions of the state kept.
     PARTS, VERSIONS = 16, 20
 

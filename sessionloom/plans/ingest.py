@@ -8,22 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search, stats
-from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted
+from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted, redacted_lines
 from ..operators.tables import Store, first_of_batch
 from ..sources.sessions import ADAPTERS, Source, scan_files
 from . import parsing
 
-LOG = "path string, session_uuid string, status string, reason string, file_hash string, file_size_bytes long, modified timestamp, ingest_at string"
+LOG = "path string, path_key string, session_uuid string, status string, reason string, file_hash string, file_size_bytes long, modified timestamp, ingest_at string"
+
+
+def read_records(lines: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict") -> DataFrame:
+    """The records of lines. Scope strict takes the secrets out of the lines first, so that nothing made of them holds any."""
+    return parsing.records(redacted_lines(lines, rules) if scope == "strict" else lines)
 
 
 def derive(recs: DataFrame, folded: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict") -> dict[str, DataFrame]:
-    """All tables of the sessions in folded, from the records of their files. Scope strict redacts every text column, compat
-    the texts and transcript only."""
+    """All tables of the sessions in folded, from the records that read_records gives of their files.
+
+    Scope strict has had every string of every line redacted already; what is left are the file's path, and texts put together
+    from several blocks. Compat redacts the texts and the transcript only, and the transcript as it is written.
+    """
     kept = folded.where("session_uuid IS NOT NULL")
     messages, blocks, raw = parsing.messages(recs, kept), parsing.blocks(recs, kept), parsing.raw_transcripts(recs, kept)
-    raw = raw.withColumn("raw_jsonl", F.array_join(F.transform(F.split("raw_jsonl", "\n"), lambda line: redacted(line, rules)), "\n"))
-    if scope == "strict":
-        messages, blocks = redact(messages, ("content_json",), rules), redact(blocks, ("text", "tool_input", "result"), rules)
+    if scope != "strict":
+        raw = raw.withColumn("raw_jsonl", F.array_join(F.transform(F.split("raw_jsonl", "\n"), lambda line: redacted(line, rules)), "\n"))
     sessions = redact(kept, STRICT if scope == "strict" else COMPAT, rules)
     fields = search.fields_of(sessions)
     return {"sessions": sessions, "messages": messages, "blocks": blocks, "sessions_raw": raw, "postings": search.postings(fields), "doc_stats": search.doc_stats(fields)}
@@ -39,10 +46,15 @@ def project_rows(store: Store, sessions: DataFrame) -> DataFrame:
     return stats.projects(after.join(names, "project_name", "left_semi"))
 
 
+def path_key(path: F.Column) -> F.Column:
+    """What the log knows a file by: its path may hold a secret."""
+    return F.sha2(path, 256)
+
+
 def _unchanged(files: DataFrame, log: DataFrame) -> DataFrame:
     """The files that were looked at before at this length and modification time."""
-    seen = log.where("status <> 'waiting'").select("path", F.col("file_size_bytes").alias("length"), "modified").distinct()
-    return files.join(seen, ["path", "length", "modified"], "left_semi")
+    seen = log.where("status <> 'waiting'").select("path_key", F.col("file_size_bytes").alias("length"), "modified").distinct()
+    return files.join(seen, ["path_key", "length", "modified"], "left_semi")
 
 
 def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, max_wait: int = 15, batch_id: str | None = None) -> DataFrame:
@@ -57,13 +69,13 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
     log, old = store.read("ingest_log"), store.read("sessions")
     log = log if log is not None else spark.createDataFrame([], LOG)
     files = scan_files(spark, sources)
-    listed = files.select("source_ord", "path", "modified", "length")
+    listed = files.select("source_ord", "path", path_key(F.col("path")).alias("path_key"), "modified", "length")
     passed = _unchanged(listed, log).select("path", F.lit("skipped").alias("status"), F.lit("file unchanged").alias("reason"), F.col("length").alias("file_size_bytes"), "modified")
     todo = listed.join(passed.select("path"), "path", "left_anti")
     if quiet_before:
-        first = log.where("status = 'waiting'").groupBy("path").agg(F.min("ingest_at").alias("since"))
+        first = log.where("status = 'waiting'").groupBy("path_key").agg(F.min("ingest_at").alias("since"))
         waited = F.coalesce(F.unix_seconds(F.try_to_timestamp(F.lit(ingest_at))) - F.unix_seconds(F.try_to_timestamp("since")) >= max_wait, F.lit(False))
-        todo = todo.join(first, "path", "left").withColumn("busy", F.col("modified") > F.to_timestamp(F.lit(quiet_before))).withColumn("late", F.col("busy") & waited)
+        todo = todo.join(first, "path_key", "left").withColumn("busy", F.col("modified") > F.to_timestamp(F.lit(quiet_before))).withColumn("late", F.col("busy") & waited)
         waiting = todo.where("busy AND NOT late").select("path", F.lit("waiting").alias("status"), F.lit("still changing").alias("reason"), F.col("length").alias("file_size_bytes"), "modified")
         passed, todo = passed.unionByName(waiting), todo.where("NOT busy OR late")
     if "late" not in todo.columns:
@@ -83,7 +95,7 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
             if s.enabled and s.kind in ADAPTERS:
                 part = ADAPTERS[s.kind](wanted.where(F.col("source_id") == s.id))
                 lines = part if lines is None else lines.unionByName(part)
-        parsing.records(lines).write.parquet(f"{work}/records")
+        read_records(lines, rules, scope).write.parquet(f"{work}/records")
         recs = spark.read.parquet(f"{work}/records")
         parsing.sessions(recs, ingest_at).join(fresh, "path").write.parquet(f"{work}/sessions")
         folded = spark.read.parquet(f"{work}/sessions")
@@ -97,7 +109,8 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
         reason = F.when(status == "error", "no session id").when(status == "skipped", "session_uuid already indexed").when(F.col("late"), "taken while still changing")
         outcome = judged.join(taken, "path", "left").select("path", "session_uuid", status.alias("status"), reason.alias("reason"), "file_hash", "file_size_bytes", "modified")
         same = facts.join(by_hash, "file_hash", "left_semi").select("path", F.lit("skipped").alias("status"), F.lit("file_hash already indexed").alias("reason"), "file_hash", "file_size_bytes", "modified")
-        rows = outcome.unionByName(same, allowMissingColumns=True).unionByName(passed, allowMissingColumns=True).withColumn("ingest_at", F.lit(ingest_at))
+        rows = outcome.unionByName(same, allowMissingColumns=True).unionByName(passed, allowMissingColumns=True)
+        rows = rows.withColumns({"path_key": path_key(F.col("path")), "ingest_at": F.lit(ingest_at), "path": redacted(F.col("path"), rules) if scope == "strict" else F.col("path")})
         tables = derive(recs, chosen.drop("source_ord", "modified", "late"), rules, scope)
         store.publish(tables | {"projects": project_rows(store, tables["sessions"]), "ingest_log": rows}, batch_id, on_change == "replace")
     finally:

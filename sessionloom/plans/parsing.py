@@ -146,7 +146,7 @@ def sessions(recs: DataFrame, ingest_at: str, writers: tuple[str, ...] = WRITERS
     return out.withColumns({
         "parse_errors": F.transform("errors", lambda e: e["error"]), "id": F.sha2(F.concat("session_uuid", F.coalesce("first_at", F.lit(""))), 256), "started_ts": moment(F.col("started_at")), "ended_ts": moment(F.col("ended_at")),
         "backed_up_at": F.lit(ingest_at), "summary": summary(F.col("ai_title"), F.col("prompt"), F.col("files_modified"), F.col("tools_used")), "schema_version": F.lit(1), "source_path": F.col("path"),
-    }).drop("errors", "first_at")
+    }).drop("errors", "first_at", "prompt")
 
 
 def raw_transcripts(recs: DataFrame, sessions_: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ NOW, TODAY, INGEST = "2024-01-31 00:00:00", "2024-01-31", "2024-01-31T00:00:00Z"
 CLOCK = datetime(2024, 1, 31)
 PLAIN = search.Analysis(fold=False, stem=False)
 #: The driver's texts hold secrets of one form; a rule of the user's own finds them.
-TOKENS = (redact.Rule("token_value", r'token = "[0-9a-f]{40}"', 'token = "[REDACTED]"'),)
+TOKENS = (redact.Rule("token_value", r'token = "[0-9a-f]{40}"', 'token = "[REDACTED]"', ("token = ",)),)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -104,6 +104,16 @@ def redact_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(redact.redacted(F.col("text"), redact.RULES + TOKENS), 256).alias("redacted_sha256"))
 
 
+def redact_content_json(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets inside message content as it is stored: the JSON is redacted as a whole and parsed again."""
+    docs = table(spark, d, "documents")
+    call = F.struct(F.lit("tool_use").alias("type"), F.struct(F.array(F.struct(planted().alias("cmd"))).alias("steps")).alias("input"))
+    text = F.struct(F.lit("text").alias("type"), F.concat("text", F.lit(" "), planted()).alias("text"))
+    content = redact.json_redacted(F.concat(F.lit("["), F.to_json(text), F.lit(","), F.to_json(call), F.lit("]")), redact.RULES + TOKENS)
+    parsed = docs.select("doc_id", F.from_json(content, "array<struct<type: string, text: string, input: struct<steps: array<struct<cmd: string>>>>>").alias("c"))
+    return parsed.select("doc_id", F.sha2(F.col("c")[0]["text"], 256).alias("redacted_sha256"), F.col("c")[1]["input"]["steps"][0]["cmd"].alias("cmd"))
+
+
 def semi_join_known(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
     return known_rows(docs.where("source <> 'src0'"), docs.where("source = 'src0'"), "file_hash").select("doc_id")
@@ -224,6 +234,7 @@ QUERIES = {
     "scrubbed_talks": scrubbed_talks,
     "prefix_lookup": lambda s, d: by_prefix(event_sessions(s, d), "00001").select("session_uuid", "outcome"),
     "redact_documents": redact_documents,
+    "redact_content_json": redact_content_json,
     "redaction_report": redaction_report,
     "search_and": lambda s, d: found(s, d, "the of"),
     "search_phrase": lambda s, d: found(s, d, "of-the"),
@@ -318,8 +329,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _secret_sql() -> str:
+    return f"([{', '.join(_quoted(s) for s in SECRETS)}])[1 + doc_id % {len(SECRETS)}]"
+
+
 def _planted_sql() -> str:
-    return f"text || ' ' || ([{', '.join(_quoted(s) for s in SECRETS)}])[1 + doc_id % {len(SECRETS)}]"
+    return f"text || ' ' || {_secret_sql()}"
 
 
 def _variants(rule: redact.Rule) -> list[tuple[str, str]]:
@@ -329,12 +344,19 @@ def _variants(rule: redact.Rule) -> list[tuple[str, str]]:
     return [(rule.pattern, rule.replacement)]
 
 
-def _redact_sql() -> str:
-    text = _planted_sql()
+def _redacted_sql(text: str) -> str:
     for rule in redact.RULES + TOKENS:
         for pattern, replacement in _variants(rule):
             text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(replacement)}, 'g')"
-    return f"SELECT doc_id, sha256({text}) AS redacted_sha256 FROM documents"
+    return text
+
+
+def _redact_sql() -> str:
+    return f"SELECT doc_id, sha256({_redacted_sql(_planted_sql())}) AS redacted_sha256 FROM documents"
+
+
+def _redact_json_sql() -> str:
+    return f"SELECT doc_id, sha256({_redacted_sql(_planted_sql())}) AS redacted_sha256, {_redacted_sql(_secret_sql())} AS cmd FROM documents"
 
 
 def _report_sql() -> str:
@@ -379,6 +401,7 @@ ORACLE_SQL = {
     "scrubbed_talks": TALKS + ", x AS (SELECT sid, role, turn, conv_id, " + _scrub_sql("text") + " AS text FROM t) SELECT sid AS session_uuid, '/safe/talk' || (conv_id % 5) AS cwd, 'talk' || (conv_id % 5) AS project_name, count(*) AS message_count, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role <> 'assistant'), '') AS user_messages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS asst_messages FROM x WHERE role <> 'system' GROUP BY sid, conv_id",
     "prefix_lookup": EVENTS + ", p AS (SELECT session_uuid FROM s WHERE starts_with(session_uuid, '00001') ORDER BY 1 LIMIT 10) SELECT session_uuid, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM p",
     "redact_documents": _redact_sql(),
+    "redact_content_json": _redact_json_sql(),
     "redaction_report": _report_sql(),
     "search_and": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])"),
     "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),

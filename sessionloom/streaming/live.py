@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import Store, first_of_batch, new_rows
 from ..plans import parsing
-from ..plans.ingest import derive, project_rows
+from ..operators.redact import RULES, Rule
+from ..plans.ingest import derive, project_rows, read_records
 from ..sources.sessions import Source, is_session_file, split_lines
 
 FEED = ("session_uuid", "project_name", "duration_secs", "message_count", "source_id")
@@ -49,23 +50,25 @@ def session_files(spark: SparkSession, source: Source, per_trigger: int = 1000)
     return split_lines(files.where(is_session_file(F.col("path"))).withColumn("source_id", F.lit(source.id)))
 
 
-def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, trigger: dict | None = None):
+def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, trigger: dict | None = None, rules: tuple[Rule, ...] = RULES, scope: str = "strict"):
     """Stores each micro-batch's new sessions with all their tables and appends them to the change feed, once for each batch id.
 
     Of files with one session in a batch, the first by source and path is taken. A batch's records are parsed once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, number = batch.sparkSession, f"{checkpoint}#{batch_id}"
+        if number in store.current()["batches"]:
+            return
         work = f"{store.path}/_work/{uuid.uuid4().hex}"
         try:
-            parsing.records(batch).write.parquet(work)
+            read_records(batch, rules, scope).write.parquet(work)
             recs = spark.read.parquet(work)
             folded = parsing.sessions(recs, ingest_at).where("session_uuid IS NOT NULL")
             old = store.read("sessions")
             folded = new_rows(folded, old, "session_uuid") if old is not None else folded
-            tables = derive(recs, first_of_batch(folded, order=("source_id", "path")))
+            tables = derive(recs, first_of_batch(folded, order=("source_id", "path")), rules, scope)
             rows = tables["sessions"]
-            store.publish(tables | {"projects": project_rows(store, rows), "feed": rows.select(*FEED)}, f"{checkpoint}#{batch_id}")
+            store.publish(tables | {"projects": project_rows(store, rows), "feed": rows.select(*FEED)}, number)
         finally:
             fs, path = store._fs(work)
             fs.delete(path, True)
