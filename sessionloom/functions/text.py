@@ -87,12 +87,17 @@ def summary(title: Column, prompt: Column, files: Column, tools: Column) -> Colu
 
 
 def tool_result_text(content: Column, listed: Column) -> Column:
-    """Null: empty; text: itself, also if it looks like a list; list: the texts of its parts, one a line; else its JSON.
+    """Null: empty; text: itself, also if it looks like a list; list: the texts of its objects and its strings as they are, one a
+    line, without empty ones and without items of other kinds; else its JSON.
 
     listed tells whether the content was a list."""
-    parts = F.from_json(content, "array<string>")
-    text = F.transform(parts, lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p))
-    return F.when(content.isNull(), "").when(listed & parts.isNotNull(), F.array_join(F.filter(text, lambda t: t != ""), "\n")).otherwise(content)
+    parts = F.try_variant_get(F.try_parse_json(F.when(listed, content)), "$", "array<variant>")
+
+    def text(item: Column) -> Column:
+        kind = F.schema_of_variant(item)
+        return F.when(kind.startswith("OBJECT"), F.try_variant_get(item, "$.text", "string")).when(kind == "STRING", F.try_variant_get(item, "$", "string"))
+
+    return F.when(content.isNull(), "").when(listed & parts.isNotNull(), F.array_join(F.filter(F.transform(parts, text), lambda t: t != ""), "\n")).otherwise(content)
 
 
 def hours_minutes(seconds: Column) -> Column:

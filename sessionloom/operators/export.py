@@ -22,12 +22,16 @@ def block_markdown() -> F.Column:
     return F.when(kind == "text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))).when(kind == "thinking", NOTES["thinking"]).when(kind == "image", NOTES["image"]).when(kind == "tool_use", tool).when(kind == "tool_result", shown)
 
 
-def markdown(sessions: DataFrame, messages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """session_uuid, filename, markdown."""
+def shown_blocks(blocks: DataFrame) -> DataFrame:
+    """The blocks that the export shows, with their Markdown in md. Only tool inputs go through Python."""
     plain = blocks.where("block_type <> 'tool_use'").withColumn("pretty_input", F.lit(None).cast("string"))
     calls = blocks.where("block_type = 'tool_use'").withColumn("pretty_input", indented("tool_input"))
-    parts = plain.unionByName(calls).withColumn("md", block_markdown()).where("md IS NOT NULL")
-    parts = parts.groupBy("session_uuid", "seq").agg(F.array_sort(F.collect_list(F.struct("block_idx", "md"))).alias("b"))
+    return plain.unionByName(calls).withColumn("md", block_markdown()).where("md IS NOT NULL")
+
+
+def markdown(sessions: DataFrame, messages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """session_uuid, filename, markdown."""
+    parts = shown_blocks(blocks).groupBy("session_uuid", "seq").agg(F.array_sort(F.collect_list(F.struct("block_idx", "md"))).alias("b"))
     role = F.when(F.col("role") == "user", HEADERS["user"]).otherwise(HEADERS["assistant"])
     head = F.concat(role, F.coalesce(F.concat(F.lit("  _"), filled(F.col("timestamp")), F.lit("_")), F.lit("")), F.lit("\n"))
     body = F.transform(F.coalesce("b", F.array().cast("array<struct<block_idx:int,md:string>>")), lambda x: x["md"])

@@ -16,9 +16,9 @@ from . import parsing
 LOG = "path string, path_key string, session_uuid string, status string, reason string, file_hash string, file_size_bytes long, modified timestamp, ingest_at string"
 
 
-def read_records(lines: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict") -> DataFrame:
+def read_records(lines: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict", string_content: str = "drop") -> DataFrame:
     """The records of lines. Scope strict takes the secrets out of the lines first, so that nothing made of them holds any."""
-    return parsing.records(redacted_lines(lines, rules) if scope == "strict" else lines)
+    return parsing.records(redacted_lines(lines, rules) if scope == "strict" else lines, string_content=string_content)
 
 
 def derive(recs: DataFrame, folded: DataFrame, rules: tuple[Rule, ...] = RULES, scope: str = "strict") -> dict[str, DataFrame]:
@@ -57,14 +57,14 @@ def _unchanged(files: DataFrame, log: DataFrame) -> DataFrame:
     return files.join(seen, ["path_key", "length", "modified"], "left_semi")
 
 
-def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, max_wait: int = 15, batch_id: str | None = None) -> DataFrame:
+def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, max_wait: int = 15, batch_id: str | None = None, string_content: str = "drop") -> DataFrame:
     """Takes in the files not stored yet and returns their outcomes: path, session_uuid, status, reason.
 
     Files taken in before at the same length and modification time are passed over without being read, others with a stored
     hash before they are parsed; then sessions that are stored already (on_change="replace" puts the new file in
     their place), and later files of a session in the batch. Files changed after quiet_before wait for the next call, but
     not once max_wait seconds have gone by since the first time they waited. A file without session id is an error.
-    Lines are parsed once and the records kept beside the tables until these are written.
+    string_content is that of parsing.records. Lines are parsed once and the records kept beside the tables until these are written.
     """
     log, old = store.read("ingest_log"), store.read("sessions")
     log = log if log is not None else spark.createDataFrame([], LOG)
@@ -95,7 +95,7 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
             if s.enabled and s.kind in ADAPTERS:
                 part = ADAPTERS[s.kind](wanted.where(F.col("source_id") == s.id))
                 lines = part if lines is None else lines.unionByName(part)
-        read_records(lines, rules, scope).write.parquet(f"{work}/records")
+        read_records(lines, rules, scope, string_content).write.parquet(f"{work}/records")
         recs = spark.read.parquet(f"{work}/records")
         parsing.sessions(recs, ingest_at).join(fresh, "path").write.parquet(f"{work}/sessions")
         folded = spark.read.parquet(f"{work}/sessions")

@@ -37,11 +37,12 @@ def _without_nested(block: Column) -> Column:
     return F.coalesce(F.when(parts.isNotNull(), with_field(block, "content", F.to_json(kept))), block)
 
 
-def records(lines: DataFrame, strict: bool = True, nested_images: bool = False) -> DataFrame:
+def records(lines: DataFrame, strict: bool = True, nested_images: bool = False, string_content: str = "drop") -> DataFrame:
     """Lines with the record r, an error text for lines that can't be used, and content as block texts.
 
     A line that isn't JSON, isn't an object, or has an unknown type gets an error and is left out of all
-    else. Content that isn't a list counts as no blocks, even if its text looks like one. Items that
+    else. Content that isn't a list counts as no blocks, even if its text looks like one; with string_content="text", a plain
+    string counts as one block of text. Items that
     aren't objects stay as JSON and have no type. With strict, trailing garbage after a JSON value is an error
     too (checked in Python); without, all stays in the JVM. Images inside tool results are replaced like
     others, unless nested_images keeps them.
@@ -56,6 +57,10 @@ def records(lines: DataFrame, strict: bool = True, nested_images: bool = False)
     items = F.from_json(content, "array<string>")
     others = F.transform(F.expr("try_variant_get(try_parse_json(line), '$.message.content', 'array<variant>')"), lambda v: F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)))
     raw = F.when(F.ltrim(content).startswith("[") & shape.startswith("ARRAY"), F.when(shape.startswith("ARRAY<OBJECT"), items).otherwise(F.zip_with(items, others, lambda i, o: F.coalesce(o, i))))
+    if string_content == "text":
+        raw = F.when(shape == "STRING", F.array(F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text"))))).otherwise(raw)
+    elif string_content != "drop":
+        raise ValueError(f"string_content is drop or text, not {string_content}")
     nests = F.lit(False) if nested_images else F.col("line").contains('"tool_result"') & F.col("line").contains('"image"') & F.exists("raw_blocks", _nests_image)
     out = known.withColumn("error", F.when(why.isNotNull(), F.format_string("line %d: %s", "line_no", why)))
     ok = F.col("error").isNull() & ~blank

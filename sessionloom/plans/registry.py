@@ -114,6 +114,19 @@ def redact_content_json(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("doc_id", F.sha2(F.col("c")[0]["text"], 256).alias("redacted_sha256"), F.col("c")[1]["input"]["steps"][0]["cmd"].alias("cmd"))
 
 
+def tool_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls and results as the export shows them; results are lists of mixed items, strings or objects, in turn."""
+    e = table(spark, d, "events").withColumn("no", F.format_string("%d", "event_id"))
+    line = lambda kind, n, block: F.concat(F.lit(f'{{"type":"{kind}","sessionId":"'), "no", F.lit(f'","uuid":"{n}","message":{{"content":['), block, F.lit("]}}"))
+    call = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.col("event_type").alias("name"), F.struct(F.concat(F.lit("/f/"), "no").alias("path")).alias("input")))
+    items = F.concat(F.lit('[{"text":"'), "event_type", F.lit('"},"{bare '), "no", F.lit('","", '), "no", F.lit(',true,null,{"text":null},["x"]]'))
+    content = F.when(F.col("event_id") % 3 == 0, items).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"[1, '), "no", F.lit(']"'))).otherwise(F.concat(F.lit('{"n":'), "no", F.lit("}")))
+    lines = F.array(line("assistant", 1, call), line("user", 2, F.concat(F.lit('{"type":"tool_result","tool_use_id":"t","content":'), content, F.lit("}"))))
+    rows = e.select(F.lit("e").alias("source_id"), F.concat(F.lit("/e/"), "no").alias("path"), F.lit("e").alias("project_dir"), F.posexplode(lines).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
+    recs = parsing.records(rows.drop("pos"), strict=False)
+    return export.shown_blocks(parsing.blocks(recs, parsing.sessions(recs, INGEST))).select("session_uuid", "seq", "md")
+
+
 def semi_join_known(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("file_hash"))
     return known_rows(docs.where("source <> 'src0'"), docs.where("source = 'src0'"), "file_hash").select("doc_id")
@@ -235,6 +248,7 @@ QUERIES = {
     "prefix_lookup": lambda s, d: by_prefix(event_sessions(s, d), "00001").select("session_uuid", "outcome"),
     "redact_documents": redact_documents,
     "redact_content_json": redact_content_json,
+    "tool_blocks": tool_blocks,
     "redaction_report": redaction_report,
     "search_and": lambda s, d: found(s, d, "the of"),
     "search_phrase": lambda s, d: found(s, d, "of-the"),
@@ -329,6 +343,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_TOOL_BLOCKS_SQL = """
+SELECT event_id::VARCHAR AS session_uuid, 1 AS seq, '**🔧 ' || event_type || '**' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "path": "/f/' || event_id || '"' || chr(10) || '}' || chr(10) || '```' || chr(10) AS md FROM events
+UNION ALL
+SELECT event_id::VARCHAR, 2, '**↳ tool result**' || chr(10) || chr(10) || '```' || chr(10) ||
+  CASE event_id % 3 WHEN 0 THEN event_type || chr(10) || '{bare ' || event_id WHEN 1 THEN '[1, ' || event_id || ']' ELSE '{"n":' || event_id || '}' END || chr(10) || '```' || chr(10) FROM events"""
+
+
 def _secret_sql() -> str:
     return f"([{', '.join(_quoted(s) for s in SECRETS)}])[1 + doc_id % {len(SECRETS)}]"
 
@@ -402,6 +423,7 @@ ORACLE_SQL = {
     "prefix_lookup": EVENTS + ", p AS (SELECT session_uuid FROM s WHERE starts_with(session_uuid, '00001') ORDER BY 1 LIMIT 10) SELECT session_uuid, CASE WHEN count(*) OVER () > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM p",
     "redact_documents": _redact_sql(),
     "redact_content_json": _redact_json_sql(),
+    "tool_blocks": _TOOL_BLOCKS_SQL,
     "redaction_report": _report_sql(),
     "search_and": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])"),
     "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),

@@ -4,7 +4,9 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from sessionloom.functions.text import tool_result_text
 from sessionloom.operators import anonymise, export, redact, search
 from sessionloom.operators.tables import Store, orphans
 from sessionloom.plans import parsing
@@ -132,3 +134,20 @@ def test_ranks_like_fts5(spark):
     fields = search.fields_of(spark.createDataFrame(docs, "session_uuid string, user_messages string"))
     got = {r.session_uuid: r["rank"] for r in search.ranked(search.postings(fields), search.doc_stats(fields), "alpha beta-gamma").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_plain_string_prompts_as_text(spark):
+    lines = [("a", "/p/x.jsonl", "p", i + 1, json.dumps({"type": "user", "sessionId": "s", "uuid": f"u{i}", "timestamp": AT, "message": {"content": c}})) for i, c in enumerate(["plain \"prompt\"", "[1]", [{"type": "text", "text": "block"}], None, 5, ""])]
+    df = spark.createDataFrame(lines, "source_id string, path string, project_dir string, line_no int, line string")
+    drop, text = (parsing.sessions(parsing.records(df, string_content=c), AT).first() for c in ("drop", "text"))
+    assert drop.user_messages == "block" and text.user_messages == "plain \"prompt\"\n\n[1]\n\nblock\n\n" and "plain" in text.summary and text.message_count == 6
+    with pytest.raises(ValueError):
+        parsing.records(df, string_content="other")
+
+
+@pytest.mark.parametrize("content, want", [(["{bare", "x", 5], "{bare\nx"), ([{"text": "a"}, "", True, None, {"text": None}, {"n": 1}, ["y"], "b"], "a\nb"), ("[1]", "[1]"), (None, ""), ({"k": 1}, '{"k":1}'), ([], "")])
+def test_tool_result_texts(spark, content, want):
+    line = json.dumps({"type": "user", "sessionId": "s", "uuid": "u", "message": {"content": [{"type": "tool_result", "tool_use_id": "t", "content": content}]}})
+    recs = parsing.records(spark.createDataFrame([("a", "/p/x.jsonl", "p", 1, line)], "source_id string, path string, project_dir string, line_no int, line string"))
+    blocks = parsing.blocks(recs, parsing.sessions(recs, AT))
+    assert [r[0] for r in blocks.select(tool_result_text(F.col("result"), F.col("result_listed"))).collect()] == [want]
