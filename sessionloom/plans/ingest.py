@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import search, stats
 from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted, redacted_lines
 from ..operators.tables import Store, first_of_batch
-from ..sources.sessions import ADAPTERS, Source, scan_files
+from ..sources import sessions as files_of
+from ..sources.sessions import ADAPTERS, Source, hashed, list_files, range_lines, read_files
 from . import parsing
 
 LOG = "path string, path_key string, session_uuid string, status string, reason string, file_hash string, file_size_bytes long, modified timestamp, ingest_at string"
@@ -60,7 +61,7 @@ def _unchanged(files: DataFrame, log: DataFrame) -> DataFrame:
 def ingest_available(spark: SparkSession, store: Store, sources: list[Source], ingest_at: str, rules: tuple[Rule, ...] = RULES, scope: str = "strict", on_change: str = "ignore", quiet_before: str | None = None, max_wait: int = 15, batch_id: str | None = None, string_content: str = "drop") -> DataFrame:
     """Takes in the files not stored yet and returns their outcomes: path, session_uuid, status, reason.
 
-    Files taken in before at the same length and modification time are passed over without being read, others with a stored
+    Files taken in before at the same length and modification time are passed over without being opened, others with a stored
     hash before they are parsed; then sessions that are stored already (on_change="replace" puts the new file in
     their place), and later files of a session in the batch. Files changed after quiet_before wait for the next call, but
     not once max_wait seconds have gone by since the first time they waited. A file without session id is an error.
@@ -68,8 +69,7 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
     """
     log, old = store.read("ingest_log"), store.read("sessions")
     log = log if log is not None else spark.createDataFrame([], LOG)
-    files = scan_files(spark, sources)
-    listed = files.select("source_ord", "path", path_key(F.col("path")).alias("path_key"), "modified", "length")
+    listed = list_files(spark, sources).select("source_id", "source_ord", "path", path_key(F.col("path")).alias("path_key"), "modified", "length")
     passed = _unchanged(listed, log).select("path", F.lit("skipped").alias("status"), F.lit("file unchanged").alias("reason"), F.col("length").alias("file_size_bytes"), "modified")
     todo = listed.join(passed.select("path"), "path", "left_anti")
     if quiet_before:
@@ -80,24 +80,26 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
         passed, todo = passed.unionByName(waiting), todo.where("NOT busy OR late")
     if "late" not in todo.columns:
         todo = todo.withColumn("late", F.lit(False))
-    # the oldest file to read is a bound that the scan can use: it opens no content of files older than that
-    oldest = todo.agg(F.min("modified")).first()[0]
-    recent = files.where(F.lit(False) if oldest is None else F.col("modified") >= F.lit(oldest))
     by_hash = old.select("file_hash").distinct() if old is not None else spark.createDataFrame([], "file_hash string")
     work = f"{store.path}/_work/{uuid.uuid4().hex}"
     try:
-        facts = recent.select("path", "source_ord", "file_hash", F.col("length").alias("file_size_bytes"), "modified").join(todo.select("path", "late"), "path")
+        todo.write.parquet(f"{work}/todo")
+        todo = spark.read.schema(todo.schema).parquet(f"{work}/todo")
+        large = (F.col("length") > files_of.LARGE) & F.col("source_id").isin([s.id for s in sources if s.kind == "jsonl"])
+        small = read_files(spark, sources, todo.where(~large))
+        hashes = small.select("path", "file_hash").unionByName(hashed(todo.where(large)))
+        facts = todo.join(hashes, "path").select("path", "source_id", "source_ord", "file_hash", F.col("length").alias("file_size_bytes"), "modified", "late")
         facts.write.parquet(f"{work}/facts")
         facts = spark.read.parquet(f"{work}/facts")
         fresh = facts.join(by_hash, "file_hash", "left_anti")
-        wanted, lines = recent.join(fresh.select("path"), "path", "left_semi"), None
+        wanted = todo.join(fresh.select("path"), "path", "left_semi")
+        small, lines = read_files(spark, sources, wanted.where(~large)), range_lines(spark, wanted.where(large), f"{work}/lines")
         for s in sources:
             if s.enabled and s.kind in ADAPTERS:
-                part = ADAPTERS[s.kind](wanted.where(F.col("source_id") == s.id))
-                lines = part if lines is None else lines.unionByName(part)
+                lines = lines.unionByName(ADAPTERS[s.kind](small.where(F.col("source_id") == s.id)))
         read_records(lines, rules, scope, string_content).write.parquet(f"{work}/records")
         recs = spark.read.parquet(f"{work}/records")
-        parsing.sessions(recs, ingest_at).join(fresh, "path").write.parquet(f"{work}/sessions")
+        parsing.sessions(recs, ingest_at).join(fresh.drop("source_id"), "path").write.parquet(f"{work}/sessions")
         folded = spark.read.parquet(f"{work}/sessions")
         known = old.select("session_uuid").distinct().withColumn("stored", F.lit(True)) if old is not None else spark.createDataFrame([], "session_uuid string, stored boolean")
         judged = folded.join(known, "session_uuid", "left")

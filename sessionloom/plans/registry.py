@@ -72,6 +72,12 @@ def sessions_once(spark: SparkSession, d: str) -> DataFrame:
     return live.run_to_rows(live.once_per_session(events.select("ts", "session_uuid")), "append").select("session_uuid")
 
 
+def sessions_ended(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's first session of a day that ended by quiet or by its longest wait before the stream's last watermark."""
+    events = event_stream(spark, d).withColumn("session_uuid", F.concat(F.format_string("%06d-", "user_id"), F.date_format("ts", "yyyy-MM-dd")))
+    return live.run_to_rows(live.ended_sessions(events, 3 * 3600, 8 * 3600), "append").select("session_uuid", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", "reason")
+
+
 def session_fold(spark: SparkSession, d: str) -> DataFrame:
     s = event_sessions(spark, d)
     joined = [F.array_join(c, ",").alias(c) for c in ("tools_used", "files_modified")]
@@ -258,6 +264,7 @@ QUERIES = {
     "snippet": lambda s, d: snippets(s, d).select("session_uuid", "snippet"),
     "export_markdown": markdown,
     "stream_live_counts": lambda s, d: live.run_to_rows(live.live_counts(event_stream(s, d)), "complete"),
+    "stream_sessions_ended": sessions_ended,
     "stream_sessions_once": sessions_once,
     "stream_quiet_sessions": lambda s, d: live.run_to_rows(live.quiet_sessions(event_stream(s, d)), "complete"),
 }
@@ -343,6 +350,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+_ENDED_SQL = """
+WITH e AS (SELECT format('{:06d}-', user_id) || strftime(ts, '%Y-%m-%d') AS session_uuid, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+near AS (SELECT *, min(t) OVER (PARTITION BY session_uuid) AS started, t - lag(t) OVER (PARTITION BY session_uuid ORDER BY t) > 10800000000 AS parted FROM e),
+runs AS (SELECT *, count(*) FILTER (parted) OVER (PARTITION BY session_uuid ORDER BY t) AS run FROM near WHERE t <= started + 28800000000),
+firsts AS (SELECT session_uuid, started, max(t) AS ended, count(*) AS events FROM runs WHERE run = 0 GROUP BY ALL)
+SELECT session_uuid, started, ended, events, CASE WHEN ended + 10800000000 <= started + 28800000000 THEN 'quiet' ELSE 'max_wait' END AS reason FROM firsts
+WHERE ceil(least(ended + 10800000000, started + 28800000000) / 1000.0) < (SELECT max(t) // 1000 - 3600000 FROM e)"""
 _TOOL_BLOCKS_SQL = """
 SELECT event_id::VARCHAR AS session_uuid, 1 AS seq, '**🔧 ' || event_type || '**' || chr(10) || chr(10) || '```json' || chr(10) || '{' || chr(10) || '  "path": "/f/' || event_id || '"' || chr(10) || '}' || chr(10) || '```' || chr(10) AS md FROM events
 UNION ALL
@@ -429,6 +443,7 @@ ORACLE_SQL = {
     "search_phrase": SEARCH.replace("{phrases}", "(1, ['of', 'the'])"),
     "search_bm25": SEARCH.replace("{phrases}", "(1, ['this'])"),
     "search_results": SEARCH.replace("{phrases}", "(1, ['the']), (2, ['of'])").replace("SELECT session_uuid, round(rank, 6) AS rank FROM scored WHERE k = (SELECT count(*) FROM phrases)", RESULTS),
+    "stream_sessions_ended": _ENDED_SQL,
     "stream_sessions_once": "SELECT DISTINCT printf('%06d-', user_id) || strftime(ts, '%Y-%m-%d') AS session_uuid FROM events",
     "stream_quiet_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM r GROUP BY user_id, run",
     "export_markdown": MARKDOWN,

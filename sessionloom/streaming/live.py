@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,63 @@ def quiet_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return rows.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
+ENDED = "session_uuid string, started timestamp, ended timestamp, events long, reason string"
+RUNS = "starts array<long>, ends array<long>, counts array<long>, given boolean"
+
+
+def ended_sessions(stream: DataFrame, quiet: float = 1800, max_wait: float = 6 * 3600, late: str = "1 hour", remember: float | None = None) -> DataFrame:
+    """Each session of events (ts, session_uuid) once, when it ends: by quiet seconds without an event, or max_wait after the first.
+
+    A key's state holds the runs that its events form so far, as bounds and counts, and one timer, which each event
+    sets anew. The first run in event time is what is given, so neither the number of triggers nor the order of events
+    within the watermark changes it. Of a session that was given a mark stays, so that later events never give it again,
+    whatever the gap; with remember, the mark goes that many seconds after the end. Rows without ts or session count for
+    nothing. reason is quiet or max_wait; a session that is still open when the stream stops waits in the checkpoint.
+    """
+    gap, most = int(quiet * 1e6), int(max_wait * 1e6)
+    keep = None if remember is None else int(remember * 1e3)
+
+    def merge(parts: list[list[int]]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for start, end, n in sorted(parts):
+            if out and start - out[-1][1] <= gap:
+                out[-1] = [out[-1][0], max(end, out[-1][1]), out[-1][2] + n]
+            else:
+                out.append([start, end, n])
+        return out
+
+    def step(key, frames, state):
+        if state.hasTimedOut and state.get[3]:
+            state.remove()
+            return
+        starts, ends, counts, given = state.get if state.exists else ([], [], [], False)
+        if given:
+            # what comes in doesn't count, and puts no timer off
+            if keep is not None:
+                state.setTimeoutTimestamp(max(ends[0] + keep, state.getCurrentWatermarkMs() + 1))
+            return
+        now = state.getCurrentWatermarkMs()
+        parts = [list(r) for r in zip(starts, ends, counts, strict=True)] + [[int(t.value // 1000)] * 2 + [1] for f in frames for t in f["ts"]]
+        first = min(p[0] for p in parts)
+        parts = [p for p in parts if p[0] <= first + most]
+        runs = merge(parts)
+        _, end, n = runs[0]
+        deadline = -(-min(end + gap, first + most) // 1000)
+        if deadline < now:
+            reason = "quiet" if end + gap <= first + most else "max_wait"
+            yield pd.DataFrame({"session_uuid": [key[0]], "started": pd.to_datetime([first], unit="us"), "ended": pd.to_datetime([end], unit="us"), "events": [n], "reason": [reason]})
+            state.update(([], [deadline], [], True))
+            if keep is not None:
+                state.setTimeoutTimestamp(max(deadline + keep, now + 1))
+            return
+        # as long as an earlier first event could come, and with it an earlier end of the wait, events stay apart
+        state.update(tuple(map(list, zip(*(runs if now * 1000 >= first else parts), strict=True))) + (False,))
+        state.setTimeoutTimestamp(max(deadline, now + 1))
+
+    rows = stream.where("ts IS NOT NULL AND session_uuid IS NOT NULL").select("ts", "session_uuid").withWatermark("ts", late)
+    return rows.groupBy("session_uuid").applyInPandasWithState(step, ENDED, RUNS, "append", "EventTimeTimeout")
+
+
 def live_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total_value"))
 
