@@ -2,8 +2,10 @@
 
 A classifier learned from the labelled table gives each document its posterior over domains. The
 rates r >= 0 of the documents are fitted so that the expected tokens of each domain, the sum of r * tokens *
-posterior, meet the targets: least squares by projected gradient steps from r = 1, where the
-residual is whitened by the domains' Gram matrix, so that one step would do without the bound. The
+posterior, meet the targets: least squares, each domain in units of its target, by projected gradient steps from r = 1. Where it
+brings the residual down at once, the residual is whitened by the domains' Gram matrix, so that one step would do without
+the bound; else the best of several shorter and plainer steps is taken, the gradient's own among them, so no step raises the
+residual. A target that no rates of 0 and more can meet so ends at the least-squares compromise. The
 residual has one number for each domain; a document's rate after any number of steps follows from its
 posterior and the residuals so far, so no vector of rates is kept, and each step is one
 aggregate over the table of posteriors.
@@ -25,13 +27,15 @@ from .common import fresh_name, pick, read, stored, table
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the mixed corpus, and its size against what the largest domain allows at rate one.
 TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+#: The same for a corpus that a quality filter has gone over: what is left of low is the doubt in other documents, and no target.
+WITHOUT_LOW = {d: s for d, s in TARGETS.items() if d != "low"}
 BUDGET = 1.05
 #: Labelled ids that the classifier is fitted on, at most about twice this; word buckets; those kept.
 FIT_ROWS, BUCKETS, KEPT = 20_000, 1 << 18, 400
 #: Share of its target that a domain may be off, and steps after which a fit gives up and says so.
 TOLERANCE, STEPS = 1e-3, 60
-#: Share of the corpus's tokens under which a domain isn't fitted: what there is of it is mostly the doubt in other documents.
-SCARCE = 2e-3
+#: Least share of the squared residual that a step must take off to go on.
+GAIN = 1e-5
 
 
 def domain() -> F.Column:
@@ -166,36 +170,70 @@ class Fit:
         return spark.createDataFrame(list(rows), "domain string, had double, target double, fitted boolean, got double")
 
 
+def candidates(residual: np.ndarray, part: np.ndarray, scale: np.ndarray, largest: float) -> list[np.ndarray]:
+    """Prices to choose from: the gradient by multiples of its safe length, damped and shortened whitened ones."""
+    gradient, inner = scale**2 * residual, scale[:, None] * part * scale
+    out = [gradient * (m / largest) for m in (1, 10, 100, 1000)]
+    size = np.trace(inner) + 1e-12
+    out += [scale * np.linalg.solve(inner + damp * size * np.eye(len(scale)), scale * residual) for damp in (1e-4, 1e-3, 1e-2, 1e-1)]
+    return out + [whitened(residual, part) * m for m in (0.1, 0.25, 0.5, 1)]
+
+
+def whitened(residual: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(part + np.diag(1e-6 * np.diag(part) + 1e-9)) @ residual
+
+
 def fitted(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, steps: int = STEPS) -> Fit:
     """The steps whose rates bring the domains' expected tokens to the targets.
 
-    The size of the mix is such that the domain with the largest share has budget times the tokens it
-    had. A domain with less than SCARCE of the corpus's tokens is left out of the fit: no rates can make
-    it from the doubtful rest of others without spoiling those. A warning tells which domains stay off their
-    target, as where it can't be met by rates of 0 and more.
+    Domains without a target aren't fitted, whatever they hold. The size of the mix is such that the domain with the largest
+    share has budget times the tokens it had. The squared residual, each domain in units of its target, falls with each
+    step. Where the targets can't be met by rates of 0 and more, the fit ends when it falls no more, at the totals of least
+    squares, and a warning tells how far off they are.
     """
     k = len(DOMAINS)
     weight = [F.col("n_tokens") * F.col("posterior")[i] for i in range(k)]
 
+    def sums(columns: list[F.Column]) -> np.ndarray:
+        return np.array([v or 0.0 for v in table.agg(*[c.alias(f"s{i}") for i, c in enumerate(columns)]).first()])
+
     def totals(taken: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         r = rate(taken)
-        sums = [F.sum(r * w) for w in weight] + [F.sum(F.when(r > 0, weight[i] * F.col("posterior")[j])) for i in range(k) for j in range(k)]
-        found = np.array([v or 0.0 for v in table.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()])
+        found = sums([F.sum(r * w) for w in weight] + [F.sum(F.when(r > 0, weight[i] * F.col("posterior")[j])) for i in range(k) for j in range(k)])
         return found[:k], found[k:].reshape(k, k)
 
     had, gram = totals([])
-    share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS]) / sum(targets.values())
     if had.sum() <= 0:
         return Fit()
-    fit = Fit([], had, share * budget * had[int(share.argmax())] / share.max(), had >= SCARCE * had.sum(), had)
+    fit = Fit([], had, share * budget * had[int(share.argmax())] / share.max(), share > 0, had)
     at = np.flatnonzero(fit.fitted)
+    scale = 1 / np.maximum(fit.target[at], 1e-9)
+    largest = max(float(np.linalg.eigvalsh(scale[:, None] * gram[np.ix_(at, at)] * scale).max()), 1e-12)
+
+    def priced(prices: np.ndarray) -> np.ndarray:
+        out = np.zeros(k)
+        out[at] = prices
+        return out
+
+    def off(got: np.ndarray) -> float:
+        return float((((got - fit.target)[at] * scale) ** 2).sum())
+
     for _ in range(steps):
         if fit.reached:
             break
-        price, part = np.zeros(k), gram[np.ix_(at, at)]
-        price[at] = np.linalg.inv(part + np.diag(1e-6 * np.diag(part) + 1e-9)) @ (fit.got - fit.target)[at]
-        fit.steps.append(price)
-        fit.got, gram = totals(fit.steps)
+        residual, part = (fit.got - fit.target)[at], gram[np.ix_(at, at)]
+        taken = [*fit.steps, priced(whitened(residual, part))]
+        found = totals(taken)
+        if off(found[0]) > off(fit.got) / 2:
+            # one aggregate tries all candidates
+            tries = [[*fit.steps, priced(c)] for c in candidates(residual, part, scale, largest)]
+            each = sums([F.sum(rate(t) * w) for t in tries for w in weight]).reshape(-1, k)
+            best = min(range(len(tries)), key=lambda i: off(each[i]))
+            if off(each[best]) > off(fit.got) * (1 - GAIN):
+                break
+            taken, found = tries[best], totals(tries[best])
+        fit.steps, (fit.got, gram) = taken, found
     if not fit.reached:
         warnings.warn(f"after {len(fit.steps)} steps the domains {DOMAINS} have {fit.got.round(1).tolist()} tokens against targets of {fit.target.round(1).tolist()}", stacklevel=2)
     return fit
@@ -227,12 +265,14 @@ def sampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
     A row stays if its rate, rounded by its id's hash, is one or more. With whole_domains, rows of a domain that is taken
     whole stay as well: the doubt in a document's posterior lowers its rate, but doesn't cost the document where its
     likeliest domain has a rate of one or more. As no row is taken twice and doubtful rows stay, the domains' totals
-    come near the targets only; `expected` tells them. Rows with a null id are kept. Columns may
+    come near the targets only; `expected` tells them. Rows with a null id are kept. Rows that share an id go together
+    where all of them would go; if the mix takes one of them, all stay. Columns may
     have any name.
     """
-    out = mixed(docs, labels, targets, budget).where("copies = 0" + (" AND home_rate < 1" if whole_domains else ""))
+    goes = F.expr("copies = 0" + (" AND home_rate < 1" if whole_domains else ""))
     left = fresh_name(docs)
-    return docs.join(out.select(F.col("doc_id").alias(left)).distinct(), F.col("doc_id") == F.col(left), "left_anti")
+    out = mixed(docs, labels, targets, budget).groupBy(F.col("doc_id").alias(left)).agg(F.bool_and(goes).alias("goes")).where("goes")
+    return docs.join(out.select(left), F.col("doc_id") == F.col(left), "left_anti")
 
 
 def expected(docs: DataFrame, model: DomainModel) -> DataFrame:

@@ -30,7 +30,7 @@ def test_each_stage_against_brute_force(spark):
             kept[name] = (before, rows_of(before), docs)
             assert name == "packing" or docs.columns == columns
         before, was, after = kept["mixing"]
-        rates = {r.doc_id: r for r in mixing.mixed(before, labels).collect()}
+        rates = {r.doc_id: r for r in mixing.mixed(before, labels, mixing.WITHOUT_LOW).collect()}
     assert rows_of(after) == {d: r for d, r in was.items() if rates[d].copies > 0 or rates[d].home_rate >= 1}
 
     before, was, after = kept["quality"]
