@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.llm.common import read, stored
 from sessionloom.llm.fingerprints import first_of_groups
-from sessionloom.llm.mixing import sampled
+from sessionloom.llm.mixing import WITHOUT_LOW, sampled
 from sessionloom.llm.packing import pack_documents
 from sessionloom.llm.quality import good_documents
 from sessionloom.llm.superkmers import without_repeats
@@ -28,7 +28,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sampled(docs, read(spark, sf_dir, "labels"))
+    return sampled(docs, read(spark, sf_dir, "labels"), WITHOUT_LOW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
