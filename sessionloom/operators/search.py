@@ -276,6 +276,11 @@ def search(sessions: DataFrame, index: DataFrame, stats: DataFrame, query: str,
     for the rows of the result only.
     """
     top = ranked(index, stats, query, analysis).join(sessions, "session_uuid").orderBy("rank", "session_uuid").limit(min(100, max(1, limit)))
+    return shown(top, query, analysis, column)
+
+
+def shown(top: DataFrame, query: str, analysis: Analysis = Analysis(), column: str = "user_messages") -> DataFrame:
+    """Sessions with their rank as a result shows them, with a snippet of a column."""
     phrases = phrases_of(query, analysis)
 
     @F.pandas_udf("string")

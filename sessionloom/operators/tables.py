@@ -32,6 +32,10 @@ def by_prefix(sessions: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return hits.withColumn("outcome", F.when(F.count("*").over(Window.partitionBy(F.lit(1))) > 1, "ambiguous").otherwise("found"))
 
 
+class Conflict(RuntimeError):
+    """Another writer published the version that this one was about to."""
+
+
 class Store:
     """Parquet tables below one folder, each dealt into buckets of its key's hash.
 
@@ -45,6 +49,8 @@ class Store:
     KEYS = {"postings": "term", "projects": "project_name", "ingest_log": "path_key"}
     #: Folders of a bucket, over which it is written as one again; old versions of the state kept.
     PARTS, VERSIONS = 16, 20
+    #: Batch ids kept; of ids such as "stream#7" the highest number of each stream counts, whatever their number.
+    BATCHES = 1000
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -74,7 +80,7 @@ class Store:
         out.close()
         if fs.exists(target) or not fs.rename(part, target):
             fs.delete(part, False)
-            raise RuntimeError(f"another batch published version {state['version']} first")
+            raise Conflict(f"another batch published version {state['version']} first")
         for name in [n for n in self._listed(f"{self.path}/_state") if n.endswith(".json")][: -self.VERSIONS]:
             fs.delete(self._fs(f"{self.path}/_state/{name}")[1], False)
 
@@ -135,7 +141,7 @@ class Store:
         same project.
         """
         state = self.current()
-        if batch_id is not None and batch_id in state["batches"]:
+        if self.has_batch(batch_id, state):
             return False
         number = uuid.uuid4().hex
         for table, rows in batch.items():
@@ -143,10 +149,61 @@ class Store:
                 rows = rows.withColumn("batch", F.lit(number))
             gone = rows if table == "projects" else batch["sessions"] if replace and self.key(table) == "session_uuid" else None
             self._add(state, table, rows, gone)
-        self._commit(state | {"batches": [*state["batches"], *([batch_id] if batch_id is not None else [])]})
-        self.compact()
+        self._commit(state | {"batches": self._with_batch(state["batches"], batch_id)})
         return True
 
+    @staticmethod
+    def _numbered(batch_id: str) -> tuple[str, int] | None:
+        stream, mark, number = batch_id.rpartition("#")
+        return (stream, int(number)) if mark and number.isdecimal() else None
+
+    def has_batch(self, batch_id: str | None, state: dict | None = None) -> bool:
+        """Whether a batch of this id, or a later one of its stream, was published."""
+        if batch_id is None:
+            return False
+        seen, mine = (state or self.current())["batches"], self._numbered(batch_id)
+        return batch_id in seen or mine is not None and any((n := self._numbered(b)) and n[0] == mine[0] and n[1] >= mine[1] for b in seen)
+
+    def _with_batch(self, batches: list[str], batch_id: str | None) -> list[str]:
+        if batch_id is None:
+            return batches
+        mine = self._numbered(batch_id)
+        others = [b for b in batches if mine is None or (n := self._numbered(b)) is None or n[0] != mine[0]]
+        return [*others[-(self.BATCHES - 1) :], batch_id]
+
+    def tidy(self) -> list[str]:
+        """Compacts what has many folders; another writer's batch in between puts it off."""
+        try:
+            return self.compact()
+        except Conflict:
+            return []
+
+    def rebuild(self, tables: dict[str, DataFrame]) -> None:
+        """Puts whole tables in the place of those of the same names, in one step."""
+        state, number = self.current(), uuid.uuid4().hex
+        for table, rows in tables.items():
+            state["tables"].pop(table, None)
+            self._add(state, table, rows.withColumn("batch", F.lit(number)) if table in ("postings", "doc_stats") else rows, None)
+        self._commit(state)
+
+    def clean(self, older_than: float) -> list[str]:
+        """Deletes the folders, last changed before that time (seconds since 1970), that no kept state names; their paths.
+
+        The time must lie before the start of any batch or question still running."""
+        used: set[str] = set()
+        for name in [n for n in self._listed(f"{self.path}/_state") if n.endswith(".json") and not n.startswith((".", "_"))]:
+            state = json.loads(self.spark.read.text(f"{self.path}/_state/{name}", wholetext=True).first()[0])
+            used |= {p.rpartition("/")[0] for t in state["tables"].values() for parts in t["buckets"].values() for p in parts}
+        gone = []
+        for table in [n for n in self._listed(self.path) if not n.startswith("_")]:
+            fs, at = self._fs(f"{self.path}/{table}")
+            for found in fs.listStatus(at):
+                path = f"{self.path}/{table}/{found.getPath().getName()}"
+                if path not in used and found.getModificationTime() < older_than * 1000:
+                    fs.delete(found.getPath(), True)
+                    gone.append(path)
+        return gone
+
     def delete(self, keys: DataFrame) -> None:
         """Removes the sessions with these keys from every table in buckets of sessions, and what postings say of them."""
         state = self.current()

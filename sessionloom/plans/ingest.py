@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search, stats
+from ..operators import lists, search, stats
 from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted, redacted_lines
 from ..operators.tables import Store, first_of_batch
 from ..sources import sessions as files_of
@@ -115,6 +116,7 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
         rows = rows.withColumns({"path_key": path_key(F.col("path")), "ingest_at": F.lit(ingest_at), "path": redacted(F.col("path"), rules) if scope == "strict" else F.col("path")})
         tables = derive(recs, chosen.drop("source_ord", "modified", "late"), rules, scope)
         store.publish(tables | {"projects": project_rows(store, tables["sessions"]), "ingest_log": rows}, batch_id, on_change == "replace")
+        store.tidy()
     finally:
         fs, path = store._fs(work)
         fs.delete(path, True)
@@ -129,5 +131,35 @@ def delete_sessions(store: Store, keys: DataFrame) -> None:
         store.replace_rows("projects", names, stats.projects(store.read("sessions").join(names, "project_name", "left_semi")))
 
 
+def rebuild_index(store: Store) -> None:
+    """Makes the postings and lengths of all stored sessions anew, in one step."""
+    fields = search.fields_of(store.read("sessions"))
+    store.rebuild({"postings": search.postings(fields), "doc_stats": search.doc_stats(fields)})
+
+
+FOUND = "session_uuid string, project_name string, ai_title string, started_at string, duration_secs long, git_branch string, snippet string, rank double"
+
+
+def find(store: Store, query: str, limit: int = 20, now: datetime | None = None, column: str = "user_messages", **filters) -> DataFrame:
+    """A question put to the store: the best sessions that hold all its phrases and pass the filters of lists.matching.
+
+    Only the buckets of the question's terms are read. Ranking and filters need few and narrow columns; the rows of the at most
+    100 best, with the text that the snippet is cut from, are fetched from the buckets of their ids. Ties go by id.
+    """
+    empty = store.spark.createDataFrame([], FOUND)
+    terms = sorted({t for p in search.phrases_of(query, search.Analysis()) for t in p})
+    sessions = store.read("sessions")
+    if not terms or sessions is None:
+        return empty
+    ranks = search.ranked(store.read("postings", terms), store.read("doc_stats"), query)
+    passed = lists.matching(sessions, now or datetime.now(timezone.utc), **filters).select("session_uuid")
+    top = ranks.join(passed, "session_uuid") if any(filters.values()) else ranks
+    best = {r.session_uuid: r["rank"] for r in top.orderBy("rank", "session_uuid").limit(min(100, max(1, limit))).collect()}
+    if not best:
+        return empty
+    rows = store.read("sessions", list(best)).join(F.broadcast(store.spark.createDataFrame(list(best.items()), "session_uuid string, rank double")), "session_uuid")
+    return search.shown(rows, query, column=column).orderBy("rank", "session_uuid")
+
+
 def outcome_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("status").agg(F.count("*").alias("files"))

@@ -47,15 +47,17 @@ def records(lines: DataFrame, strict: bool = True, nested_images: bool = False,
     too (checked in Python); without, all stays in the JVM. Images inside tool results are replaced like
     others, unless nested_images keeps them.
     """
-    bad = json_error("line") if strict else F.when(F.trim("line") != "", F.when(F.expr("try_parse_json(line)").isNull(), F.lit("not JSON")))
+    # parsed once: the value tells whether a line is JSON, and what its content is
+    lines = lines.withColumn("value", F.expr("try_parse_json(line)"))
+    bad = json_error("line") if strict else F.when(F.trim("line") != "", F.when(F.col("value").isNull(), F.lit("not JSON")))
     known = lines.withColumn("bad", bad).withColumn("r", F.from_json(F.when(F.col("bad").isNull(), F.col("line")), RECORD))
     blank = F.trim(F.coalesce("line", F.lit(""))) == ""
     object_ = F.ltrim("line").startswith("{")
     why = F.when(blank, None).when(F.col("bad").isNotNull(), F.col("bad")).when(~object_, "not an object").when(~F.coalesce(F.col("r.type").isin(*KINDS), F.lit(False)), F.concat(F.lit("unknown type '"), F.coalesce(F.col("r.type"), F.lit("None")), F.lit("'")))
     content = F.col("r.message.content")
-    shape = F.expr("coalesce(schema_of_variant(try_variant_get(try_parse_json(line), '$.message.content', 'variant')), '')")
+    shape = F.expr("coalesce(schema_of_variant(try_variant_get(value, '$.message.content', 'variant')), '')")
     items = F.from_json(content, "array<string>")
-    others = F.transform(F.expr("try_variant_get(try_parse_json(line), '$.message.content', 'array<variant>')"), lambda v: F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)))
+    others = F.transform(F.expr("try_variant_get(value, '$.message.content', 'array<variant>')"), lambda v: F.when(~F.schema_of_variant(v).startswith("OBJECT"), F.to_json(v)))
     raw = F.when(F.ltrim(content).startswith("[") & shape.startswith("ARRAY"), F.when(shape.startswith("ARRAY<OBJECT"), items).otherwise(F.zip_with(items, others, lambda i, o: F.coalesce(o, i))))
     if string_content == "text":
         raw = F.when(shape == "STRING", F.array(F.to_json(F.struct(F.lit("text").alias("type"), content.alias("text"))))).otherwise(raw)
@@ -69,7 +71,7 @@ def records(lines: DataFrame, strict: bool = True, nested_images: bool = False,
     out = out.withColumn("turn", F.coalesce(turn, F.lit(False))).withColumn("raw_blocks", F.when(turn, F.coalesce(raw, F.array().cast("array<string>"))))
     out = out.withColumn("nests", F.coalesce(nests, F.lit(False)))
     out = out.withColumn("raw_blocks", F.when(F.col("nests"), F.transform("raw_blocks", lambda b: F.when(_nests_image(b), _without_nested(b)).otherwise(b))).otherwise(F.col("raw_blocks")))
-    return out.withColumn("parts", F.transform("raw_blocks", lambda b: F.from_json(b, BLOCK))).drop("bad")
+    return out.withColumn("parts", F.transform("raw_blocks", lambda b: F.from_json(b, BLOCK))).drop("bad", "value")
 
 
 def cleaned(raw: Column, part: Column) -> Column:

@@ -58,7 +58,7 @@ def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, tr
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, number = batch.sparkSession, f"{checkpoint}#{batch_id}"
-        if number in store.current()["batches"]:
+        if store.has_batch(number):
             return
         work = f"{store.path}/_work/{uuid.uuid4().hex}"
         try:
@@ -70,6 +70,7 @@ def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, tr
             tables = derive(recs, first_of_batch(folded, order=("source_id", "path")), rules, scope)
             rows = tables["sessions"]
             store.publish(tables | {"projects": project_rows(store, rows), "feed": rows.select(*FEED)}, number)
+            store.tidy()
         finally:
             fs, path = store._fs(work)
             fs.delete(path, True)
