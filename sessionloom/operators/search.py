@@ -119,8 +119,18 @@ def fields_of(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_uuid", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), text(c).alias("text")) for c in have])))
 
 
-def _terms(tokens: DataFrame, analysis: Analysis) -> DataFrame:
-    """Adds term to rows with token. Only the distinct vocabulary goes through Python."""
+def _tokens(fields: DataFrame) -> DataFrame:
+    return fields.select("session_uuid", "field", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)).alias("pos", "token"))
+
+
+def new_terms(fields: DataFrame, known: DataFrame | None = None, analysis: Analysis = Analysis()) -> DataFrame:
+    """token, term of the tokens that a dictionary (token, term) doesn't hold yet. Only these go through Python, each once."""
+    tokens = _tokens(fields).select("token").distinct()
+    tokens = tokens.join(known.select("token"), "token", "left_anti") if known is not None else tokens
+    return _with_term(tokens, analysis)
+
+
+def _with_term(tokens: DataFrame, analysis: Analysis) -> DataFrame:
     if not (analysis.fold or analysis.stem):
         return tokens.withColumn("term", F.col("token"))
 
@@ -128,18 +138,32 @@ def _terms(tokens: DataFrame, analysis: Analysis) -> DataFrame:
     def to_term(t: pd.Series) -> pd.Series:
         return t.map(analysis.term)
 
-    vocabulary = tokens.select("token").distinct().withColumn("term", to_term("token"))
-    return tokens.join(vocabulary, "token")
+    return tokens.withColumn("term", to_term("token"))
+
 
+def postings(fields: DataFrame, analysis: Analysis = Analysis(), dictionary: DataFrame | None = None) -> DataFrame:
+    """term, session_uuid, field, tf, positions of each term in each field.
 
-def postings(fields: DataFrame, analysis: Analysis = Analysis()) -> DataFrame:
-    """term, session_uuid, field, tf, positions of each term in each field."""
-    tokens = fields.select("session_uuid", "field", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)).alias("pos", "token"))
-    rows = tokens.groupBy("session_uuid", "field", "token").agg(F.collect_list("pos").alias("positions"))
-    rows = _terms(rows, analysis).groupBy("term", "session_uuid", "field").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    A dictionary (token, term) must hold all tokens; without one it is made from the distinct tokens."""
+    rows = _tokens(fields).groupBy("session_uuid", "field", "token").agg(F.collect_list("pos").alias("positions"))
+    if dictionary is not None:
+        rows = rows.join(dictionary.select("token", "term"), "token")
+    elif analysis.fold or analysis.stem:
+        rows = rows.join(_with_term(rows.select("token").distinct(), analysis), "token")
+    else:
+        rows = rows.withColumn("term", F.col("token"))
+    rows = rows.groupBy("term", "session_uuid", "field").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return rows.select("term", "session_uuid", "field", F.size("positions").alias("tf"), "positions")
 
 
+def term_counts(index: DataFrame, stats: DataFrame, sign: int = 1) -> DataFrame:
+    """term, n, tokens: in how many sessions each term is; the row of the empty term has the number of sessions and of their
+    tokens. Counts add up over sets of sessions, with sign -1 they take sessions away."""
+    rows = index.select("term", "session_uuid").distinct().groupBy("term").agg((F.count("*") * sign).alias("n"), F.lit(0).cast("long").alias("tokens"))
+    whole = stats.agg((F.count("*") * sign).alias("n"), (F.coalesce(F.sum("doc_len"), F.lit(0)) * sign).cast("long").alias("tokens"))
+    return rows.unionByName(whole.select(F.lit("").alias("term"), "n", "tokens"))
+
+
 def doc_stats(fields: DataFrame) -> DataFrame:
     return fields.groupBy("session_uuid").agg(F.sum(F.regexp_count("text", F.lit(TOKEN))).cast("long").alias("doc_len"))
 
@@ -198,20 +222,37 @@ def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return rows.groupBy(*key, "phrase").agg(F.sum("n").alias("f"))
 
 
-def ranked(index: DataFrame, stats: DataFrame, query: str, analysis: Analysis = Analysis()) -> DataFrame:
-    """session_uuid, rank of the sessions that hold every phrase; lower is better. No phrase: no row."""
+def ranked(index: DataFrame, stats: DataFrame, query: str, analysis: Analysis = Analysis(), counts: DataFrame | None = None) -> DataFrame:
+    """session_uuid, rank of the sessions that hold every phrase; lower is better. No phrase: no row.
+
+    With counts (of term_counts, any number of rows for a term) the corpus's size and the sessions of phrases of one term are
+    looked up, at most a row for each term of the query; else they are counted."""
     phrases = phrases_of(query, analysis)
     if not phrases:
         return stats.where("false").select("session_uuid", F.lit(0.0).alias("rank"))
     key = ["session_uuid"] + (["batch"] if {"batch"} <= set(index.columns) & set(stats.columns) else [])
     hits = phrase_hits(index, phrases).join(stats, key)
-    corpus = stats.agg(F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avg_len"))
-    found = hits.groupBy("phrase").agg(F.count("*").alias("n"))
+    known, fixed = {}, {}
+    if counts is not None:
+        terms = {t for p in phrases for t in p}
+        known = {r.term: r for r in counts.where(F.col("term").isin("", *terms)).groupBy("term").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()}
+        fixed = {i: known[p[0]].n if p[0] in known else 0 for i, p in enumerate(phrases) if len(p) == 1}
+    if len(fixed) < len(phrases):
+        found = hits.where(~F.col("phrase").isin(*fixed)) if fixed else hits
+        scored = hits.join(F.broadcast(found.groupBy("phrase").agg(F.count("*").alias("n"))), "phrase", "left")
+    else:
+        scored = hits.withColumn("n", F.lit(None).cast("long"))
+    if fixed:
+        looked_up = F.create_map(*[F.lit(x) for i, n in fixed.items() for x in (i, n)])
+        scored = scored.withColumn("n", F.coalesce(F.try_element_at(looked_up, "phrase"), "n"))
+    if counts is not None:
+        size, tokens = (known[""].n, known[""].tokens) if "" in known else (0, 0)
+        scored = scored.withColumns({"corpus_size": F.lit(size), "avg_len": F.lit(tokens / size if size else None).cast("double")})
+    else:
+        scored = scored.crossJoin(F.broadcast(stats.agg(F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avg_len"))))
     idf = F.log((F.col("corpus_size") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = found.crossJoin(F.broadcast(corpus)).select("phrase", "avg_len", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))
     f = F.col("f")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = hits.join(F.broadcast(weights), "phrase")
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     rows = scored.groupBy("session_uuid").agg((-F.sum(part)).alias("rank"), F.count("*").alias("n"))
     return rows.where(F.col("n") == len(phrases)).select("session_uuid", "rank")
 

@@ -38,14 +38,58 @@ def derive(recs: DataFrame, folded: DataFrame, rules: tuple[Rule, ...] = RULES,
     return {"sessions": sessions, "messages": messages, "blocks": blocks, "sessions_raw": raw, "postings": search.postings(fields), "doc_stats": search.doc_stats(fields)}
 
 
-def project_rows(store: Store, sessions: DataFrame) -> DataFrame:
-    """The rollup of the projects that the new sessions, or the ones they replace, belong to."""
-    old = store.read("sessions")
+def project_changes(store: Store, state: dict, added: DataFrame | None, taken: DataFrame | None) -> DataFrame:
+    """The rollups of the projects that sessions come to or go from; one that is left without sessions has a count of 0.
+
+    Stored rollups are changed by what comes and goes, from the buckets of their own projects. The sessions of a project are read again
+    only where its latest session or time goes without one as late coming.
+    """
+    some = added if added is not None else taken
+    plus, minus = (stats.project_parts(x if x is not None else some.where("false")) for x in (added, taken))
+    old = store.near("projects", plus.select("project_name").unionByName(minus.select("project_name")), state)
     if old is None:
-        return stats.projects(sessions)
-    names = sessions.select("project_name").unionByName(old.join(sessions.select("session_uuid"), "session_uuid", "left_semi").select("project_name")).distinct()
-    after = old.join(sessions.select("session_uuid"), "session_uuid", "left_anti").unionByName(sessions, allowMissingColumns=True)
-    return stats.projects(after.join(names, "project_name", "left_semi"))
+        return plus
+    if "last" not in old.columns:
+        # a store from before rollups could be put together
+        old = stats.project_parts(store.read("sessions", state=state)).join(old.select("project_name"), "project_name", "left_semi")
+    rows = stats.changed_projects(old.select(plus.columns), plus, minus)
+    if taken is None:
+        return rows.drop("lost")
+    lost = rows.where("lost").select(F.col("project_name").alias("_name"))
+    if lost.isEmpty():
+        return rows.drop("lost")
+    have = store.read("sessions", state=state).join(taken.select("session_uuid"), "session_uuid", "left_anti")
+    have = have if added is None else have.unionByName(added, allowMissingColumns=True)
+    again = stats.project_parts(have.join(lost, F.col("project_name").eqNullSafe(F.col("_name")), "left_semi"))
+    return rows.where("NOT lost").drop("lost").unionByName(again)
+
+
+def with_changes(store: Store, tables: dict[str, DataFrame], work: str, replace: bool = False) -> dict[str, DataFrame]:
+    """The tables of a batch, and what the store keeps in step with them by changes: the dictionary of tokens, the sessions of
+    each term, and the rollups of projects. Tokens that the dictionary knows don't go through Python again.
+
+    What is needed more than once is written below work, which the caller deletes after publishing."""
+    spark, state, sessions = store.spark, store.current(), tables["sessions"]
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+    fields, known = search.fields_of(sessions), store.read("terms", state=state)
+    new = kept(search.new_terms(fields, known), "terms")
+    dictionary = new if known is None else known.unionByName(new)
+    postings = kept(search.postings(fields, dictionary=dictionary), "postings")
+    gone = store.near("sessions", sessions, state) if replace else None
+    counts = search.term_counts(postings, tables["doc_stats"])
+    if gone is not None:
+        counts = counts.unionByName(taken_counts(gone, dictionary))
+    rows = kept(project_changes(store, state, sessions, gone), "projects")
+    return tables | {"postings": postings, "terms": new, "term_counts": counts, "projects": rows}
+
+
+def taken_counts(gone: DataFrame, dictionary: DataFrame) -> DataFrame:
+    fields = search.fields_of(gone)
+    return search.term_counts(search.postings(fields, dictionary=dictionary), search.doc_stats(fields), -1)
 
 
 def path_key(path: F.Column) -> F.Column:
@@ -68,6 +112,7 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
     not once max_wait seconds have gone by since the first time they waited. A file without session id is an error.
     string_content is that of parsing.records. Lines are parsed once and the records kept beside the tables until these are written.
     """
+    counted(store)
     log, old = store.read("ingest_log"), store.read("sessions")
     log = log if log is not None else spark.createDataFrame([], LOG)
     listed = list_files(spark, sources).select("source_id", "source_ord", "path", path_key(F.col("path")).alias("path_key"), "modified", "length")
@@ -115,7 +160,8 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
         rows = outcome.unionByName(same, allowMissingColumns=True).unionByName(passed, allowMissingColumns=True)
         rows = rows.withColumns({"path_key": path_key(F.col("path")), "ingest_at": F.lit(ingest_at), "path": redacted(F.col("path"), rules) if scope == "strict" else F.col("path")})
         tables = derive(recs, chosen.drop("source_ord", "modified", "late"), rules, scope)
-        store.publish(tables | {"projects": project_rows(store, tables["sessions"]), "ingest_log": rows}, batch_id, on_change == "replace")
+        tables = with_changes(store, tables, f"{work}/changes", on_change == "replace")
+        store.publish(tables | {"ingest_log": rows}, batch_id, on_change == "replace")
         store.tidy()
     finally:
         fs, path = store._fs(work)
@@ -124,17 +170,34 @@ def ingest_available(spark: SparkSession, store: Store, sources: list[Source], i
 
 
 def delete_sessions(store: Store, keys: DataFrame) -> None:
-    """Deletes the sessions with these ids, and makes the rollups of their projects anew."""
-    names = store.read("sessions").join(keys.select("session_uuid").distinct(), "session_uuid", "left_semi").select("project_name").distinct()
-    store.delete(keys)
-    if store.read("projects") is not None:
-        store.replace_rows("projects", names, stats.projects(store.read("sessions").join(names, "project_name", "left_semi")))
+    """Deletes the sessions with these ids, and changes the rollups of their projects and the counts of their terms, in one step."""
+    counted(store)
+    state = store.current()
+    gone = store.near("sessions", keys, state)
+    if gone is not None:
+        changes = {"term_counts": taken_counts(gone, store.read("terms", state=state))} if "terms" in state["tables"] else {}
+        store.delete(keys, changes | ({"projects": project_changes(store, state, None, gone)} if "projects" in state["tables"] else {}))
+
+
+def counted(store: Store) -> None:
+    """Makes the index of a store anew that has one, but none of the tables that are kept by changes."""
+    state = store.current()
+    if "postings" in state["tables"] and "term_counts" not in state["tables"]:
+        rebuild_index(store)
 
 
 def rebuild_index(store: Store) -> None:
-    """Makes the postings and lengths of all stored sessions anew, in one step."""
-    fields = search.fields_of(store.read("sessions"))
-    store.rebuild({"postings": search.postings(fields), "doc_stats": search.doc_stats(fields)})
+    """Makes the postings, lengths, dictionary and counts of all stored sessions anew, in one step."""
+    fields, work = search.fields_of(store.read("sessions")), f"{store.path}/_work/{uuid.uuid4().hex}"
+    try:
+        search.new_terms(fields).write.parquet(f"{work}/terms")
+        terms = store.spark.read.schema("token string, term string").parquet(f"{work}/terms")
+        search.postings(fields, dictionary=terms).write.parquet(f"{work}/postings")
+        index, lengths = store.spark.read.schema(search.POSTINGS).parquet(f"{work}/postings").drop("bucket"), search.doc_stats(fields)
+        store.rebuild({"postings": index, "doc_stats": lengths, "terms": terms, "term_counts": search.term_counts(index, lengths)})
+    finally:
+        fs, path = store._fs(work)
+        fs.delete(path, True)
 
 
 FOUND = "session_uuid string, project_name string, ai_title string, started_at string, duration_secs long, git_branch string, snippet string, rank double"
@@ -143,21 +206,23 @@ FOUND = "session_uuid string, project_name string, ai_title string, started_at s
 def find(store: Store, query: str, limit: int = 20, now: datetime | None = None, column: str = "user_messages", **filters) -> DataFrame:
     """A question put to the store: the best sessions that hold all its phrases and pass the filters of lists.matching.
 
-    Only the buckets of the question's terms are read. Ranking and filters need few and narrow columns; the rows of the at most
+    All is read from one state; of postings and counts only the buckets of the question's terms. Ranking and filters need few and narrow columns; the rows of the at most
     100 best, with the text that the snippet is cut from, are fetched from the buckets of their ids. Ties go by id.
     """
+    state = store.current()
     empty = store.spark.createDataFrame([], FOUND)
     terms = sorted({t for p in search.phrases_of(query, search.Analysis()) for t in p})
-    sessions = store.read("sessions")
+    sessions = store.read("sessions", state=state)
     if not terms or sessions is None:
         return empty
-    ranks = search.ranked(store.read("postings", terms), store.read("doc_stats"), query)
+    ranks = search.ranked(store.read("postings", terms, state), store.read("doc_stats", state=state), query, counts=store.read("term_counts", ["", *terms], state))
     passed = lists.matching(sessions, now or datetime.now(timezone.utc), **filters).select("session_uuid")
     top = ranks.join(passed, "session_uuid") if any(filters.values()) else ranks
     best = {r.session_uuid: r["rank"] for r in top.orderBy("rank", "session_uuid").limit(min(100, max(1, limit))).collect()}
     if not best:
         return empty
-    rows = store.read("sessions", list(best)).join(F.broadcast(store.spark.createDataFrame(list(best.items()), "session_uuid string, rank double")), "session_uuid")
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in best.items() for x in pair]), F.col("session_uuid"))
+    rows = store.read("sessions", list(best), state).withColumn("rank", rank)
     return search.shown(rows, query, column=column).orderBy("rank", "session_uuid")
 
 

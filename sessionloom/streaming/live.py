@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.tables import Store, first_of_batch, new_rows
 from ..plans import parsing
 from ..operators.redact import RULES, Rule
-from ..plans.ingest import derive, project_rows, read_records
+from ..plans.ingest import counted, derive, read_records, with_changes
 from ..sources.sessions import Source, is_session_file, split_lines
 
 FEED = ("session_uuid", "project_name", "duration_secs", "message_count", "source_id")
@@ -62,14 +62,14 @@ def capture(stream: DataFrame, store: Store, checkpoint: str, ingest_at: str, tr
             return
         work = f"{store.path}/_work/{uuid.uuid4().hex}"
         try:
-            read_records(batch, rules, scope).write.parquet(work)
-            recs = spark.read.parquet(work)
+            counted(store)
+            read_records(batch, rules, scope).write.parquet(f"{work}/records")
+            recs = spark.read.parquet(f"{work}/records")
             folded = parsing.sessions(recs, ingest_at).where("session_uuid IS NOT NULL")
             old = store.read("sessions")
             folded = new_rows(folded, old, "session_uuid") if old is not None else folded
             tables = derive(recs, first_of_batch(folded, order=("source_id", "path")), rules, scope)
-            rows = tables["sessions"]
-            store.publish(tables | {"projects": project_rows(store, rows), "feed": rows.select(*FEED)}, number)
+            store.publish(with_changes(store, tables, f"{work}/changes") | {"feed": tables["sessions"].select(*FEED)}, number)
             store.tidy()
         finally:
             fs, path = store._fs(work)
