@@ -49,15 +49,17 @@ class Store:
     not rewritten: a posting counts only if doc_stats still names its batch for the session.
     """
 
-    KEYS = {"postings": "term", "terms": "token", "term_counts": "term", "projects": "project_name", "ingest_log": "path_key"}
+    KEYS = {"postings": "term", "impacts": "term", "terms": "token", "term_counts": "term", "term_cells": "term", "projects": "project_name", "ingest_log": "path_key"}
     #: Folders of a bucket, over which it is written as one again; old versions of the state kept.
     PARTS, VERSIONS = 16, 20
     #: Batch ids kept; of ids such as "stream#7" the highest number of each stream counts, whatever their number.
     BATCHES = 1000
     #: Bytes that the buckets of a table hold on average before some are split.
     BUCKET_BYTES = 128 << 20
-    #: Tables of counts that add up: their columns are summed for each key when buckets are written anew.
-    SUMMED = {"term_counts": ("n", "tokens")}
+    #: Tables of counts that add up: what they are counted for, and what is summed when buckets are written anew.
+    SUMMED = {"term_counts": (("term",), ("n", "tokens")), "term_cells": (("term", "cell"), ("n",))}
+    #: Tables whose rows name their batch.
+    BATCHED = ("postings", "impacts", "doc_stats")
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -152,8 +154,9 @@ class Store:
     def _write(self, entry: dict, table: str, rows: DataFrame) -> dict[str, str]:
         """Writes rows to a new folder; the folder of each bucket that has rows, whose length the entry takes down."""
         target, key = f"{self.path}/{table}/{uuid.uuid4().hex}", self.key(table)
-        dealt = rows.withColumn("_bucket", self._bucket(entry, key)).repartition("_bucket", F.expr(f"pmod(xxhash64(`{key}`, 1), 8)"))
-        dealt.sortWithinPartitions("_bucket", key).write.partitionBy("_bucket").parquet(target)
+        # a bucket is one task's, unless a key that very many rows share makes it large: then the exchange is split where it is too long
+        dealt = rows.withColumn("_bucket", self._bucket(entry, key)).hint("rebalance", "_bucket")
+        dealt.sortWithinPartitions("_bucket", key, *[c for c in ("cell",) if c in rows.columns]).write.partitionBy("_bucket").parquet(target)
         new = {n.partition("=")[2]: f"{target}/{n}" for n in self._listed(target) if n.startswith("_bucket=")}
         for path in new.values():
             fs, at = self._fs(path)
@@ -191,7 +194,7 @@ class Store:
             return False
         number = uuid.uuid4().hex
         for table, rows in batch.items():
-            if table in ("postings", "doc_stats"):
+            if table in self.BATCHED:
                 rows = rows.withColumn("batch", F.lit(number))
             if table == "projects":
                 self._add(state, table, rows.where("session_count > 0"), rows)
@@ -231,7 +234,7 @@ class Store:
         state, number = self.current(), uuid.uuid4().hex
         for table, rows in tables.items():
             like = state["tables"].pop(table, None)
-            self._add(state, table, rows.withColumn("batch", F.lit(number)) if table in ("postings", "doc_stats") else rows, None, like)
+            self._add(state, table, rows.withColumn("batch", F.lit(number)) if table in self.BATCHED else rows, None, like)
         self._commit(state)
 
     def clean(self, older_than: float) -> list[str]:
@@ -266,10 +269,11 @@ class Store:
 
     def _counting(self, state: dict, table: str, rows: DataFrame) -> DataFrame:
         """Rows as they are written anew: without postings that no longer count, counts of one key as one row."""
-        if table == "postings" and "doc_stats" in state["tables"]:
+        if table in ("postings", "impacts") and "doc_stats" in state["tables"]:
             return rows.join(self._load(state["tables"]["doc_stats"]).select("session_uuid", "batch"), ["session_uuid", "batch"], "left_semi")
         if table in self.SUMMED:
-            return rows.groupBy(self.key(table)).agg(*[F.sum(c).alias(c) for c in self.SUMMED[table]]).where(" OR ".join(f"{c} <> 0" for c in self.SUMMED[table]))
+            of, sums = self.SUMMED[table]
+            return rows.groupBy(*of).agg(*[F.sum(c).alias(c) for c in sums]).where(" OR ".join(f"{c} <> 0" for c in sums))
         return rows
 
     def compact(self, most: int | None = None) -> list[str]:

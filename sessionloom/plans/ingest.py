@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lists, search, stats
+from ..operators import lists, search, stats, topk
 from ..operators.redact import COMPAT, RULES, STRICT, Rule, redact, redacted, redacted_lines
 from ..operators.tables import Store, first_of_batch
 from ..sources import sessions as files_of
@@ -80,16 +80,20 @@ def with_changes(store: Store, tables: dict[str, DataFrame], work: str, replace:
     dictionary = new if known is None else known.unionByName(new)
     postings = kept(search.postings(fields, dictionary=dictionary), "postings")
     gone = store.near("sessions", sessions, state) if replace else None
-    counts = search.term_counts(postings, tables["doc_stats"])
+    impacts = kept(topk.impacts(postings, tables["doc_stats"]), "impacts")
+    counts, cells = search.term_counts(postings, tables["doc_stats"]), topk.term_cells(impacts)
     if gone is not None:
-        counts = counts.unionByName(taken_counts(gone, dictionary))
+        taken = taken_counts(gone, dictionary)
+        counts, cells = counts.unionByName(taken["term_counts"]), cells.unionByName(taken["term_cells"])
     rows = kept(project_changes(store, state, sessions, gone), "projects")
-    return tables | {"postings": postings, "terms": new, "term_counts": counts, "projects": rows}
+    return tables | {"postings": postings, "impacts": impacts, "terms": new, "term_counts": counts, "term_cells": cells, "projects": rows}
 
 
-def taken_counts(gone: DataFrame, dictionary: DataFrame) -> DataFrame:
+def taken_counts(gone: DataFrame, dictionary: DataFrame) -> dict[str, DataFrame]:
+    """What the counts lose with sessions."""
     fields = search.fields_of(gone)
-    return search.term_counts(search.postings(fields, dictionary=dictionary), search.doc_stats(fields), -1)
+    index, lengths = search.postings(fields, dictionary=dictionary), search.doc_stats(fields)
+    return {"term_counts": search.term_counts(index, lengths, -1), "term_cells": topk.term_cells(topk.impacts(index, lengths), -1)}
 
 
 def path_key(path: F.Column) -> F.Column:
@@ -175,14 +179,14 @@ def delete_sessions(store: Store, keys: DataFrame) -> None:
     state = store.current()
     gone = store.near("sessions", keys, state)
     if gone is not None:
-        changes = {"term_counts": taken_counts(gone, store.read("terms", state=state))} if "terms" in state["tables"] else {}
+        changes = taken_counts(gone, store.read("terms", state=state)) if "terms" in state["tables"] else {}
         store.delete(keys, changes | ({"projects": project_changes(store, state, None, gone)} if "projects" in state["tables"] else {}))
 
 
 def counted(store: Store) -> None:
     """Makes the index of a store anew that has one, but none of the tables that are kept by changes."""
     state = store.current()
-    if "postings" in state["tables"] and "term_counts" not in state["tables"]:
+    if "postings" in state["tables"] and "term_cells" not in state["tables"]:
         rebuild_index(store)
 
 
@@ -194,7 +198,9 @@ def rebuild_index(store: Store) -> None:
         terms = store.spark.read.schema("token string, term string").parquet(f"{work}/terms")
         search.postings(fields, dictionary=terms).write.parquet(f"{work}/postings")
         index, lengths = store.spark.read.schema(search.POSTINGS).parquet(f"{work}/postings").drop("bucket"), search.doc_stats(fields)
-        store.rebuild({"postings": index, "doc_stats": lengths, "terms": terms, "term_counts": search.term_counts(index, lengths)})
+        topk.impacts(index, lengths).write.parquet(f"{work}/impacts")
+        impacts = store.spark.read.parquet(f"{work}/impacts")
+        store.rebuild({"postings": index, "impacts": impacts, "doc_stats": lengths, "terms": terms, "term_counts": search.term_counts(index, lengths), "term_cells": topk.term_cells(impacts)})
     finally:
         fs, path = store._fs(work)
         fs.delete(path, True)
@@ -206,21 +212,36 @@ FOUND = "session_uuid string, project_name string, ai_title string, started_at s
 def find(store: Store, query: str, limit: int = 20, now: datetime | None = None, column: str = "user_messages", **filters) -> DataFrame:
     """A question put to the store: the best sessions that hold all its phrases and pass the filters of lists.matching.
 
-    All is read from one state; of postings and counts only the buckets of the question's terms. Ranking and filters need few and narrow columns; the rows of the at most
-    100 best, with the text that the snippet is cut from, are fetched from the buckets of their ids. Ties go by id.
+    All is read from one state; of postings and counts only the buckets of the question's terms. A question of single terms reads only
+    what can be among the best (topk.best); how many sessions hold a phrase of several terms tells only a look at all of them. Filters need few and
+    narrow columns; the rows of the at most 100 best, with the text that the snippet is cut from, are fetched from the buckets of their ids. Ties go by id.
     """
-    state = store.current()
-    empty = store.spark.createDataFrame([], FOUND)
-    terms = sorted({t for p in search.phrases_of(query, search.Analysis()) for t in p})
-    sessions = store.read("sessions", state=state)
-    if not terms or sessions is None:
-        return empty
-    ranks = search.ranked(store.read("postings", terms, state), store.read("doc_stats", state=state), query, counts=store.read("term_counts", ["", *terms], state))
-    passed = lists.matching(sessions, now or datetime.now(timezone.utc), **filters).select("session_uuid")
-    top = ranks.join(passed, "session_uuid") if any(filters.values()) else ranks
-    best = {r.session_uuid: r["rank"] for r in top.orderBy("rank", "session_uuid").limit(min(100, max(1, limit))).collect()}
+    state, most = store.current(), min(100, max(1, limit))
+    phrases = search.phrases_of(query, search.Analysis())
+    terms = sorted({t for p in phrases for t in p})
+    if not terms or "sessions" not in state["tables"]:
+        return store.spark.createDataFrame([], FOUND)
+    passed = None
+    if any(filters.values()):
+        passed = lists.matching(store.read("sessions", state=state), now or datetime.now(timezone.utc), **filters).select("session_uuid")
+    counts = store.read("term_counts", ["", *terms], state)
+    if all(len(p) == 1 for p in phrases) and "term_cells" in state["tables"]:
+        whole = counts.where("term = ''").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+
+        def live(rows):
+            if isinstance(rows, DataFrame):
+                return rows.join(store.read("doc_stats", state=state).select("session_uuid", "batch"), ["session_uuid", "batch"], "left_semi")
+            ids = [r.session_uuid for r in rows]
+            known = {(r.session_uuid, r.batch) for r in store.read("doc_stats", ids, state).collect()} if ids else set()
+            return [r for r in rows if (r.session_uuid, r.batch) in known]
+
+        best = {i: rank for rank, i in topk.best(store.read("impacts", terms, state), store.read("term_cells", terms, state), [p[0] for p in phrases], whole.n or 0, whole.tokens or 0, most, live, passed)}
+    else:
+        ranks = search.ranked(store.read("postings", terms, state), store.read("doc_stats", state=state), query, counts=counts)
+        top = ranks if passed is None else ranks.join(passed, "session_uuid")
+        best = {r.session_uuid: r["rank"] for r in top.orderBy("rank", "session_uuid").limit(most).collect()}
     if not best:
-        return empty
+        return store.spark.createDataFrame([], FOUND)
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in best.items() for x in pair]), F.col("session_uuid"))
     rows = store.read("sessions", list(best), state).withColumn("rank", rank)
     return search.shown(rows, query, column=column).orderBy("rank", "session_uuid")
