@@ -19,7 +19,7 @@ from .search import K1, B
 #: Cells have a step of the count times this, and a step of the length.
 WIDTH = 128
 #: Rows that the first look at the cells takes in for each row asked for, and by how much later looks grow.
-FIRST, GROWTH = 16, 8
+FIRST, GROWTH = 64, 8
 #: Bounds are raised by this part, as sums of doubles depend on their order.
 SLACK = 1e-9
 
@@ -75,36 +75,45 @@ def bounds(cells: dict[str, dict[int, int]], weights: dict[str, float], average:
     return found
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def scored(rows: DataFrame, asked: dict[str, dict[int, float]], weights: dict[str, float], average: float) -> DataFrame:
     """session_uuid, batch, rank of the sessions that hold all terms, from the rows of the cells asked for.
 
     They are asked for as a range of lengths for each step of counts, as ranges reach the pages of a scan and long lists don't;
     cells between them may come along."""
-    wanted = F.lit(False)
+    wanted, factors = [], []
     for term, cells in asked.items():
+        name = quoted(term)
+        factors.append(f"WHEN {name} THEN {weights[term]!r}D")
         for s in sorted({c // WIDTH for c in cells}):
             of = [c for c in cells if c // WIDTH == s]
-            wanted = wanted | ((F.col("term") == term) & F.col("cell").between(min(of), max(of)))
-    factor = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("term"))
-    score = factor * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / average))
-    rows = rows.where(wanted)
+            wanted.append(f"(term = {name} AND cell BETWEEN {min(of)} AND {max(of)})")
+    score = F.expr(f"CASE term {' '.join(factors)} END * tf * {K1 + 1!r}D / (tf + {K1!r}D * ({1 - B!r}D + {B!r}D * doc_len / {average!r}D))")
+    rows = rows.where(" OR ".join(wanted))
     if len(asked) == 1:
         return rows.select("session_uuid", "batch", (-score).alias("rank"))
     found = rows.groupBy("session_uuid", "batch").agg((-F.sum(score)).alias("rank"), F.count("*").alias("n"))
     return found.where(F.col("n") == len(asked)).drop("n")
 
 
-def best(rows: DataFrame, cells: DataFrame, terms: list[str], size: int, tokens: int, limit: int, live, passed: DataFrame | None = None) -> list[tuple[float, str]]:
+def best(rows: DataFrame, counts: DataFrame, terms: list[str], limit: int, live, passed: DataFrame | None = None) -> list[tuple[float, str]]:
     """rank and session_uuid of the best sessions that hold all terms (one named twice counts twice), in their order.
 
-    rows are impacts with the batch that wrote them, cells the counts of term_cells; passed has the sessions that filters
+    rows are impacts with the batch that wrote them; counts are those of term_cells and, with an empty term, the corpus's sessions and tokens; passed has the sessions that filters
     let through. live takes rows of session_uuid and batch, and leaves those that count. The cells of the highest bounds are
     read first. What isn't read scores less than the lowest bound read: a session at that bound or above settles the places up to its
     own. Each further look takes in the cells at the last place's score or above, if all places are filled, else eight times as many rows.
     """
     held: dict[str, dict[int, int]] = {t: {} for t in terms}
-    for r in cells.where(F.col("term").isin(*held)).groupBy("term", "cell").agg(F.sum("n").alias("n")).where("n > 0").collect():
-        held[r.term][r.cell] = r.n
+    size = tokens = 0
+    for r in counts.where(F.col("term").isin("", *held)).groupBy("term", "cell").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).where("n > 0").collect():
+        if r.term:
+            held[r.term][r.cell] = r.n
+        else:
+            size, tokens = r.n, r.tokens
     if not all(held.values()):
         return []
     average, times = tokens / size, Counter(terms)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
 
@@ -226,7 +227,8 @@ def find(store: Store, query: str, limit: int = 20, now: datetime | None = None,
         passed = lists.matching(store.read("sessions", state=state), now or datetime.now(timezone.utc), **filters).select("session_uuid")
     counts = store.read("term_counts", ["", *terms], state)
     if all(len(p) == 1 for p in phrases) and "term_cells" in state["tables"]:
-        whole = counts.where("term = ''").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+        cells = store.read("term_cells", terms, state).selectExpr("term", "cell", "n", "0L AS tokens")
+        cells = cells.unionByName(counts.where("term = ''").selectExpr("term", "0 AS cell", "n", "tokens"))
 
         def live(rows):
             if isinstance(rows, DataFrame):
@@ -235,14 +237,14 @@ def find(store: Store, query: str, limit: int = 20, now: datetime | None = None,
             known = {(r.session_uuid, r.batch) for r in store.read("doc_stats", ids, state).collect()} if ids else set()
             return [r for r in rows if (r.session_uuid, r.batch) in known]
 
-        best = {i: rank for rank, i in topk.best(store.read("impacts", terms, state), store.read("term_cells", terms, state), [p[0] for p in phrases], whole.n or 0, whole.tokens or 0, most, live, passed)}
+        best = {i: rank for rank, i in topk.best(store.read("impacts", terms, state), cells, [p[0] for p in phrases], most, live, passed)}
     else:
         ranks = search.ranked(store.read("postings", terms, state), store.read("doc_stats", state=state), query, counts=counts)
         top = ranks if passed is None else ranks.join(passed, "session_uuid")
         best = {r.session_uuid: r["rank"] for r in top.orderBy("rank", "session_uuid").limit(most).collect()}
     if not best:
         return store.spark.createDataFrame([], FOUND)
-    rank = F.element_at(F.create_map(*[F.lit(x) for pair in best.items() for x in pair]), F.col("session_uuid"))
+    rank = F.element_at(F.from_json(F.lit(json.dumps(best)), "map<string,double>"), F.col("session_uuid"))
     rows = store.read("sessions", list(best), state).withColumn("rank", rank)
     return search.shown(rows, query, column=column).orderBy("rank", "session_uuid")
 

@@ -94,7 +94,8 @@ def test_most_rows_stay_unread(spark, tmp_path):
     cells_n = {r.cell: r.n for r in cells.collect()}
     topk.scored = watched
     try:
-        got = topk.best(stored, cells, ["common"], 2 * n, 2 * n * 170, 3, live)
+        whole = spark.createDataFrame([("", 0, 2 * n, 2 * n * 170)], "term string, cell int, n long, tokens long")
+        got = topk.best(stored, whole.unionByName(cells.withColumn("tokens", F.lit(0).cast("long"))), ["common"], 3, live)
     finally:
         topk.scored = real
     score = -(F.lit(topk.weight(n, 2 * n)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / 170.0)))
