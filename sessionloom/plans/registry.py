@@ -75,7 +75,9 @@ def sessions_once(spark: SparkSession, d: str) -> DataFrame:
 def sessions_ended(spark: SparkSession, d: str) -> DataFrame:
     """Each user's first session of a day that ended by quiet or by its longest wait before the stream's last watermark."""
     events = event_stream(spark, d).withColumn("session_uuid", F.concat(F.format_string("%06d-", "user_id"), F.date_format("ts", "yyyy-MM-dd")))
-    return live.run_to_rows(live.ended_sessions(events, 3 * 3600, 8 * 3600), "append").select("session_uuid", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", "reason")
+    root, times = live.shared_folder(spark, "live"), (3 * 3600, 8 * 3600)
+    live.capture_ended(events, root, *times).awaitTermination()
+    return live.ended_rows(spark, root, *times).select("session_uuid", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", "reason")
 
 
 def session_fold(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import Store, first_of_batch, new_rows
@@ -155,6 +155,63 @@ def ended_sessions(stream: DataFrame, quiet: float = 1800, max_wait: float = 6 *
     return rows.groupBy("session_uuid").applyInPandasWithState(step, ENDED, RUNS, "append", "EventTimeTimeout")
 
 
+PARTS = "session_uuid string, start long, end long, n long, started long, deadline long, batch long, given boolean"
+
+
+def capture_ended(stream: DataFrame, root: str, quiet: float = 1800, max_wait: float = 6 * 3600, late: float = 3600, remember: float | None = None, trigger: dict | None = None):
+    """The sessions of `ended_sessions`, as plain aggregates and windows over each micro-batch, for very many sessions.
+
+    Python sees no session: what a key's state holds there is a few rows here, written anew by each batch for the
+    sessions that are open, and the rows of given sessions are their marks. The watermark is the latest event of all batches
+    less late seconds; events of a batch count when they come after the one before it, and sessions are given by the one
+    after it. All of a batch lies in folders of its number, of which a batch that runs again writes the same once more.
+    `ended_rows` reads what was given.
+    """
+    spark, gap, most, keep = stream.sparkSession, int(quiet * 1e6), int(max_wait * 1e6), None if remember is None else int(remember * 1e3)
+    session, row_order = Window.partitionBy("session_uuid"), Window.partitionBy("session_uuid").orderBy("start", "end")
+    parts, marks = f"{root}/parts", f"{root}/watermarks"
+    spark.createDataFrame([], PARTS).drop("batch").write.mode("overwrite").partitionBy("given").parquet(f"{parts}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where("ts IS NOT NULL AND session_uuid IS NOT NULL").select("session_uuid", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
+        before = spark.read.schema("ms long").parquet(f"{marks}/{number - 1}").first()[0] if number else None
+        last = rows.agg(F.max("start")).first()[0]
+        now = max((ms for ms in (before, None if last is None else last // 1000 - int(late * 1e3)) if ms is not None), default=None)
+        if before is not None:
+            rows = rows.where(F.col("start") > before * 1000)
+        rows = rows.groupBy("session_uuid", "start").agg(F.count("*").alias("n")).withColumn("end", F.col("start"))
+        if number:
+            held = spark.read.schema(PARTS).parquet(parts)
+            known = held.where(F.col("given") & (F.col("batch") < number) & (F.lit(True) if keep is None or before is None else F.col("deadline") + keep >= before))
+            rows = rows.join(known.select("session_uuid"), "session_uuid", "left_anti")
+            rows = rows.unionByName(held.where(~F.col("given") & (F.col("batch") == number - 1)).select("session_uuid", "start", "n", "end"))
+        rows = rows.withColumn("started", F.min("start").over(session)).where(F.col("start") <= F.col("started") + most)
+        earlier = F.max("end").over(row_order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("opens", F.coalesce(F.col("start") - earlier > gap, F.lit(False)).cast("int"))
+        rows = rows.withColumn("run", F.sum("opens").over(row_order.rowsBetween(Window.unboundedPreceding, 0)))
+        # as long as an earlier first event could come, and with it an earlier end of the wait, events stay apart
+        apart = F.when(F.lit(now).cast("long") * 1000 >= F.col("started"), F.lit(None)).otherwise(F.col("start"))
+        first_end = F.max(F.when(F.col("run") == 0, F.col("end"))).over(session)
+        rows = rows.withColumn("deadline", F.ceil(F.least(first_end + gap, F.col("started") + most) / 1000).cast("long"))
+        runs = rows.groupBy("session_uuid", "started", "deadline", "run", apart.alias("apart")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+        runs = runs.withColumn("given", F.coalesce(F.col("deadline") < F.lit(now).cast("long"), F.lit(False))).where(~F.col("given") | (F.col("run") == 0))
+        runs.select("session_uuid", "start", "end", "n", "started", "deadline", "given").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("given").parquet(f"{parts}/batch={number}")
+        spark.range(1).select(F.lit(now).cast("long").alias("ms")).write.mode("overwrite").parquet(f"{marks}/{number}")
+        # the state before the last one can't be asked for any more
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{parts}/batch={number - 2}/given=false")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return stream.select("ts", "session_uuid").writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ended_rows(spark: SparkSession, root: str, quiet: float = 1800, max_wait: float = 6 * 3600) -> DataFrame:
+    """session_uuid, started, ended, events, reason of the sessions that `capture_ended` has given below root, under the same times."""
+    rows = spark.read.schema(PARTS).parquet(f"{root}/parts").where("given")
+    reason = F.when(F.col("end") + int(quiet * 1e6) <= F.col("started") + int(max_wait * 1e6), "quiet").otherwise("max_wait")
+    return rows.select("session_uuid", F.timestamp_micros("started").alias("started"), F.timestamp_micros("end").alias("ended"), F.col("n").alias("events"), reason.alias("reason"))
+
+
 def live_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total_value"))
 

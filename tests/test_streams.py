@@ -63,3 +63,37 @@ def test_marks_go_after_a_while(spark, tmp_path):
     rows = [(1, "a"), (10, "a"), (5, None), (50_000, "b"), (200_000, "c"), (400_000, "d")]
     got, left = run(spark, tmp_path, rows, 6, remember=1000)
     assert [r[:4] for r in got] == [("a", 1, 10, 2), ("b", 50_000, 50_000, 1), ("c", 200_000, 200_000, 1)] and left[-1] <= 2
+
+
+def captured(spark, tmp_path, rows, triggers, remember=None):
+    size = -(-len(rows) // triggers)
+    for i in range(triggers):
+        part = spark.createDataFrame([(t, s) for t, s in rows[i * size : (i + 1) * size]], "t long, session_uuid string")
+        part.coalesce(1).select(F.timestamp_seconds("t").alias("ts"), "session_uuid").write.parquet(f"{tmp_path}/in/{i:03d}")
+        # as they come, with a stream that ends and goes on again
+        stream = spark.readStream.schema("ts timestamp, session_uuid string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        live.capture_ended(stream, f"{tmp_path}/out", QUIET, WAIT, LATE, remember).awaitTermination()
+    got = live.ended_rows(spark, f"{tmp_path}/out", QUIET, WAIT).select("*", F.unix_seconds("started").alias("a"), F.unix_seconds("ended").alias("b"))
+    return sorted((r.session_uuid, r.a, r.b, r.events, r.reason) for r in got.collect())
+
+
+@pytest.mark.parametrize("seed, triggers", [(7, 1), (7, 6), (3, 4)])
+def test_captured_by_batches(spark, tmp_path, seed, triggers):
+    rows = events(seed)
+    want = wanted(rows, max(t for t, _ in rows) - LATE)
+    assert captured(spark, tmp_path, rows, triggers) == want and len(want) > 8
+
+
+def test_captured_marks_go_after_a_while(spark, tmp_path):
+    rows = [(1, "a"), (10, "a"), (None, "a"), (5, None), (50_000, "b"), (60_000, "a"), (60_100, "a"), (200_000, "c"), (200_010, "a"), (199_200, "b"), (1, "late"), (400_000, "d")]
+    once = [("a", 1, 10, 2, "quiet"), ("b", 50_000, 50_000, 1, "quiet"), ("c", 200_000, 200_000, 1, "quiet")]
+    assert captured(spark, tmp_path / "kept", rows, 12) == once
+    assert [r[:2] for r in captured(spark, tmp_path / "gone", rows, 12, remember=1000)] == [("a", 1), ("a", 60_000), ("a", 200_010), ("b", 50_000), ("b", 199_200), ("c", 200_000)]
+
+
+def test_ended_sessions_stay_out_of_python(spark, monkeypatch):
+    """A call of Python for each session took milliseconds, so millions of sessions hours."""
+    from sessionloom.plans import registry
+
+    monkeypatch.setattr(live, "ended_sessions", None)
+    assert registry.sessions_ended(spark, "/root/testdata/sf0.001").count() > 0
