@@ -187,7 +187,7 @@ def coded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         enc = tree_encoder(tokenizer)
         for batch in batches:
             found = []
-            for part in slices(batch.column(1).to_pylist()):
+            for part in slices(batch.column(1)):
                 found += [_digest(enc, ids) for ids in enc.encode(part)]
             if found:
                 yield from table(CODED, batch.column(0).to_pylist(), *map(list, zip(*found, strict=True))).to_batches()

@@ -112,7 +112,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Lets go of this worker's encoders and the words they remember: for stages that follow the encoding and need none."""
+    _encoders.clear()
+
+
 def slices(texts, size: int = 256):
-    """Texts in lists of at most size, so that what one call holds stays small."""
+    """The texts of an Arrow array in lists of at most size, so that what one call holds stays small."""
     for i in range(0, len(texts), size):
-        yield [t or "" for t in texts[i : i + size]]
+        yield [t or "" for t in texts.slice(i, size).to_pylist()]

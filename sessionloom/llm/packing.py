@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, read, stored
-from .encoding import encoder, slices
+from .encoding import encoder, forget, slices
 
 WINDOW = 4096
 
@@ -183,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
         seen: Counter[int] = Counter()
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1).to_pylist()):
+            for texts in slices(batch.column(1)):
                 rows = []
                 for encoded in enc.encode(texts):
                     raw = encoded + end
@@ -214,6 +214,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
     columns = ["doc_id", "doc_tokens", "full_crc", "tail", "tail_ids", (F.coalesce("full_base", F.lit(0)) + F.col("full_rank")).alias("full"), (F.coalesce("tail_base", F.lit(0)) + F.col("tail_rank")).alias("rank")]
 
     def pieces(batches):
+        forget()
         p, kind = plan.value
         first = np.searchsorted(p["node"], np.arange(p["node"].max(initial=0) + 2))
 

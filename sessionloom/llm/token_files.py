@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         for batch in batches:
             ids_in = batch.column(0).to_pylist()
             at = 0
-            for part in slices(batch.column(1).to_pylist()):
+            for part in slices(batch.column(1)):
                 for encoded in enc.encode(part):
                     names.append(ids_in[at])
                     texts.append(encoded + end)

@@ -176,6 +176,19 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(none, WORDS, 2).count() == 0
 
 
+def test_packing_holds_no_words_after_encoding(spark, docs):
+    """Workers stay: what they remember of words took hundreds of MB beside the placing of pieces."""
+    pieces = packing.pack_documents(spark.createDataFrame([(1, "some words")] * 50, "doc_id long, text string"), WORDS, 2)
+
+    def held(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoding._encoders)] * batch.num_rows)], ["n"])
+
+    assert {r.n for r in pieces.mapInArrow(held, "n long").collect()} == {0}
+
+
 def components(linked):
     comp = np.arange(len(linked))
     while True:
