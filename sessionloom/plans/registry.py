@@ -33,11 +33,15 @@ def talk_records(spark: SparkSession, d: str) -> DataFrame:
     return parsing.records(lines_of_conversations(table(spark, d, "conversations")), strict=False)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, made once and kept in the shared folder: for queries that go over it several times."""
+    path = live.shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parsed_talks(spark: SparkSession, d: str) -> DataFrame:
-    """The records of all talks, parsed once and kept in the shared folder: for queries that go over them several times."""
-    path = live.shared_folder(spark, "records")
-    talk_records(spark, d).write.parquet(path)
-    return spark.read.parquet(path)
+    return kept(talk_records(spark, d), "records")
 
 
 def talk_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +173,7 @@ def page_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_blocks(spark: SparkSession, d: str) -> DataFrame:
-    recs = parsing.records(lines_of_events(table(spark, d, "events")), strict=False)
+    recs = kept(parsing.records(lines_of_events(table(spark, d, "events")), strict=False), "records")
     return parsing.blocks(recs, parsing.sessions(recs, INGEST))
 
 
@@ -186,7 +190,8 @@ def files_modified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def safe_paths(spark: SparkSession, d: str) -> DataFrame:
-    return anonymise.pseudonymize_paths(event_blocks(spark, d).where("file_path IS NOT NULL")).select("session_uuid", "seq", "file_path", "safe_path")
+    uses = event_blocks(spark, d).where("file_path IS NOT NULL").select("session_uuid", "seq", "block_idx", "file_path")
+    return anonymise.pseudonymize_paths(kept(uses, "uses")).select("session_uuid", "seq", "file_path", "safe_path")
 
 
 def scrubbed_talks(spark: SparkSession, d: str) -> DataFrame:
