@@ -55,6 +55,47 @@ def test_encoder_is_the_library(path, docs):
         assert np.frombuffer(ids, enc.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_new_words_reach_the_merges_together(path):
+    """op4_packing: a call of the library for each new word took most of its CPU seconds."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.inner, name)
+
+    enc, whole = encoding.WordEncoder(path), Tokenizer.from_file(path)
+    enc.model, enc.tokenizer, enc.merges = counted = [Counted(x) for x in (enc.model, enc.tokenizer, getattr(enc, "merges", None))]
+    texts = [" ".join(np.base_repr(n * n + 31 * k, 36).translate(str.maketrans("0123456789", "éàtionrEst")) + "," for n in range(600, 900)) for k in range(20)]
+    assert [np.frombuffer(i, enc.dtype).tolist() for i in enc.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert sum(c.calls for c in counted) < 10
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_of_mixed_words(path):
+    """Plain words, others and the mark between words in one call, in many calls, and with a memory for few pieces."""
+    rng, whole = np.random.default_rng(3), Tokenizer.from_file(path)
+    parts = ["a", "É", " ", " ", "\n", "'s", "'", "12", ".", "!!", "<|", "<|endoftext|>", "\t", "\u2003", "\x85", "\u0301", "日", "\0", "ſ", "İ", "word", "x" * 30, "  ", "²"]
+    texts = ["", "\0", " ", "\n\n", "  a  ", "end  ", *["".join(rng.choice(parts[:k], rng.integers(0, 30))) for k in (9, 10, len(parts)) for _ in range(400)]]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    for limit, size in ((700_000, len(texts)), (40, 50), (700_000, 1)):
+        enc = encoding.WordEncoder(path, limit)
+        got = [i for a in range(0, len(texts), size) for i in enc.encode(texts[a : a + size])]
+        assert [np.frombuffer(i, enc.dtype).tolist() for i in got] == want
+        assert enc.fits and not enc.encode([])
+
+
+def test_slices_hold_few_bytes():
+    import pyarrow as pa
+
+    texts = ["é" * 10, None, "", "a" * 50, "b", "c", "d" * 9]
+    got = list(encoding.slices(pa.array(["left out", *texts]).slice(1), 3, 20))
+    assert got == [["é" * 10, "", ""], ["a" * 50], ["b", "c", "d" * 9]]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17])
 def test_token_file_round_trip(bits):
     rng = np.random.default_rng(bits)
