@@ -220,7 +220,7 @@ def forget() -> None:
     _encoders.clear()
 
 
-def slices(texts, size: int = 2560, most: int = 8 << 20):
+def slices(texts, size: int = 640, most: int = 2 << 20):
     """The texts of an Arrow array in lists of at most size, and of at most so many bytes (but for longer texts), so that what one call holds stays small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
